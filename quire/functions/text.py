@@ -18,6 +18,9 @@ SPELLING = [("cc", "c"), ("ct", "t"), ("pc", "c"), ("pt", "t")]
 _RICH = "[^\\x00-\\x5F\\x61-\\x7F]"  # anything beyond ASCII, or a backtick
 
 
+_LOOSE = "[" + "".join(SPACING_ACCENTS) + "".join(LIGATURES) + "]"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -56,7 +59,8 @@ def _char_class(chars: list[str]) -> str:
         out.append(f"\\u{start:04x}" if start == prev else f"\\u{start:04x}-\\u{prev:04x}")
         if p is not None:
             start = prev = p
-    return "[" + "".join(out) + "]"
+    # almost every character fails the first, cheap test
+    return "[\\u00bc-\\u00be\\u0132-\\uffff&&[" + "".join(out) + "]]"
 
 
 def _unfold(value: Column, raw: Column) -> Column:
@@ -99,21 +103,28 @@ def fix_spacing_accents(c: Column | str) -> Column:
             F.substring(p, 2, 1) == mark,
             F.concat(F.translate(F.substring(p, 1, 1), "".join(pairs), "".join(pairs.values())),
                      F.substr(p, F.lit(3)))).otherwise(p)), "")
-    return F.when(c.rlike(_RICH), value).otherwise(c)
+    return F.when(c.rlike(_LOOSE), value).otherwise(c)
 
 
 def normalize(c: Column | str) -> Column:
-    """The matching form of a text: lower-case words of a-z and digits, one space apart."""
+    """The matching form of a text: lower-case words of a-z and digits, one space apart.
+
+    The guards look at the raw text only, so that each text pays for the steps it needs.
+    """
     c = _col(c)
     camel = "(?<=[a-z])(?=[A-Z](?![\\u0300-\\u036f]))"
-    rich = _unfold(F.regexp_replace(_join_spacing(c), camel, " "), c)
+    joined = F.when(c.rlike(_LOOSE), _join_spacing(c)).otherwise(c)
+    rich = _unfold(F.regexp_replace(joined, camel, " "), c)
     plain = F.regexp_replace(c, "(?<=[a-z])(?=[A-Z])", " ")
-    value = F.lower(F.when(c.rlike(_RICH), rich).otherwise(plain))
-    value = F.regexp_replace(value, "[^a-z0-9]+", " ")
-    value = F.regexp_replace(value, "(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " ")
+    value = F.regexp_replace(F.lower(F.when(c.rlike(_RICH), rich).otherwise(plain)),
+                             "[^a-z0-9]+", " ")
+    edges = F.regexp_replace(value, "(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " ")
+    value = F.when(c.rlike("[0-9\\u00b2-\\u00be\\u2070-\\uffff]"), edges).otherwise(value)
     # words of up to three letters keep their spelling: a marker parts the pair for a moment
-    value = F.regexp_replace(value, "\\b([cp])([ct][a-z])\\b", "$1\u0001$2")
-    value = F.regexp_replace(value, "\\b([a-z]?[cp])([ct])\\b", "$1\u0001$2")
+    value = F.regexp_replace(
+        value, "([cp])(?<![a-z0-9][cp])([ct][a-z])(?![a-z0-9])", "$1\u0001$2")
+    value = F.regexp_replace(
+        value, "([cp])(?<=(?:^|[^a-z0-9])[a-z]?[cp])([ct])(?![a-z0-9])", "$1\u0001$2")
     for old, new in SPELLING:
         value = F.replace(value, F.lit(old), F.lit(new))
     return F.trim(F.replace(value, F.lit("\u0001"), F.lit("")))
@@ -121,14 +132,11 @@ def normalize(c: Column | str) -> Column:
 
 def words(norm: Column | str) -> Column:
     """Words of a normalised text (none for the empty text)."""
-    norm = _col(norm)
-    return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(norm, " "))
+    return F.array_remove(F.split(_col(norm), " "), "")
 
 
 def word_count(norm: Column | str) -> Column:
-    norm = _col(norm)
-    spaces = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
-    return F.when(norm == "", F.lit(0)).otherwise(spaces + 1)
+    return F.regexp_count(_col(norm), F.lit("[^ ]+"))
 
 
 def search_tokens(c: Column | str) -> Column:

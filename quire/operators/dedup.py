@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import text as X
-from quire.session import digest_words, durable
+from quire.session import digest_words, durable, pinned
 
 MIN_WORDS = 40
 MAX_DISTANCE = 6
@@ -79,34 +79,30 @@ def simhash(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str
     shingles apart from each other. `carry` are further columns, constant per document;
     `last_page` names a column with the number of the last page, if there is one. Votes are counted for two bits at a time in one 64-bit sum.
     """
-    norm = pages.select(F.col(doc), *carry, F.col(page).cast("int").alias("_p"),
-                        X.words(X.normalize(text)).alias("_w"),
-                        *([F.col(last_page).alias("_last")] if last_page else []))
+    last = ["_last"] if marks else []
+    if marks and last_page is None:
+        ends = pages.groupBy(F.col(doc).alias("_d")).agg(F.max(page).alias("_last"))
+        pages = pages.join(ends, F.col(doc) == F.col("_d")).drop("_d")
+    elif marks:
+        pages = pages.withColumn("_last", F.col(last_page))
+    norm = pinned(pages, [doc, *carry, page, *last], _w=X.words(X.normalize(text)))
+    none = F.array().cast("array<string>")
     if marks:
-        if last_page is None:
-            last = pages.groupBy(F.col(doc).alias("_d")).agg(F.max(page).alias("_last"))
-            norm = norm.join(last, F.col(doc) == F.col("_d")).drop("_d")
-        head = F.array(F.lit("pagina"), F.col("_p").cast("string"))
-        tail = F.when(F.col("_p") < F.col("_last"), F.array(
-            F.lit("pagina"), (F.col("_p") + 1).cast("string"))).otherwise(
-            F.array().cast("array<string>"))
-        norm = norm.select(doc, *carry, F.concat(head, "_w").alias("_own"), tail.alias("_tail"),
-                           (F.col("_p") == F.col("_last")).alias("_end"))
+        mark = lambda n: F.array(F.lit("pagina"), n.cast("int").cast("string"))
+        own, more = F.concat(mark(F.col(page)), "_w"), F.col(page) < F.col("_last")
+        tail = F.when(more, mark(F.col(page) + 1)).otherwise(none)
     else:
-        norm = norm.select(doc, *carry, F.col("_w").alias("_own"),
-                           F.array().cast("array<string>").alias("_tail"),
-                           F.lit(True).alias("_end"))
-    run = F.concat("_own", "_tail")
+        own, more, tail = F.col("_w"), F.lit(False), none
     # a page that is followed by another yields one shingle per own word, the last page stops early
-    count = F.when(F.col("_end"), F.greatest(F.size("_own") - (shingle - 1), F.lit(1))).otherwise(
-        F.size("_own"))
+    size = F.size(own)
+    count = F.when(more, size).otherwise(F.greatest(size - (shingle - 1), F.lit(1)))
+    runs = pinned(norm.filter(size > 0), [doc, *carry], _run=F.concat(own, tail), _count=count,
+                  _words=size)
     grams = F.transform(F.sequence(F.lit(1), F.col("_count")),
                         lambda i: F.array_join(F.slice(F.col("_run"), i, F.lit(shingle)), " "))
-    exploded = (norm.filter(F.size("_own") > 0)
-                .select(doc, *carry, run.alias("_run"), count.alias("_count"),
-                        F.size("_own").alias("_words"))
-                .select(doc, *carry, F.posexplode(grams).alias("_i", "_g"), "_words")
-                .select(doc, *carry, F.when(F.col("_i") == 0, F.col("_words")).otherwise(0).alias("_words"),
+    exploded = (runs.select(doc, *carry, F.posexplode(grams).alias("_i", "_g"), "_words")
+                .select(doc, *carry,
+                        F.when(F.col("_i") == 0, F.col("_words")).otherwise(0).alias("_words"),
                         gram_hash(F.col("_g"), method).alias("_h")))
     votes = [F.sum(F.shiftrightunsigned("_h", b).bitwiseAND(F.lit(_PAIR_MASK))).alias(f"_v{b}")
              for b in range(32)]

@@ -51,8 +51,9 @@ def term_statistics(index: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")
 
 
 def _occurrences(token: str) -> Column:
-    return (F.regexp_count("folded", F.lit(f"(?<![\\p{{L}}\\p{{N}}]){token}"))
-            + F.regexp_count("norm", F.lit(f"\\b{token}")))
+    # the literal comes first, so that few positions reach the look-behind
+    return (F.regexp_count("folded", F.lit(f"{token}(?<![\\p{{L}}\\p{{N}}]{token})"))
+            + F.regexp_count("norm", F.lit(f"{token}(?<![a-z0-9]{token})")))
 
 
 def visible_to(viewer: str, strict: bool = False) -> Column:

@@ -14,7 +14,7 @@ FACETED = "que en"
 
 
 def normalize_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.normalize("text").alias("norm"))
+    return table(spark, sf, "documents", heavy=True).select("doc_id", X.normalize("text").alias("norm"))
 
 
 NORMALIZE_SQL = f"SELECT doc_id, {Q.norm('text')} AS norm FROM documents"
@@ -58,7 +58,7 @@ _LIBRARY_PAGES = """SELECT d.doc_id, 1 AS page, source AS owner, lang AS unit, t
 
 
 def plain_pages(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    return table(spark, sf, "documents", heavy=True).select("doc_id", F.lit(1).alias("page"), "text")
 
 
 def search_bm25(spark, sf):

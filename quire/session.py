@@ -28,8 +28,25 @@ def build_session(master: str | None = None, app: str = "quire", **conf: str) ->
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A table of the library; `heavy` spreads a small one over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if heavy else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer partitions than cores (a few large row groups) one per core, for the
+    heavy text work after it. A large table has enough partitions and passes unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def pinned(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """Compute columns once per row. A lambda that mentions an expensive column would otherwise
+    get its whole expression inlined and run it for every element; a one-row generator ends that."""
+    cells = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return (df.select(*keep, F.explode(cells).alias("_pinned"))
+            .select(*keep, *[F.col(f"_pinned.{n}").alias(n) for n in columns]))
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
