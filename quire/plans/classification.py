@@ -178,7 +178,7 @@ FROM documents d LEFT JOIN best USING (doc_id)"""
 def _unit_scores(spark, sf):
     signals = durable(text_signals(spark, sf), "signals")
     features = C.unit_features(spark.createDataFrame(UNITS, UNIT_TYPE))
-    scores = C.score_units(signals, features, {1, 2})
+    scores = C.score_units(signals, features, {1, 2}, C.probe_heads(features))
     users = spark.createDataFrame(
         [("src0", ["x/course"], []), ("src2", [], [("x/third", None)]), ("src5", [], [("x/second", None)])],
         "login string, enrolled_courses array<string>, "
@@ -216,9 +216,7 @@ occ AS (SELECT doc_id, pos, source, w, t, unit, kind, phrase, original,
     list_filter(range(1, len(ws) - len(string_split(phrase, ' ')) + 2), lambda i:
       ws[i:i + len(string_split(phrase, ' ')) - 1] = string_split(phrase, ' ')) AS spots, ws,
     len(string_split(phrase, ' ')) AS k FROM nx, f
-    WHERE contains(' ' || n || ' ', ' ' || CASE WHEN kind = 'code' THEN string_split(phrase, ' ')[1]
-      ELSE phrase END || ' ')
-      OR (kind = 'code' AND contains(n, replace(phrase, ' ', '')))),
+    WHERE contains(' ' || n || ' ', ' ' || phrase || ' ') AND kind <> 'code'),
 num(wd, v) AS (VALUES ('i', 1), ('ii', 2), ('iii', 3), ('iv', 4), ('v', 5), ('vi', 6), ('vii', 7),
   ('viii', 8), ('ix', 9), ('x', 10), ('1', 1), ('2', 2), ('3', 3), ('4', 4), ('5', 5), ('6', 6),
   ('7', 7), ('8', 8), ('9', 9)),
@@ -230,8 +228,13 @@ hit AS (
     WHERE v IS NULL OR v < 2
   UNION SELECT doc_id, pos, source, w, unit, kind, phrase, t, original FROM occ
     WHERE kind IN ('keyword', 'lecturer') AND len(spots) > 0
-  UNION SELECT doc_id, pos, source, w, unit, kind, phrase, t, original FROM occ
-    WHERE kind = 'code' AND len(spots) > 0),
+  UNION SELECT doc_id, pos, source, w, unit, kind, phrase, t, original FROM (
+      SELECT nx.*, f.*, unnest(range(1, len(ws) + 1)) AS i FROM nx, f WHERE kind = 'code'
+        AND contains(' ' || n || ' ', ' ' || string_split(phrase, ' ')[1])) c
+    LEFT JOIN num ON wd = ws[i + 1] AND NOT coalesce(ws[i + 2] IN
+      ('o','a','ano','anos','semestre','sem','trimestre','ciclo'), false)
+    WHERE (ws[i] = string_split(phrase, ' ')[1] AND v = string_split(phrase, ' ')[2]::INT)
+      OR ws[i] = CASE phrase WHEN 'th 1' THEN 'thi' WHEN 'qu 9' THEN 'quix' END),
 ok AS (SELECT * FROM hit WHERE kind <> 'acronym' OR (NOT (source = 'body' AND length(phrase) <= 2)
   AND regexp_matches(t, '(^|[^\\p{{L}}])' || original || '([^\\p{{L}}]|$)'))),
 pk AS (SELECT doc_id, pos, source, unit, kind, w, CASE kind WHEN 'code' THEN 3.0 WHEN 'acronym' THEN 2.5
