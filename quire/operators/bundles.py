@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import names as N
-from quire.session import number_within
+from quire.session import durable, number_within
 
 MAX_MEMBERS, MAX_DOCUMENTS = 20, 3
 LEAD_ORDER = ["pdf", "docx", "legacy_office", "pptx", "xlsx", "notebook", "text", "code", "other",
@@ -62,46 +62,36 @@ def folder_profile(members: DataFrame) -> DataFrame:
     return out.withColumn("qualifies", fits)
 
 
-def project_folders(members: DataFrame) -> DataFrame:
+def project_folders(members: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """id, owner, folder of the proposed bundles: largest folder first, a document in one only.
 
-    Only documents in several folders tie folders together. Folders without such a document stand
-    alone and are settled by counts; a folder that stays above the limit even without its shared
-    documents can never qualify and drops out. What is left are small folders with shared
-    documents, settled per owner.
+    The choice for a folder only depends on earlier folders that share a document with it. So in
+    each round every folder that comes first for all its documents is settled, all of them at once;
+    their taken documents leave the other folders. Folders that can no longer become a bundle drop
+    out before. The result is that of going through the folders one by one.
     """
-    profile = folder_profile(members)
-    spread_out = members.groupBy("owner", "id").agg(F.count_distinct("folder").alias("_k"))
-    marked = members.join(spread_out, ["owner", "id"]).withColumn("_shared", F.col("_k") > 1)
-    shared = marked.groupBy("owner", "folder").agg(
-        F.sum(F.when(F.col("_shared"), 1).otherwise(0)).alias("_shared_docs"))
-    judged = profile.join(shared, ["owner", "folder"])
-    alone = judged.filter("_shared_docs = 0 and qualifies").select("owner", "folder")
-    settled = members.join(alone, ["owner", "folder"], "left_semi").select("id", "owner", "folder")
-    tied = judged.filter(f"_shared_docs > 0 and files - _shared_docs <= {MAX_MEMBERS}").select(
-        "owner", "folder")
-    open_rows = members.join(tied, ["owner", "folder"], "left_semi").select(
-        "owner", "folder", "id", "category", "structured")
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf.groupby("folder")["id"].nunique()
-        taken: set = set()
-        out = []
-        for folder in sorted(sizes.index, key=lambda f: (-sizes[f], f)):
-            rows = pdf[(pdf.folder == folder) & ~pdf.id.isin(taken)].drop_duplicates("id")
-            n, kinds = len(rows), rows.category
-            papers = int(kinds.isin(N.DOCUMENT_CATEGORIES).sum())
-            ok = 2 <= n <= MAX_MEMBERS
-            if not bool(pdf[pdf.folder == folder].structured.any()):
-                ok = (ok and kinds.isin(["code", "notebook"]).any() and papers <= MAX_DOCUMENTS
-                      and (papers > 0 or (kinds == "image").any()))
-            if ok:
-                out.append(rows[["id", "owner", "folder"]])
-                taken.update(rows.id)
-        return pd.concat(out) if out else pdf.iloc[:0][["id", "owner", "folder"]]
-
-    schema = members.select("id", "owner", "folder").schema
-    return settled.unionByName(open_rows.groupBy("owner").applyInPandas(settle, schema))
+    spark = members.sparkSession
+    keys = ["owner", "folder"]
+    size = members.groupBy(*keys).agg(F.count("*").alias("_size"))
+    rows = members.join(size, keys).withColumn(
+        "_rank", F.struct((-F.col("_size")).alias("minus"), F.col("folder").alias("name"))).drop("_size")
+    out = None
+    for _ in range(max_rounds):
+        profile = folder_profile(rows)
+        hope = (F.col("files") >= 2) & (F.col("structured") | (
+            (F.col("code") > 0) & ((F.col("documents") > 0) | (F.col("images") > 0))))
+        alive = rows.join(profile.filter(hope).select(*keys, "qualifies"), keys)
+        first = alive.groupBy("owner", "id").agg(F.min("_rank").alias("_first"))
+        ready = alive.join(first, ["owner", "id"]).groupBy(*keys).agg(
+            F.bool_and(F.col("_rank") == F.col("_first")).alias("_ready"))
+        state = durable(alive.join(ready, keys), "round")
+        won = state.filter("_ready and qualifies").select("id", *keys)
+        out = won if out is None else out.unionByName(won)
+        rows = state.filter("not _ready").join(won.select("owner", "id"), ["owner", "id"], "left_anti").drop(
+            "qualifies", "_ready")
+        if state.filter("not _ready").isEmpty():
+            break
+    return out if out is not None else spark.createDataFrame([], members.select("id", *keys).schema)
 
 
 # --- leads ----------------------------------------------------------------------------------------
