@@ -33,9 +33,9 @@ DEGREE_WORDS = ["licenciatura", "mestrado", "doutoramento", "ctesp", "curso", "b
 INSTITUTION_HEADS = ["universidade", "instituto", "instituto superior", "instituto politecnico", "escola",
                      "escola superior", "faculdade", "centro", "centro de estudos", "academia", "conservatorio"]
 PUBLISHER = "(?i)\\b(editora|edi[cç][oõ]es|press|livraria|publishing)\\b"
-STUTTER = "(?i)\\b(\\w{2,})\\1\\b"
+STUTTER = "(?iU)\\b(\\w{2,})\\1\\b"
 BROKEN = "[a-zà-ÿ][A-ZÀ-Ý]|\\b[A-ZÀ-Ý] [A-ZÀ-Ý][a-zà-ÿ]|[a-zà-ÿ]\\d"
-BAD_NAME = "[/\\\\`|<>=\\[\\]{}()~•_*#@]|\\.\\w{2,4}\\b|\\d{3,}"
+BAD_NAME = "(?U)[/\\\\`|<>=\\[\\]{}()~•_*#@]|\\.\\w{2,4}\\b|\\d{3,}"
 MAX_EVIDENCE = 10
 
 
@@ -89,8 +89,9 @@ def is_person(name: Column, first_names: Iterable[str]) -> Column:
     return F.size(listed).between(2, 6) & first & capitals
 
 
-def acceptable(name: Column, generic: Iterable[str] = (), first_names: Iterable[str] = ()) -> Column:
-    norm = X.normalize(name)
+def acceptable(name: Column, generic: Iterable[str] = (), first_names: Iterable[str] = (),
+               norm: Column | None = None) -> Column:
+    norm = X.normalize(name) if norm is None else norm
     return F.coalesce(
         plausible(name) & ~norm.isin([*generic, *INSTITUTION_HEADS]) & ~is_person(name, [*first_names, "\u0000"])
         & ~name.rlike(PUBLISHER) & ~name.rlike(STUTTER) & ~name.rlike(BROKEN), F.lit(False))
@@ -99,44 +100,52 @@ def acceptable(name: Column, generic: Iterable[str] = (), first_names: Iterable[
 # --- extraction -----------------------------------------------------------------------------------
 
 
-def _matches(text: Column, pattern: str, kind: str, group: int, name) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    return F.transform(found, lambda m: F.struct(
-        F.lit(kind).alias("kind"), name(m).alias("name"), m.alias("match")))
+# what each kind of header is called, and the name inside a match
+_HEADERS = {"exam": ("unit", EXAM_TITLE), "label": ("unit", UNIT_LABEL), "course": ("course", COURSE),
+            "training": ("course", TRAINING), "institution": ("institution", INSTITUTION)}
 
 
 def headers(pages: DataFrame, max_pages: int = 2) -> DataFrame:
-    """doc_id, page, kind, name, snippet: labelled names on the first pages, in their raw form."""
+    """doc_id, page, kind, name, snippet: labelled names on the first pages, in their raw form. Each
+    step is pinned: a name is worked out once per match."""
     rows = pinned(pages.filter(F.col("page") <= max_pages), ["doc_id", "page"],
                   t=X.fix_spacing_accents("text"))
-    t = F.col("t")
-    ext = lambda m, p, g: F.regexp_extract(m, p, g)
-    cap = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
-    exam = F.when(F.col("page") == 1, _matches(F.substring(t, 1, 600), EXAM_TITLE, "unit", 1, lambda m: (
-        F.regexp_replace(clean_tail(ext(m, EXAM_TITLE, 1)), EXAM_CUT, "")))).otherwise(
-        F.array().cast("array<struct<kind:string,name:string,match:string>>"))
-    found = F.concat(
-        exam,
-        _matches(t, UNIT_LABEL, "unit", 1, lambda m: clean_tail(ext(m, UNIT_LABEL, 1))),
-        _matches(t, COURSE, "course", 2, lambda m: F.concat(
-            cap(F.trim(ext(m, COURSE, 1))), F.lit(" em "), title_case(clean_tail(ext(m, COURSE, 2))))),
-        _matches(t, TRAINING, "course", 1, lambda m: F.concat(
-            F.lit("Curso de Formação "), title_case(clean_tail(ext(m, TRAINING, 1))))),
-        _matches(t, INSTITUTION, "institution", 1, lambda m: clean_tail(ext(m, INSTITUTION, 1))))
-    at = F.instr(t, F.col("m.match")) - 1
-    return (rows.select("doc_id", "page", "t", F.posexplode(found).alias("i", "m"))
-            .select("doc_id", "page", "i", "m.kind", "m.name",
-                    X.snippet_around(t, at, at + F.length("m.match")).alias("snippet")))
+    listed = []
+    for how, (_, pattern) in _HEADERS.items():
+        text = F.substring("t", 1, 600) if how == "exam" else F.col("t")
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.struct(
+            F.lit(how).alias("how"), m.alias("match")))
+        listed.append(F.when(F.col("page") == 1, found).otherwise(
+            F.array().cast("array<struct<how:string,match:string>>")) if how == "exam" else found)
+    hits = rows.select("doc_id", "page", "t", F.posexplode(F.concat(*listed)).alias("i", "m")).select(
+        "doc_id", "page", "i", "t", "m.how", "m.match")
+    how, match = F.col("how"), F.col("match")
+    inner = F.when(how == "exam", F.regexp_extract(match, EXAM_TITLE, 1))
+    for h, group in (("label", 1), ("course", 2), ("training", 1), ("institution", 1)):
+        inner = inner.when(how == h, F.regexp_extract(match, _HEADERS[h][1], group))
+    at = F.instr("t", match) - 1
+    hits = pinned(hits, ["doc_id", "page", "i", "how", "match"], raw=clean_tail(inner),
+                  snippet=X.snippet_around(F.col("t"), at, at + F.length(match)))
+    hits = pinned(hits, ["doc_id", "page", "i", "how", "match", "raw", "snippet"], titled=title_case(F.col("raw")))
+    degree = F.trim(F.regexp_extract(match, COURSE, 1))
+    degree = F.concat(F.upper(F.substring(degree, 1, 1)), F.lower(F.substr(degree, F.lit(2))))
+    name = (F.when(how == "exam", F.regexp_replace("raw", EXAM_CUT, ""))
+            .when(how == "course", F.concat(degree, F.lit(" em "), "titled"))
+            .when(how == "training", F.concat(F.lit("Curso de Formação "), "titled")).otherwise(F.col("raw")))
+    kind = F.create_map(*[F.lit(x) for h, (k, _) in _HEADERS.items() for x in (h, k)])[how]
+    return pinned(hits, ["doc_id", "page", "i", "snippet"], kind=kind, name=name)
 
 
 def finish(candidates: DataFrame, generic: Iterable[str] = (), first_names: Iterable[str] = ()) -> DataFrame:
     """Names put in form, their kind corrected, implausible ones dropped."""
-    named = candidates.withColumn("name", strip_connectors(title_case(F.col("name"))))
-    named = named.withColumn("kind", kind_of(F.col("name"), F.col("kind")))
-    named = named.withColumn("name", F.when(F.col("kind") == "institution", strip_connectors(
+    rest = [c for c in candidates.columns if c not in ("name", "kind")]
+    step = pinned(candidates, [*rest, "kind"], name=title_case(F.col("name")))
+    step = pinned(step, [*rest, "kind"], name=strip_connectors(F.col("name")))
+    step = pinned(step, [*rest, "name"], kind=kind_of(F.col("name"), F.col("kind")))
+    step = pinned(step, [*rest, "kind"], name=F.when(F.col("kind") == "institution", strip_connectors(
         institution_cut(F.col("name")))).otherwise(F.col("name")))
-    return named.withColumn("norm", X.normalize("name")).filter(
-        (F.length("norm") >= 3) & acceptable(F.col("name"), generic, first_names))
+    step = pinned(step, [*rest, "kind", "name"], norm=X.normalize("name"))
+    return step.filter((F.length("norm") >= 3) & acceptable(F.col("name"), generic, first_names, F.col("norm")))
 
 
 def known_names(units: DataFrame, courses: DataFrame, institutions: DataFrame) -> DataFrame:
@@ -241,15 +250,17 @@ def sequels(docs: DataFrame, units: DataFrame) -> DataFrame:
     roman_after = "(?<![A-Za-z0-9])(?:II|III|IV|V|VI|VII|VIII|IX|X)(?![A-Za-z0-9])"
     files = docs.select("doc_id", F.element_at(parts, -1).alias("t")).filter(
         F.regexp_replace("t", "[_.-]", " ").rlike(roman_after))
-    texts = folders.unionByName(files).distinct().select("doc_id", "t", X.normalize("t").alias("norm"))
+    texts = pinned(folders.unionByName(files).distinct(), ["doc_id"], norm=X.normalize("t"))
     number_tail = "[\\s_.-]*(?:[0-9]+|[IVXivx]+)$"
-    bare = lambda c: F.when(X.series_number(X.normalize(c)).isNotNull(),
-                            F.regexp_replace(c, number_tail, "")).otherwise(c)
-    forms = units.select("key", F.coalesce(X.series_number(X.normalize("name")), F.lit(1)).alias("own"),
-                         bare(F.col("name")).alias("base"), F.explode(F.filter(F.concat(
-                             F.array("name", "acronym"), F.coalesce("aliases", F.array().cast("array<string>"))),
-                             lambda f: f.isNotNull())).alias("form"))
-    forms = forms.select("key", "own", "base", X.normalize(bare(F.col("form"))).alias("phrase")).distinct()
+    named = F.filter(F.concat(F.array("name", "acronym"), F.coalesce(
+        "aliases", F.array().cast("array<string>"))), lambda f: f.isNotNull())
+    forms = units.select("key", "name", F.explode(named).alias("form"))
+    forms = pinned(forms, ["key", "name", "form"], nn=X.normalize("name"), fn=X.normalize("form"))
+    forms = pinned(forms, ["key", "name", "form"], own=X.series_number("nn"), fnum=X.series_number("fn"))
+    bare = lambda c, n: F.when(F.col(n).isNotNull(), F.regexp_replace(c, number_tail, "")).otherwise(
+        F.col(c))
+    forms = pinned(forms, ["key"], own=F.coalesce("own", F.lit(1)), base=bare("name", "own"), bare=bare("form", "fnum"))
+    forms = pinned(forms, ["key", "own", "base"], phrase=X.normalize("bare")).distinct()
     sizes = [r.n for r in forms.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect()]
     grams = ngrams(texts, sizes, ["doc_id"])
     hits = grams.join(forms, F.col("gram") == F.col("phrase"))
@@ -295,8 +306,8 @@ def close(proposals: DataFrame, units: DataFrame, generic: Iterable[str] = (),
     names = units.select(F.explode(F.filter(F.concat(F.array("name", "acronym"), F.coalesce(
         "aliases", F.array().cast("array<string>"))), lambda n: n.isNotNull())).alias("n")).select(
         X.normalize("n").alias("_n"), F.lit(True).alias("_known")).filter("_n <> ''").distinct()
-    rows = proposals.withColumn("_norm", X.normalize("name")).join(names, F.col("_norm") == F.col("_n"), "left")
-    junk = ~acceptable(F.col("name"), generic, first_names) | (kind_of(F.col("name"), F.col("kind")) != F.col("kind"))
+    rows = pinned(proposals, ["id", "kind", "name", "status"], _norm=X.normalize("name")).join(names, F.col("_norm") == F.col("_n"), "left")
+    junk = ~acceptable(F.col("name"), generic, first_names, F.col("_norm")) | (kind_of(F.col("name"), F.col("kind")) != F.col("kind"))
     open_ = F.col("status") == "open"
     status = (F.when(open_ & (F.col("kind") == "unit") & F.col("_known"), "accepted")
               .when(open_ & junk, "rejected").otherwise(F.col("status")))

@@ -222,12 +222,12 @@ def known_filter(spark, sf):
     part = table(spark, sf, "part")
     candidates = part.select(F.col("p_partkey").alias("doc_id"), F.lit("unit").alias("kind"), F.concat_ws(
         " ", "p_name", F.lower("p_type"), F.when(F.col("p_size") % 3 == 0, "ii")).alias("norm"))
-    known = part.filter("p_size < 15").select(F.lit("unit").alias("kind"), F.col("p_name").alias("known")).distinct()
+    known = part.filter("p_retailprice < 902").select(F.lit("unit").alias("kind"), F.col("p_name").alias("known")).distinct()
     return P.unknown(candidates, known).select("doc_id", "norm")
 
 
 KNOWN_SQL = """WITH c AS (SELECT p_partkey AS doc_id, p_name || ' ' || lower(p_type) || CASE WHEN p_size % 3 = 0 THEN ' ii' ELSE ''
- END AS norm, p_name FROM part) SELECT doc_id, norm FROM c WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size < 15)"""
+ END AS norm, p_name FROM part) SELECT doc_id, norm FROM c WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_retailprice < 902)"""
 
 
 def name_quality(spark, sf):
@@ -249,11 +249,8 @@ q AS (SELECT name, length(name) BETWEEN 2 AND 90 AND len(ws) BETWEEN 1 AND 12 AN
   AND NOT (len(ws) BETWEEN 2 AND 6 AND starts_with(name, 'Blue ') AND len(list_filter(ws, lambda x: NOT regexp_matches(x, '^\p{{Lu}}')
     AND lower(x) NOT IN ({", ".join("'" + h + "'" for h in P.STOPWORDS)}))) = 0)
   AND NOT regexp_matches(name, '(?i)\b(editora|edi[cç][oõ]es|press|livraria|publishing)\b')
-  AND len(list_filter(range(1, length(name)), lambda i: len(list_filter(range(2, 46), lambda k:
-      regexp_matches(name[i:i + 2 * k - 1], '^[A-Za-z0-9_]+$') AND length(name[i:i + 2 * k - 1]) = 2 * k
-      AND lower(name[i:i + k - 1]) = lower(name[i + k:i + 2 * k - 1])
-      AND (i = 1 OR NOT regexp_matches(name[i - 1], '[A-Za-z0-9_]')) AND (i + 2 * k > length(name)
-      OR NOT regexp_matches(name[i + 2 * k], '[A-Za-z0-9_]')))) > 0)) = 0
+  AND len(list_filter(regexp_split_to_array(name, '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 4 AND length(x) % 2 = 0
+    AND lower(x[:length(x) // 2]) = lower(x[length(x) // 2 + 1:]))) = 0
   AND NOT regexp_matches(name, '[a-zà-ÿ][A-ZÀ-Ý]|\b[A-ZÀ-Ý] [A-ZÀ-Ý][a-zà-ÿ]|[a-zà-ÿ]\d') AS ok FROM w)
 SELECT substr(name, 1, 30) AS head, bool_or(coalesce(ok, false)) AS ok FROM q GROUP BY 1"""
 

@@ -32,7 +32,8 @@ def index(spark, sf) -> DataFrame:
                (F.lit(2016) + F.col("n_chars") % 8).cast("string"))).alias("academic_year"),
         F.when(F.col("quality") == 1, "statement").when(F.col("quality") == 0, "solution").alias("role"),
         N.X.slugify("head", 40).alias("display_name"),
-        F.timestamp_seconds(F.lit(1735689600) + F.col("n_chars")).alias("created_at")))
+        (F.lit("2025-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+            secs=F.col("n_chars").cast("decimal(18,6)"))).alias("created_at")))
 
 
 _INDEX = f"""raw AS (SELECT doc_id, source AS owner, lang AS unit, sha256(text) AS sha256, n_chars,
@@ -337,7 +338,7 @@ def access_states(spark, sf):
     token = F.when(F.col("o_totalprice") > 100000, F.col("o_orderdate") + F.expr("interval 60 days"))
     status = (F.when(F.col("o_orderpriority") == "1-URGENT", "revoked")
               .when(F.col("o_orderpriority") == "2-HIGH", "paused").otherwise("active"))
-    now = F.lit("1998-08-01").cast("timestamp")
+    now = F.lit("1998-08-01").cast("timestamp_ntz")
     wanted = F.col("o_orderdate") + F.expr("interval 75 days")
     return o.select("o_orderkey", N.access_state(status, until, token, now).alias("state"),
                     N.access_term(until, token).alias("term"),
