@@ -199,15 +199,10 @@ def institution_choices(existing: DataFrame, proposed: DataFrame, unit_proposals
             .unionByName(proposed.select(
                 F.concat(F.lit("p:"), "id").alias("key"), X.slugify(F.coalesce("acronym", "name"), 30)
                 .alias("slug"), "name", F.lit(1).alias("part"))))
-    named = unit_proposals.agg(F.count_distinct("institution").alias("n"),
-                               F.min("institution").alias("one"))
-    sizes = rows.agg(F.sum(F.when(F.col("part") == 0, 1).otherwise(0)).alias("have"),
-                     F.min_by("key", F.struct("part", "key")).alias("first"),
-                     F.min(F.when(F.col("part") == 0, F.col("key"))).alias("only"))
-    facts = named.join(sizes, F.lit(True))
-    match = (existing.join(facts, (F.col("n") == 1) & (F.col("slug") == F.col("one")))
-             .select(F.concat(F.lit("i:"), "slug").alias("match")))
-    chosen = facts.join(match, F.lit(True), "left").select(F.coalesce(
-        "match", F.when(F.col("have") == 1, F.col("only")).otherwise(F.col("first"))).alias("pref"))
-    return rows.join(chosen, F.lit(True)).select("key", "slug", "name", "part",
-                                                 (F.col("key") == F.col("pref")).alias("preferred"))
+    n = unit_proposals.agg(F.count_distinct("institution")).scalar()
+    one = unit_proposals.agg(F.min("institution")).scalar()
+    own = F.col("part") == 0
+    match = rows.filter(own & (n == 1) & (F.col("slug") == one)).agg(F.min("key")).scalar()
+    only = rows.agg(F.when(F.count_if(own) == 1, F.min(F.when(own, F.col("key"))))).scalar()
+    first = rows.agg(F.min_by("key", F.struct("part", "key"))).scalar()
+    return rows.withColumn("preferred", F.col("key") == F.coalesce(match, only, first))

@@ -42,9 +42,8 @@ def by_id(index: DataFrame, key: str) -> DataFrame:
 
 def by_prefix(index: DataFrame, prefix: str) -> DataFrame:
     """The document whose id starts with `prefix`, if it is the only one."""
-    two = index.filter(F.startswith(F.col("id").cast("string"), F.lit(prefix))).limit(2)
-    count = two.agg(F.count("*").alias("_n"))
-    return two.join(count.filter("_n = 1"), F.lit(True)).drop("_n")
+    hits = index.filter(F.startswith(F.col("id").cast("string"), F.lit(prefix)))
+    return hits.filter(hits.agg(F.count("*")).scalar() == 1)
 
 
 def children(index: DataFrame, archive: str) -> DataFrame:

@@ -267,7 +267,7 @@ SELECT b.doc_id, b.value, CASE WHEN text_only AND c > 0.6 THEN 0.6 ELSE c END AS
 
 def academic_year(spark, sf):
     """Orders as papers: the file name holds the order date, the header a year in words."""
-    orders = table(spark, sf, "orders")
+    orders = table(spark, sf, "orders", heavy=True)
     y, m, d = F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")
     months = F.array(*[F.lit(x) for x in C.MONTHS])
     header = (F.when(F.col("o_orderpriority") == "1-URGENT",

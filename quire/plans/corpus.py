@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from quire.functions import text as X
 from quire.operators import dedup as D, search as S
 from quire.plans import sqltext as Q
-from quire.session import table
+from quire.session import durable, pinned, table
 
 SEARCH = "the ention"
 FACETED = "que en"
@@ -21,7 +21,7 @@ NORMALIZE_SQL = f"SELECT doc_id, {Q.norm('text')} AS norm FROM documents"
 
 
 def text_measures(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = table(spark, sf, "documents", heavy=True)
     clean = docs.select("doc_id", X.clean_text("text").alias("c"))
     return clean.select("doc_id", F.length("c").alias("chars"),
                         F.sha2("c", 256).alias("clean_sha256"),
@@ -146,11 +146,11 @@ DEDUP_EXACT_SQL = """SELECT source AS owner, sha256(text) AS sha256, min(doc_id)
 
 
 def dedup_same_text(spark, sf):
-    docs = table(spark, sf, "documents")
-    norm = docs.select("doc_id", F.col("source").alias("owner"), X.normalize("text").alias("n"))
-    keyed = norm.select("doc_id", "owner", X.word_count("n").alias("words"),
-                        F.sha2("n", 256).alias("content_key"))
-    return D.same_text(keyed)
+    docs = table(spark, sf, "documents", heavy=True).withColumnRenamed("source", "owner")
+    norm = pinned(docs, ["doc_id", "owner"], n=X.normalize("text"))
+    keyed = norm.select("doc_id", "owner", X.word_count("n").alias("words"), F.sha2("n", 256).alias("content_key"))
+    # the keys are small and used twice, the texts are read once
+    return D.same_text(durable(keyed, "keys"))
 
 
 DEDUP_SAME_TEXT_SQL = f"""

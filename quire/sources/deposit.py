@@ -113,6 +113,27 @@ def manifest_ignored(files: DataFrame, group: str) -> DataFrame:
             .agg(F.count("*").alias("files"), F.sum("size").alias("bytes")))
 
 
+def deposit_items(items: DataFrame, projects: DataFrame, group: str = "batch") -> DataFrame:
+    """Scanned items with code projects as one item each: parts and the members of a project are no
+    items of their own. `projects(batch, dir)` are the project roots."""
+    loose = items.filter("kind <> 'part'").withColumn("_up", dirs_of(F.col("rel")))
+    roots = projects.select(F.col(group).alias("_g"), F.col("dir").alias("_dir"))
+    above = loose.select(group, "rel", F.explode("_up").alias("_d"))
+    inside = above.join(roots, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_d") == F.col("_dir")), "left_semi")
+    members = inside.select(F.col(group).alias("_g"), F.col("rel").alias("_rel")).distinct()
+    kept = loose.join(members, F.col(group).eqNullSafe(F.col("_g")) & (F.col("rel") == F.col("_rel")), "left_anti")
+    return kept.select(group, "rel", "kind").unionByName(projects.select(
+        group, F.col("dir").alias("rel"), F.lit("code_project").alias("kind")))
+
+
+def extraction_metadata(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Extraction records from their JSON text."""
+    schema = ("sha256 string, extractor string, extractor_version int, words int, simhash string, rendition string, "
+              "pages array<struct<n:int,method:string,chars:int,ocr_confidence:double,needs_ai_transcription:boolean,"
+              "label:string>>, metadata map<string,string>, warnings array<string>")
+    return raw.select(F.from_json(column, schema).alias("e")).select("e.*")
+
+
 def software_archives(entries: DataFrame, min_entries: int = 20, ratio: float = 0.5) -> DataFrame:
     """Archives that hold mostly programs. `entries(archive, path)`."""
     other = N.category_of(N.extension_of("path")) == "other"
