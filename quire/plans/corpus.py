@@ -231,8 +231,8 @@ FROM g a JOIN g b ON (a.first < b.first AND bit_count(xor(a.bits, b.bits)) <= 6)
 
 
 def neighbours(spark, sf):
-    """Neighbours of the documents with a toxic label."""
-    asked = table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
+    """Neighbours of the rated documents."""
+    asked = table(spark, sf, "labels").select("doc_id")
     return D.neighbours(_members(spark, sf), asked)
 
 
@@ -242,7 +242,7 @@ m AS (SELECT h.*, sha256(text) AS sha FROM h JOIN documents USING (doc_id) WHERE
 SELECT a.doc_id, b.doc_id AS other, bit_count(xor(a.bits, b.bits))::INT AS distance,
        round(1 - bit_count(xor(a.bits, b.bits)) / 64, 3) AS score
 FROM m a JOIN m b ON a.sha <> b.sha AND bit_count(xor(a.bits, b.bits)) <= 6
-WHERE a.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
+WHERE a.doc_id IN (SELECT doc_id FROM labels)"""
 
 
 QUERIES = {
