@@ -12,7 +12,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.session import durable
 
-__all__ = ["arrow_map", "components", "durable", "ship", "table", "tokenizer_path"]
+__all__ = ["arrow_map", "components", "discard", "durable", "ship", "table", "tokenizer_path"]
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of
+    plans that are done."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        context._jvm.System.gc()
 
 
 def ship(spark: SparkSession) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, classifier, embeddings, licences, packing, quality, simhash, urls
+from quire.llm import bpe, classifier, embeddings, licences, packing, quality, simhash, suffixes, urls
 from quire.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(spark, table(spark, sf_dir, "pages", "page_id", "url"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op3_quality_classifier": (op3_quality_classifier, None),
     "op4_licence_scan": (op4_licence_scan, licences.SQL),
     "op5_quality_rules": (op5_quality_rules, None),
+    "op6_suffix_dedup": (op6_suffix_dedup, None),
     "op7_url_filter": (op7_url_filter, urls.SQL),
     "op8_simhash_dedup": (op8_simhash_dedup, None),
     "op9_embedding_dedup": (op9_embedding_dedup, None),
