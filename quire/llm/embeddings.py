@@ -1,8 +1,8 @@
 """Embedding near-duplicates by product quantisation.
 
 A coarse quantiser deals unit vectors to inverted lists; what is left of a vector after its list's
-centre is coded by the nearest centroids of its subspaces. A query vector visits the lists whose
-centres are nearly as near as the nearest, reads its distances to the coded vectors from a table of
+centre is coded by the nearest centroids of its subspaces. A query vector visits the lists with the
+nearest centres, reads its distances to the coded vectors from a table of
 its distances to the subspace centroids, and the survivors are compared exactly in double precision.
 
 The quantisers are fitted on a bounded sample; all rows are coded. The number of lists follows the
@@ -24,8 +24,8 @@ COSINE = 0.95
 SAMPLE = 20_000  # rows that the quantisers are fitted on, at most
 LIST = 128  # vectors of a list, about
 SUBSPACES, CENTROIDS, ROUNDS = 8, 64, 12
-PROBE = 0.35  # how much farther than the nearest centre a visited list's centre may be
-SLACK = 0.12  # how far a table distance may be above the distance sought
+PROBES = 6  # lists that a vector visits
+SLACK = 0.4  # how far a table distance may be above the distance sought
 PART = 2048  # vectors of a list that a task holds at a time
 
 
@@ -67,8 +67,8 @@ class Quantiser:
         return at, np.stack([_nearest(rest[:, a:b], book) for (a, b), book in zip(self.spans, self.books)], 1).astype("uint8")
 
     def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = np.sqrt(_distances(x, self.centres))
-        return np.nonzero(d <= d.min(1, keepdims=True) + PROBE)
+        d, k = _distances(x, self.centres), min(PROBES, len(self.centres))
+        return np.repeat(np.arange(len(x)), k), np.argpartition(d, k - 1, axis=1)[:, :k].ravel()
 
     def table_distances(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of each x to each coded vector of list `at`, from tables."""
@@ -139,7 +139,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vect
 
         def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                for some in np.array_split(np.arange(len(f)), len(f) // 2048 + 1):
+                for some in np.array_split(np.arange(len(f)), len(f) // 1024 + 1):
                     g = f.iloc[some]
                     if not len(g):
                         continue
