@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, classifier, embeddings, licences, packing, quality, simhash, suffixes, urls
+from quire.llm import bpe, chaining, classifier, embeddings, licences, packing, quality, simhash, suffixes, urls
 from quire.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -47,6 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": (op1_substring_dedup, None),
     "op2_bpe": (op2_bpe, None),
     "op3_quality_classifier": (op3_quality_classifier, None),
     "op4_licence_scan": (op4_licence_scan, licences.SQL),
