@@ -56,6 +56,9 @@ def _fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "mu", "inverse", "logdet"])
 
 
+BROADCAST = 10_000  # estimates, of about 600 bytes each
+
+
 FITTED = "key string, mu array<double>, inverse array<double>, logdet double"
 
 
@@ -70,10 +73,12 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
         F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]).alias("inverse"),
         F.lit(float("inf")).alias("logdet")), "estimate")
     near = F.percentile_approx("d", F.lit(share), F.lit(1000))
+    # few estimates go to the rows; many have small groups, which a join by key may gather
+    beside = F.broadcast if fit.count() <= BROADCAST else lambda df: df
     for _ in range(steps):
-        far = rows.join(fit, "key").select("key", "x", "logdet", _distance().alias("d"))
+        far = rows.join(beside(fit), "key").select("key", "x", "logdet", _distance().alias("d"))
         cut = far.groupBy("key").agg(near.alias("cut"))
-        kept = far.join(cut, "key").where(F.col("d") <= F.col("cut"))
+        kept = far.join(beside(cut), "key").where(F.col("d") <= F.col("cut"))
         sums = kept.groupBy("key").agg(
             F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(P)]).alias("sums"),
             F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(P) for j in range(P)]).alias("squares"))
@@ -84,7 +89,7 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
         fit = after
         if not going:
             break
-    middle = (rows.join(fit, "key").groupBy("key").agg(
+    middle = (rows.join(beside(fit), "key").groupBy("key").agg(
         F.percentile_approx(_distance(), F.lit(0.5), F.lit(1000)).alias("middle")))
     return durable(fit.join(middle, "key").select("key", "mu", "inverse",
                                                   F.greatest(F.col("middle") / MEDIAN, F.lit(1.0)).alias("scale")), "estimate")
