@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.llm import classifier, packing, quality, simhash, suffixes
-from quire.llm.common import durable, table
+from quire.llm.common import durable, fresh, table
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id, null or not, is among the ids."""
-    ids = ids.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    key = fresh(docs, "_kept")
+    ids = ids.select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.session import durable
 
-__all__ = ["arrow_map", "components", "discard", "durable", "ship", "table", "tokenizer_path"]
+__all__ = ["arrow_map", "components", "discard", "durable", "fresh", "ship", "table", "tokenizer_path"]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, longer where the table has it already."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
 
 
 def discard(*frames: DataFrame) -> None:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import arrow_map, discard, durable, ship
+from quire.llm.common import arrow_map, discard, durable, fresh, ship
 from quire.llm.rindex import RunIndex
 
 LENGTH = 100
@@ -297,8 +297,10 @@ def _kept(data: bytes, runs: list[dict]) -> tuple[bytes, int, int]:
 
 
 def _with_runs(docs: DataFrame, length: int) -> DataFrame:
-    found = removed(docs, length).withColumnRenamed("doc_id", "_id")
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    """The documents and, as last column, the runs to remove from each."""
+    key, runs = fresh(docs, "_id"), fresh(docs, "runs")
+    found = removed(docs, length).toDF(key, runs)
+    return docs.join(found, F.col("doc_id") == F.col(key), "left").drop(key)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -308,7 +310,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = [t if t is None or not runs else _kept(t.encode(), runs)[0].decode(errors="ignore")
-                 for t, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist())]
+                 for t, runs in zip(batch.column("text").to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
         return {c: batch.column(c) for c in kinds} | {"text": texts}
 
     return arrow_map(_with_runs(docs, length), run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
