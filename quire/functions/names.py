@@ -257,7 +257,7 @@ def clamp_until(wanted: Column, token_expires: Column) -> Column:
 
 
 RANKS = ["none", "viewer", "reader", "contributor", "organizer", "editor", "manager"]
-OWNER_ONLY = "^(\\.github/|\\.claude/|originais/)|^(acessos|nexus)\\.yaml$"
+OWNER_ONLY = "^(\\.github/|\\.claude/|originais/)|^acessos\\.yaml$"
 
 
 def rank_level(role: Column) -> Column:
@@ -277,9 +277,10 @@ def capabilities(role: Column) -> Column:
                     (level >= 5).alias("verify"), F.lit(False).alias("configure"))
 
 
-def path_allowed(role: Column, path: Column, owner: Column) -> Column:
+def path_allowed(role: Column, path: Column, owner: Column, owner_only: str = OWNER_ONLY) -> Column:
+    """Whether the role may write the path; `owner_only` is the pattern of paths that no role may."""
     own = F.startswith(path, F.concat(F.lit("deposito/"), owner, F.lit("/")))
-    return (F.when(path.rlike(OWNER_ONLY), F.lit(False)).when(role == "contributor", own)
+    return (F.when(path.rlike(owner_only), F.lit(False)).when(role == "contributor", own)
             .when(role == "organizer", ~path.rlike("^(utilizadores|gerado)/"))
             .otherwise(rank_level(role) >= 5))
 
@@ -315,7 +316,7 @@ def date_label(date: Column) -> Column:
     return F.date_format(date.try_cast("date"), "dd/MM/yyyy")
 
 
-DEGREE = ("(?i)^\\s*(licenciatura|mestrado(\\s+integrado)?|doutoramento|ctesp|"
+DEGREE = ("(?iu)^\\s*(licenciatura|mestrado(\\s+integrado)?|doutoramento|ctesp|"
           "curso\\s+t[eé]cnico\\s+superior\\s+profissional|p[oó]s-?\\s?gradua[cç][aã]o)\\s+(em|de)\\s+")
 
 
@@ -333,10 +334,12 @@ def degree_of(name: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sort key: accents and case do not count, numbers compare by value."""
+    """Sort key: accents and case do not count, numbers compare by value: the number of their digits
+    goes ahead of them."""
+    digits = lambda r: F.regexp_replace(r, "^0+(?=.)", "")
     runs = F.regexp_extract_all(F.lower(X.strip_accents(text)), F.lit("[0-9]+|[^0-9]+"), 0)
     return F.array_join(F.transform(runs, lambda r: F.when(
-        r.rlike("^[0-9]"), F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), 20, "0")).otherwise(r)), "")
+        r.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(r)).cast("string"), 6, "0"), digits(r))).otherwise(r)), "")
 
 
 # --- marks, reasons, notebooks --------------------------------------------------------------------

@@ -62,7 +62,7 @@ def folder_profile(members: DataFrame) -> DataFrame:
     return out.withColumn("qualifies", fits)
 
 
-def project_folders(members: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def project_folders(members: DataFrame) -> DataFrame:
     """id, owner, folder of the proposed bundles: largest folder first, a document in one only.
 
     The choice for a folder only depends on earlier folders that share a document with it. So in
@@ -70,13 +70,12 @@ def project_folders(members: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     their taken documents leave the other folders. Folders that can no longer become a bundle drop
     out before. The result is that of going through the folders one by one.
     """
-    spark = members.sparkSession
     keys = ["owner", "folder"]
     size = members.groupBy(*keys).agg(F.count("*").alias("_size"))
     rows = members.join(size, keys).withColumn(
         "_rank", F.struct((-F.col("_size")).alias("minus"), F.col("folder").alias("name"))).drop("_size")
     out = None
-    for _ in range(max_rounds):
+    while True:  # each round settles a folder at least
         profile = folder_profile(rows)
         hope = (F.col("files") >= 2) & (F.col("structured") | (
             (F.col("code") > 0) & ((F.col("documents") > 0) | (F.col("images") > 0))))
@@ -91,7 +90,7 @@ def project_folders(members: DataFrame, max_rounds: int = 10_000) -> DataFrame:
             "qualifies", "_ready")
         if state.filter("not _ready").isEmpty():
             break
-    return out if out is not None else spark.createDataFrame([], members.select("id", *keys).schema)
+    return out
 
 
 # --- leads ----------------------------------------------------------------------------------------

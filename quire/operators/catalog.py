@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from quire.functions import text as X
-from quire.session import row_digest
+from quire.session import durable, number_within, row_digest
 
 SLUG = "^[a-z0-9]+(-[a-z0-9]+)*$"
 ADDITIVE = ("aliases", "keywords")
@@ -103,33 +104,49 @@ def loose_units(units: DataFrame, course_units: DataFrame) -> DataFrame:
     return units.join(course_units, F.col("key") == F.col("unit_key"), "left_anti")
 
 
-def topic_tree(topics: DataFrame, max_depth: int = 12) -> DataFrame:
+def topic_tree(topics: DataFrame) -> DataFrame:
     """unit_key, slug, depth, sort: preorder numbers of `topics(unit_key, slug, parent_slug,
-    position)`. The path of sibling positions sorts like the preorder."""
-    pad = lambda c: F.lpad(c.cast("string"), 6, "0")
+    position)`, level by level until none is left. The path of sibling positions sorts like the
+    preorder. Topics that no root leads to are not in the tree."""
     level = topics.filter("parent_slug is null").select(
-        "unit_key", "slug", "parent_slug", F.lit(0).alias("depth"), pad(F.col("position"))
+        "unit_key", "slug", "parent_slug", F.lit(0).alias("depth"), F.array(F.col("position").cast("long"))
         .alias("path"))
     tree = level
-    for depth in range(1, max_depth):
+    for depth in count(1):
         parents = level.select("unit_key", F.col("slug").alias("parent_slug"),
                                F.col("path").alias("_p"))
-        level = topics.join(parents, ["unit_key", "parent_slug"]).select(
+        level = durable(topics.join(parents, ["unit_key", "parent_slug"]).select(
             "unit_key", "slug", "parent_slug", F.lit(depth).alias("depth"),
-            F.concat_ws(".", "_p", pad(F.col("position"))).alias("path"))
+            F.concat("_p", F.array(F.col("position").cast("long"))).alias("path")), "level")
         if level.isEmpty():
             break
         tree = tree.unionByName(level)
-    w = Window.partitionBy("unit_key").orderBy("path")
-    return tree.select("unit_key", "slug", "parent_slug", "depth",
-                       (F.row_number().over(w) - 1).alias("sort"))
+    return number_within(tree, ["unit_key"], "path", "sort").select(
+        "unit_key", "slug", "parent_slug", "depth", (F.col("sort") - 1).cast("int").alias("sort"))
+
+
+def merge_targets(merges: DataFrame) -> DataFrame:
+    """`merges(key, into)` with the last target of each chain; a removed target (into is null) removes
+    all that lead to it. Each round doubles the steps that are followed; a circle is an error."""
+    m = durable(merges.select("key", "into"), "merges")
+    steps, rounds = m.count(), 0
+    while True:
+        on = m.select(F.col("key").alias("_k"), F.col("into").alias("_next"))
+        ahead = m.join(on, F.col("into") == F.col("_k"), "left")
+        if ahead.where("_k is not null").isEmpty():
+            return m
+        if 2 ** rounds > steps:
+            raise ValueError("the merges go in a circle")
+        m = durable(ahead.select("key", F.when(F.col("_k").isNotNull(), F.col("_next")).otherwise(F.col("into")).alias("into")), "merges")
+        rounds += 1
 
 
 def merge_units(docs: DataFrame, units: DataFrame, course_units: DataFrame,
                 merges: DataFrame) -> dict[str, DataFrame]:
     """Units removed or merged by `merges(key, into)`: documents and course links follow, a course
-    never lists a unit twice, the old names become aliases of the target."""
-    m = merges.select(F.col("key").alias("_from"), F.col("into").alias("_into"))
+    never lists a unit twice, the old names become aliases of the target. Where the target is merged
+    itself, its own target counts, to the end of the chain."""
+    m = merge_targets(merges).select(F.col("key").alias("_from"), F.col("into").alias("_into"))
     new_docs = docs.join(m, F.col("unit") == F.col("_from"), "left").select(
         *[c for c in docs.columns if c not in ("unit", "classifier_version")],
         F.when(F.col("_from").isNotNull(), F.col("_into")).otherwise(F.col("unit")).alias("unit"),
@@ -179,6 +196,20 @@ def ordered_changes(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return last.select("entity", "key", "c.*"), log.filter("error is not null")
 
 
+def folded_changes(log: DataFrame) -> DataFrame:
+    """The state that the valid requests of `log(seq, entity, key, action, payload map, error)` leave:
+    entity, key, action and seq of the last request, and `fields`: of each field the last value given
+    since the last removal, null where the entity is removed."""
+    ok = log.filter("error is null")
+    last = ok.groupBy("entity", "key").agg(F.max_by("action", "seq").alias("action"), F.max("seq").alias("seq"),
+                                           F.max(F.when(F.col("action") == "remove", F.col("seq"))).alias("gone"))
+    given = ok.filter("action <> 'remove'").select("entity", "key", "seq", F.explode("payload").alias("field", "value"))
+    since = given.join(last.select("entity", "key", "gone"), ["entity", "key"]).filter("gone is null or seq > gone")
+    values = since.groupBy("entity", "key", "field").agg(F.max_by("value", "seq").alias("value"))
+    fields = values.groupBy("entity", "key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
+    return last.drop("gone").join(fields, ["entity", "key"], "left")
+
+
 def union_first(parts: list[DataFrame], name: str = "name") -> DataFrame:
     """Union of sources of falling priority; the first with the same normalised name stays."""
     rows = None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import log2
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,6 +13,7 @@ from quire.session import digest_words, durable, pinned
 MIN_WORDS = 40
 MAX_DISTANCE = 6
 BITS = 64
+BUCKET_BITS = 5.5  # of the number of hashes that a band key is left to tell apart
 _PAIR_MASK = (1 << 32) | 1
 
 
@@ -132,7 +134,9 @@ def plan_blocks(n: int, distance: int = MAX_DISTANCE) -> tuple[int, int]:
     """(blocks, agreeing blocks) for about `n` hashes. Two hashes at most `distance` bits apart
     agree in `blocks - distance` blocks at least; more blocks make keys longer and buckets smaller,
     at the price of more copies of each hash."""
-    agree = 1 if n < 20_000 else 2 if n < 1_000_000 else 3 if n < 50_000_000 else 4
+    agree = 1
+    while agree * BITS / (distance + agree) < log2(max(n, 1)) - BUCKET_BITS:
+        agree += 1
     return distance + agree, agree
 
 
@@ -213,7 +217,7 @@ def neighbours(members: DataFrame, doc: DataFrame, dismissed: DataFrame | None =
     """Near duplicates of each document in `doc(doc_id)`: other, distance, score. The asked
     documents are joined on band keys, so the whole table is only scanned once."""
     live = members.filter(F.col("words") >= min_words).select("doc_id", "sha256", "simhash")
-    blocks = plan_blocks(0, distance)
+    blocks = plan_blocks(live.count(), distance)
     asked = live.join(doc.select("doc_id"), "doc_id", "left_semi").select(
         *[F.col(c).alias(f"_{c}") for c in ("doc_id", "sha256", "simhash")])
     keys = lambda df, c: df.withColumn("k", F.explode(band_keys(F.col(c), *blocks)))

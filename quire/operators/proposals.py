@@ -12,16 +12,16 @@ from quire.session import pinned
 
 # Patterns and word lists of the header extraction.
 _SEP = "\\s*[:\\-–—]\\s*"
-UNIT_LABEL = "(?i)\\b(?:unidade\\s+curricular|u\\.\\s?c\\.|disciplina|cadeira)" + _SEP + "([^\\n|]{3,80})"
-COURSE = ("(?i)\\b(licenciatura|mestrado(?:\\s+integrado)?|doutoramento|ctesp|p[oó]s[\\s-]?gradua[cç][aã]o|"
+UNIT_LABEL = "(?iu)\\b(?:unidade\\s+curricular|u\\.\\s?c\\.|disciplina|cadeira)" + _SEP + "([^\\n|]{3,80})"
+COURSE = ("(?iu)\\b(licenciatura|mestrado(?:\\s+integrado)?|doutoramento|ctesp|p[oó]s[\\s-]?gradua[cç][aã]o|"
           "especializa[cç][aã]o|curso\\s+t[eé]cnico\\s+superior\\s+profissional)\\s+em\\s+([^\\n,;|()]{3,80})")
-TRAINING = "(?i)\\bcurso\\s+de\\s+forma[cç][aã]o\\s+((?:para|de|em)\\s+[^\\n,;|()\\d]{3,80})"
-INSTITUTION = ("(?i)\\b((?:universidade|instituto\\s+(?:superior|polit[eé]cnico)|escola\\s+superior|faculdade|"
+TRAINING = "(?iu)\\bcurso\\s+de\\s+forma[cç][aã]o\\s+((?:para|de|em)\\s+[^\\n,;|()\\d]{3,80})"
+INSTITUTION = ("(?iu)\\b((?:universidade|instituto\\s+(?:superior|polit[eé]cnico)|escola\\s+superior|faculdade|"
                "centro\\s+de\\s+estudos)\\b[^\\n,;|()]{0,80})")
 EXAM_TITLE = ("\\b(?:PROVA|Prova)\\s+(?:(?:ESCRITA|Escrita|escrita|ORAL|Oral|oral)\\s+)?(?:DE|de)\\s+"
               "([A-ZÁÉÍÓÚÂÊÔÃÕÇ][^\\n(\\d–—,;:]{3,90})")
-EXAM_CUT = "(?i)\\s+(via|aviso|data|dura[cç][aã]o|grelha|[1-9]\\S*\\s+chamada)\\b.*$"
-TRAILING = ("(?i)(\\s+-\\s+.*|\\s{2,}.*|\\s+(ano\\s+le[c]?tivo|[ée]poca|data|exame|teste|frequ[êe]ncia)\\b.*"
+EXAM_CUT = "(?iu)\\s+(via|aviso|data|dura[cç][aã]o|grelha|[1-9]\\S*\\s+chamada)\\b.*$"
+TRAILING = ("(?iu)(\\s+-\\s+.*|\\s{2,}.*|\\s+(ano\\s+le[c]?tivo|[ée]poca|data|exame|teste|frequ[êe]ncia)\\b.*"
             "|\\s*\\d{4}\\s*[/-]\\s*\\d{2,4}.*)$")
 STOPWORDS = ["de", "da", "do", "das", "dos", "e", "a", "à", "o", "os", "as", "ao", "aos", "às", "em", "para",
              "com", "na", "no", "nas", "nos", "pelo", "pela", "pelos", "pelas", "por", "of", "and", "the", "in",
@@ -32,7 +32,7 @@ DEGREE_WORDS = ["licenciatura", "mestrado", "doutoramento", "ctesp", "curso", "b
                 "posgraduacao", "especializacao"]
 INSTITUTION_HEADS = ["universidade", "instituto", "instituto superior", "instituto politecnico", "escola",
                      "escola superior", "faculdade", "centro", "centro de estudos", "academia", "conservatorio"]
-PUBLISHER = "(?i)\\b(editora|edi[cç][oõ]es|press|livraria|publishing)\\b"
+PUBLISHER = "(?iu)\\b(editora|edi[cç][oõ]es|press|livraria|publishing)\\b"
 STUTTER = "(?iU)\\b(\\w{2,})\\1\\b"
 BROKEN = "[a-zà-ÿ][A-ZÀ-Ý]|\\b[A-ZÀ-Ý] [A-ZÀ-Ý][a-zà-ÿ]|[a-zà-ÿ]\\d"
 BAD_NAME = "(?U)[/\\\\`|<>=\\[\\]{}()~•_*#@]|\\.\\w{2,4}\\b|\\d{3,}"
@@ -56,7 +56,7 @@ def clean_tail(value: Column) -> Column:
 
 
 def strip_connectors(name: Column) -> Column:
-    stop = "(?i)(\\s+(" + "|".join(STOPWORDS) + "))+\\s*$"
+    stop = "(?iu)(\\s+(" + "|".join(STOPWORDS) + "))+\\s*$"
     return F.trim(F.regexp_replace(X.collapse(name), stop, ""))
 
 

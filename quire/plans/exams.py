@@ -231,15 +231,15 @@ KNOWN_SQL = """WITH c AS (SELECT p_partkey AS doc_id, p_name || ' ' || lower(p_t
 
 
 def name_quality(spark, sf):
-    """Names of suppliers, customers, parts, documents' first lines judged as course names."""
-    d = table(spark, sf, "documents").select(F.trim(F.substring_index("text", "\n", 1)).alias("name"))
+    """Names of suppliers and parts and all lines of the documents judged as course names."""
+    d = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(F.trim("line").alias("name"))
     p = table(spark, sf, "part").select(F.initcap("p_name").alias("name"))
     s = table(spark, sf, "supplier").select(F.col("s_name").alias("name"))
-    return d.unionByName(p).unionByName(s).groupBy(F.substring("name", 1, 30).alias("head")).agg(
-        F.bool_or(P.acceptable(F.col("name"), [], ["blue"])).alias("ok"))
+    return d.unionByName(p).unionByName(s).distinct().select(
+        "name", F.coalesce(P.acceptable(F.col("name"), [], ["blue"]), F.lit(False)).alias("ok"))
 
 
-QUALITY_SQL = rf"""WITH n AS (SELECT trim(string_split(text, E'\n')[1], ' ') AS name FROM documents
+QUALITY_SQL = rf"""WITH n AS (SELECT trim(unnest(string_split(text, E'\n')), ' ') AS name FROM documents
   UNION ALL SELECT {_INIT} FROM part UNION ALL SELECT s_name FROM supplier),
 w AS (SELECT name, list_filter(regexp_split_to_array(name, '\s+'), lambda x: x <> '') AS ws, length(regexp_replace(name,
   '[^\p{{L}}]', '', 'g')) AS letters, {Q.norm('name')} AS norm FROM n),
@@ -252,7 +252,7 @@ q AS (SELECT name, length(name) BETWEEN 2 AND 90 AND len(ws) BETWEEN 1 AND 12 AN
   AND len(list_filter(regexp_split_to_array(name, '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 4 AND length(x) % 2 = 0
     AND lower(x[:length(x) // 2]) = lower(x[length(x) // 2 + 1:]))) = 0
   AND NOT regexp_matches(name, '[a-zà-ÿ][A-ZÀ-Ý]|\b[A-ZÀ-Ý] [A-ZÀ-Ý][a-zà-ÿ]|[a-zà-ÿ]\d') AS ok FROM w)
-SELECT substr(name, 1, 30) AS head, bool_or(coalesce(ok, false)) AS ok FROM q GROUP BY 1"""
+SELECT DISTINCT name, coalesce(ok, false) AS ok FROM q"""
 
 
 def close_proposals(spark, sf):

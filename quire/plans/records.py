@@ -32,17 +32,23 @@ THEN 'private' END AS visibility FROM part"""
 
 
 def change_requests(spark, sf):
-    """Events as catalog requests; errors are set apart, the last good request of an entity stands."""
+    """Events as catalog requests; errors are set apart, fields stay until another request or a removal."""
     e = table(spark, sf, "events")
     log = e.select(F.col("event_id").alias("seq"), F.lit("unit").alias("entity"), F.col("user_id").alias("key"),
                    F.when(F.col("event_type") == "purchase", "remove").otherwise("upsert").alias("action"),
-                   F.col("props").alias("payload"), F.when(F.col("event_type") == "error", "CatalogError").alias("error"))
-    return K.ordered_changes(log)[0]
-
-
-CHANGES_SQL = """SELECT 'unit' AS entity, user_id AS key, CASE WHEN event_type = 'purchase' THEN 'remove' ELSE 'upsert' END AS action,
-props AS payload, event_id AS seq FROM events WHERE event_type <> 'error'
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"""
+                   F.from_json("props", "map<string,string>").alias("payload"), F.when(F.col("event_type") == "error", "CatalogError").alias("error"))
+    fields = F.array_join(F.transform(F.map_entries("fields"), lambda f: F.concat(f["key"], F.lit("="), f["value"])), ";")
+    return K.folded_changes(log).select("entity", "key", "action", "seq", fields.alias("fields"))
+
+
+CHANGES_SQL = """WITH ok AS (SELECT * FROM events WHERE event_type <> 'error'),
+l AS (SELECT user_id, max(event_id) AS seq, max(event_id) FILTER (event_type = 'purchase') AS gone,
+  max_by(CASE WHEN event_type = 'purchase' THEN 'remove' ELSE 'upsert' END, event_id) AS action FROM ok GROUP BY user_id),
+f AS (SELECT user_id, event_id, k, props ->> ('$.' || k) AS v FROM (SELECT *, unnest(json_keys(props)) AS k FROM ok
+  JOIN l USING (user_id) WHERE event_type <> 'purchase' AND (gone IS NULL OR event_id > gone))),
+v AS (SELECT user_id, k, max_by(v, event_id) AS v FROM f GROUP BY user_id, k),
+g AS (SELECT user_id, string_agg(k || '=' || v, ';' ORDER BY k) AS fields FROM v GROUP BY user_id)
+SELECT 'unit' AS entity, user_id AS key, action, seq, fields FROM l LEFT JOIN g USING (user_id)"""
 
 
 def quarantine_retry(spark, sf):

@@ -189,7 +189,7 @@ def natural_order(spark, sf):
 
 
 def _pad(expr: str) -> str:
-    return f"lpad({expr}::VARCHAR, 20, '0')"
+    return f"lpad(length({expr}::VARCHAR)::VARCHAR, 6, '0') || {expr}::VARCHAR"
 
 
 NATURAL_SQL = f"""SELECT p_partkey, p_brand, p_name || ' ' || {_pad('p_size')} || ' ' || {_pad('p_partkey')}

@@ -69,7 +69,8 @@ def reconcile_stream(spark, sf):
     for run in ("first", "second"):
         stream = R.stream_table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
         R.reconcile_stream(stream, f"{base}/store", f"{base}/{run}", ["user_id", "event_type"], "ts", "event_id")
-    return spark.read.parquet(f"{base}/store").select("user_id", "event_type", "event_id", "ts", "value")
+    return R.latest(spark.read.parquet(f"{base}/store"), ["user_id", "event_type"], "ts", "event_id").select(
+        "user_id", "event_type", "event_id", "ts", "value")
 
 
 def waiting_parts(spark, sf):

@@ -50,10 +50,13 @@ def pinned(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's checkpoint folder (a local one only where none is set)."""
+    """A fresh folder below the cluster's checkpoint folder. Where none is set, a local session takes a
+    local folder; executors of a cluster could not share one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return os.path.join(base, f"{purpose}-{os.urandom(6).hex()}")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"spark-{purpose}-")
 
 
@@ -65,36 +68,26 @@ def durable(df: DataFrame, purpose: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def number_within(df: DataFrame, keys: list[str], order: str, out: str = "rn",
-                  buckets: int = 32) -> DataFrame:
-    """`row_number()` per key group, ordered by the numeric column `order`, without ever sorting a
-    whole group in one task.
+def number_within(df: DataFrame, keys: list[str], order: str, out: str = "rn") -> DataFrame:
+    """`row_number()` per key group, ordered by the column `order` of any type that sorts, without ever
+    sorting a whole group in one task.
 
-    Each group is cut into value ranges of `order`; ranks are local to a range and shifted by the
-    sizes of the ranges before it (at most `buckets` rows per key).
+    The rows are range-sorted by key and order, a hot key over several partitions; the rows of a key
+    are counted by partition and each row's place is shifted by the counts before its partition.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.stat.approxQuantile(order, probs, 0.01)))
-    bucket = F.lit(0)
-    if cuts:
-        bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]),
-                                 lambda c: c < F.col(order).cast("double")))
-    staged = df.withColumn("_bucket", bucket)
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    sizes = (staged.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-             .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-             .drop("_n"))
+    spot = F.monotonically_increasing_id()
+    staged = durable(df.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order).withColumn("_at", spot), "sorted")
+    part = F.shiftright("_at", 33)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (staged.groupBy(*keys, part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+             .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1))
     # null-safe on the keys, so that a group with a null key is numbered too
-    left, right = staged.alias("l"), sizes.alias("r")
-    cond = F.col("l._bucket") == F.col("r._bucket")
+    left, right = staged.withColumn("_part", part).alias("l"), sizes.alias("r")
+    cond = F.col("l._part") == F.col("r._part")
     for k in keys:
         cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    local = Window.partitionBy(*[F.col(f"l.{k}") for k in keys], F.col("l._bucket")).orderBy(
-        F.col(f"l.{order}"))
-    return (left.join(right, cond)
-            .withColumn(out, (F.row_number().over(local) + F.col("_shift")).cast("long"))
-            .select(*[F.col(f"l.{c}") for c in df.columns], F.col(out)))
+    return left.join(right, cond).select(*[F.col(f"l.{c}") for c in df.columns],
+                                         (F.col("_at") + F.col("_shift")).cast("long").alias(out))
 
 
 def row_digest(*cols: Column) -> Column:

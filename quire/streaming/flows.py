@@ -28,10 +28,10 @@ def watch_folder(spark: SparkSession, path: str, per_batch: int = BATCH_ITEMS) -
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, per_batch: int = BATCH_ITEMS) -> DataFrame:
-    """A table of the library as a stream of its files."""
+    """A table of the library, one file or a folder of part files, as a stream of its files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
-            .option("pathGlobFilter", f"{name}.parquet").parquet(folder))
+            .parquet(f"{folder}/{name}.parquet*"))  # a pattern may also name one file
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:

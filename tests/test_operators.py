@@ -333,7 +333,7 @@ def test_access_rules(spark):
     row = spark.range(1).select(
         N.access_state(F.lit("active"), t("2025-09-01"), t(None), now).alias("a"), N.access_state(F.lit("paused"), t(None), t("2025-09-01"), now).alias("b"),
         N.effective_role(F.lit("editor"), F.lit("active"), t(None), now).alias("c"), N.effective_role(F.lit("editor"), F.lit("active"), t("2025-09-01"), now).alias("d"),
-        N.path_allowed(F.lit("contributor"), F.lit("deposito/1/x"), F.lit("1")).alias("e"), N.path_allowed(F.lit("manager"), F.lit("nexus.yaml"), F.lit("1")).alias("f"),
+        N.path_allowed(F.lit("contributor"), F.lit("deposito/1/x"), F.lit("1")).alias("e"), N.path_allowed(F.lit("manager"), F.lit("acessos.yaml"), F.lit("1")).alias("f"),
         N.capabilities(F.lit("organizer")).alias("g"), N.parse_visibility(F.lit("público")).alias("h"), N.parse_visibility(F.lit("xx")).alias("i")).first()
     assert tuple(row)[:6] == ("ended", "token_expired", "editor", "none", True, False)
     assert row.g.organize and not row.g.visibility and row.h.value == "public" and not row.i.valid
