@@ -108,6 +108,35 @@ def visible_questions(questions: DataFrame, shas: DataFrame, with_rejected: bool
             .orderBy("sha256", "ord"))
 
 
+def with_extraction(docs: DataFrame, pages: DataFrame, key: str = "sha256") -> DataFrame:
+    """Documents with the figures of their extraction: pages, words and pages that need transcription,
+    0 where nothing was extracted. `pages(key, page, text, needs_transcription)`; documents of one
+    content share its pages, which are counted once."""
+    words = F.size(F.filter(F.split("text", "\\s+"), lambda w: w != ""))
+    counts = pages.groupBy(F.col(key).alias("_content")).agg(
+        F.count("*").alias("pages"), F.sum(words).alias("words"),
+        F.count_if("needs_transcription").alias("pages_needing_transcription"))
+    none = F.lit(0).cast("long")
+    return docs.join(counts, F.col(key) == F.col("_content"), "left").select(*docs.columns, *[
+        F.coalesce(c, none).alias(c) for c in ("pages", "words", "pages_needing_transcription")])
+
+
+REFERENCE_ORDER = {"institutions": ["name"], "courses": ["name"], "units": ["name"], "users": [],
+                   "course_units": ["course_key", "curricular_year", "semester", "unit_key"]}
+
+
+def reference_list(table: DataFrame, name: str) -> DataFrame:
+    """A reference list in its order; users come as they are."""
+    return table.orderBy(*REFERENCE_ORDER[name]) if REFERENCE_ORDER[name] else table
+
+
+def vocabulary(terms: DataFrame, kind: str) -> DataFrame:
+    """The terms of a kind in their own order; flags that are missing are false."""
+    flags = [c for c in terms.columns if c.startswith("is_")]
+    return terms.filter(F.col("kind") == kind).withColumns(
+        {c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in flags}).orderBy("sort")
+
+
 def index_metadata(meta: DataFrame) -> DataFrame:
     """One row: the key-value pairs as a map (a fixed handful of keys)."""
     return meta.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))
