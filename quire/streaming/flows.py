@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.functions import names as N
-from quire.session import row_digest
+from quire.session import durable, row_digest
 
 BATCH_ITEMS = 10
 QUIET_SECONDS, MAX_WAIT_SECONDS = 20, 180
@@ -81,10 +81,12 @@ def idle_sessions(events: DataFrame, key: str, at: str, seconds: int) -> DataFra
 
 def rate_limit(events: DataFrame, key: str, at: str, order: str, seconds: int, maximum: int) -> DataFrame:
     """`allowed` per event: refused when `maximum` allowed attempts lie in the window before it; refused
-    attempts are not counted. Sessions of a key do not touch each other, so a busy key is settled in runs
-    of sessions."""
-    rows = idle_sessions(events.select(key, at, order), key, at, seconds).withColumn(
-        "_run", F.floor(F.col("session") / 256))
+    attempts are not counted. Sessions of a key do not touch each other. One in which no window holds over
+    `maximum` attempts is allowed as a whole; only the others are settled event by event."""
+    counted = durable(attempts_in_window(idle_sessions(events.select(key, at, order), key, at, seconds), key, at, seconds), "attempts")
+    busy = counted.filter(F.col("attempts") > maximum).select(key, "session").distinct()
+    calm = counted.join(busy, [key, "session"], "left_anti").select(key, order, F.lit(True).alias("allowed"))
+    rows = counted.join(busy, [key, "session"], "left_semi")
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean"
     span = pd.Timedelta(seconds=seconds)
@@ -102,7 +104,7 @@ def rate_limit(events: DataFrame, key: str, at: str, order: str, seconds: int, m
             flags.append(ok)
         return pdf[[key, order]].assign(allowed=flags)
 
-    return rows.groupBy(key, "_run").applyInPandas(settle, schema)
+    return calm.unionByName(rows.groupBy(key, "session").applyInPandas(settle, schema))
 
 
 def rate_limit_stream(events: DataFrame, key: str, at: str, order: str, seconds: int, maximum: int) -> DataFrame:
