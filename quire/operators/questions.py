@@ -79,15 +79,28 @@ def review(questions: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.withColumn("review_status", F.coalesce("_d.status", "review_status")).drop("_d")
 
 
-def still_in_file(questions: DataFrame, pages: DataFrame) -> DataFrame:
-    """The questions with `present`: the passage is still in its file, word for word. `questions(sha256,
-    id, text)`, `pages(sha256, page, text)`; pages of a file are read as one text."""
-    corpus = pages.groupBy("sha256").agg(X.collapse(F.array_join(F.transform(F.array_sort(
-        F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), " ")).alias("_corpus"))
-    needle = F.concat(F.lit(" "), X.collapse("text"), F.lit(" "))
-    found = F.contains(F.concat(F.lit(" "), "_corpus", F.lit(" ")), needle)
-    return questions.join(corpus, "sha256", "left").select(
-        *questions.columns, F.coalesce(found, F.lit(False)).alias("present"))
+def still_in_file(questions: DataFrame, pages: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """The questions with `present`: the passage is still in its file, word for word, all its pages are
+    native and so is its context. `questions(sha256, id, text[, pages, context])`, `pages(sha256, page,
+    text[, method])`, `contexts(sha256, id, text[, pages])`; pages of a file are read as one text. A
+    question without pages lies on no other page, one without a context needs none."""
+    native = F.col("method") == "native" if "method" in pages.columns else F.lit(True)
+    corpus = pages.groupBy("sha256").agg(
+        X.collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), " ")).alias("_corpus"),
+        F.collect_set(F.when(native, F.col("page"))).alias("_native"))
+
+    def found(df: DataFrame) -> DataFrame:
+        here = F.contains(F.concat(F.lit(" "), "_corpus", F.lit(" ")), F.concat(F.lit(" "), X.collapse("text"), F.lit(" ")))
+        if "pages" in df.columns:
+            here = here & (F.size(F.array_except(F.col("pages"), F.col("_native"))) == 0)
+        return df.join(corpus, "sha256", "left").select(*df.columns, F.coalesce(here, F.lit(False)).alias("present"))
+
+    out = found(questions)
+    if contexts is None:
+        return out
+    there = found(contexts).filter("present").select(F.col("sha256").alias("_s"), F.col("id").alias("_c")).distinct()
+    joined = out.join(there, (F.col("sha256") == F.col("_s")) & (F.col("context") == F.col("_c")), "left")
+    return joined.select(*questions.columns, (F.col("present") & (F.col("context").isNull() | F.col("_c").isNotNull())).alias("present"))
 
 
 def locate(passages: DataFrame, texts: DataFrame, key: str, text_key: str, head: int = 5) -> DataFrame:

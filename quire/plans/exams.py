@@ -42,18 +42,21 @@ def _bank(spark, sf) -> DataFrame:
 
 def still_in_file(spark, sf):
     turns = table(spark, sf, "conversations")
-    pages = turns.select(F.col("conv_id").alias("sha256"), (F.col("turn") + 1).alias("page"), "text")
-    found = Z.still_in_file(_bank(spark, sf), pages)
+    method = F.when((F.col("role") == "assistant") & (F.length("text") % 7 == 0), "ocr").otherwise("native")
+    pages = turns.select(F.col("conv_id").alias("sha256"), (F.col("turn") + 1).alias("page"), "text", method.alias("method"))
+    bank = _bank(spark, sf).withColumn("pages", F.array(F.col("id") + 1)).withColumn("context", F.when(F.col("id") % 2 == 1, F.lit(0)))
+    found = Z.still_in_file(bank, pages, bank.filter("id = 0"))
     status = Z.index_status(F.col("present"), Z.exclusion(X.collapse("text")), F.when(
         (F.col("role") == "user") & (F.col("id") == 0), "rejected"))
     return found.select("sha256", "id", "present", status.alias("status"))
 
 
 _BANK = rf"""t AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND length(text) % 3 = 0 THEN text || ' x' ELSE text END
-  AS q FROM conversations),
+  AS q, NOT (role = 'assistant' AND length(text) % 7 = 0) AS native FROM conversations),
 c AS (SELECT conv_id, {Q.collapse("string_agg(text, ' ' ORDER BY turn)")} AS corpus FROM conversations GROUP BY conv_id),
-k AS (SELECT conv_id, turn, role, q, {Q.collapse('q')} AS n, contains(' ' || corpus || ' ', ' ' || {Q.collapse('q')} || ' ')
-  AS present FROM t JOIN c USING (conv_id)),
+h AS (SELECT conv_id, turn, role, q, {Q.collapse('q')} AS n, native AND contains(' ' || corpus || ' ', ' ' || {Q.collapse('q')} || ' ')
+  AS here FROM t JOIN c USING (conv_id)),
+k AS (SELECT *, here AND (turn % 2 = 0 OR coalesce(bool_or(here) FILTER (turn = 0) OVER (PARTITION BY conv_id), false)) AS present FROM h),
 s AS (SELECT *, CASE WHEN regexp_matches(lower(strip_accents(n)), '{Z.FIGURE}')
   THEN 'excluded' WHEN regexp_matches(n, '[=<>≤≥≠±×÷√∫∑∏∞∂∈∉⊂⊆⊃∪∩→←↔⇒⇔^_{{}}|~∀∃∇]|\b[a-zA-Z]\s*\(\s*[a-zA-Z0-9]\s*\)|\b(lim|log|ln|sen|sin|cos|tg|tan|exp|max|min)\b|(^|[^A-Za-zÀ-ÿ])[a-z]\d($|\D)')
   THEN 'excluded' WHEN role = 'user' AND turn = 0 THEN 'rejected' WHEN NOT present THEN 'missing' ELSE 'visible' END AS status FROM k)"""
