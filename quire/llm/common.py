@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.session import durable
 
-__all__ = ["arrow_map", "components", "discard", "durable", "fresh", "ship", "table", "tokenizer_path"]
+__all__ = ["arrow_map", "components", "discard", "durable", "fresh", "release", "ship", "table", "tokenizer_path"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -22,6 +22,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are done, once their result is written."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of
     plans that are done."""
@@ -31,7 +36,7 @@ def discard(*frames: DataFrame) -> None:
         for folder in folders:
             path = context._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-        context._jvm.System.gc()
+        release(df.sparkSession)
 
 
 def ship(spark: SparkSession) -> None:

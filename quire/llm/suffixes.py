@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import arrow_map, discard, durable, fresh, ship
+from quire.llm.common import arrow_map, discard, durable, fresh, release, ship
 from quire.llm.rindex import RunIndex
 
 LENGTH = 100
@@ -248,11 +248,13 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = durable(marks(docs, length), "marks")
     again = (found.groupBy("mark").agg(F.sum("times").alias("n"), F.min("doc_id").alias("home")).where("n > 1")
              .select(F.col("mark").alias("_mark"), "home"))
+    again = durable(again, "again")  # a table, so that adaptive execution can split a hot mark in the join
+    release(spark)
     cuts = (found.join(again, F.col("mark") == F.col("_mark"))
             .groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "home")).alias("cuts"))
             .join(copies.select("doc_id"), "doc_id", "left_anti"))
     cuts = durable(cuts, "cuts")
-    discard(found)
+    discard(found, again)
     parts = durable(segments(docs, cuts, length), "segments")
     discard(cuts)
     sizes = parts.groupBy("home").agg(
