@@ -62,6 +62,12 @@ BROADCAST = 10_000  # estimates, of about 600 bytes each
 FITTED = "key string, mu array<double>, inverse array<double>, logdet double"
 
 
+def _beside(groups: DataFrame) -> DataFrame:
+    """A written table of groups, sent to the rows while it is small: a join by group would gather those
+    of a hot one. With more groups none is that large, or adaptive execution splits it."""
+    return F.broadcast(groups) if groups.count() <= BROADCAST else groups
+
+
 def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """(key, mu, inverse, scale): the estimate of each key of `rows` (key, x). `scale` brings the
     median of the squared distances to where it would be under normality."""
@@ -73,8 +79,8 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
         F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]).alias("inverse"),
         F.lit(float("inf")).alias("logdet")), "estimate")
     near = F.percentile_approx("d", F.lit(share), F.lit(1000))
-    # few estimates go to the rows; many have small groups, which a join by key may gather
-    beside = F.broadcast if fit.count() <= BROADCAST else lambda df: df
+    few = fit.count() <= BROADCAST
+    beside = F.broadcast if few else lambda df: df
     for _ in range(steps):
         far = rows.join(beside(fit), "key").select("key", "x", "logdet", _distance().alias("d"))
         cut = far.groupBy("key").agg(near.alias("cut"))
@@ -113,12 +119,13 @@ def judged(docs: DataFrame, limit: float = LIMIT, fewest: int = FEWEST) -> DataF
              .select(F.col("lang").alias("_l"), F.col("source").alias("_s"),
                      F.when(F.col("n") >= fewest, label("lang", "source"))
                      .when(F.col("n_lang") >= fewest, label("lang")).otherwise("{}").alias("key")))
+    names = _beside(durable(names, "names"))
     keyed = fine.join(names, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
     keyed = durable(keyed.select("doc_id", *[c for c in rows.columns if c not in ("doc_id", "lang", "source")], "key",
                                  F.array(*[f() for f, _ in VECTOR.values()]).alias("x")), "vectors")
-    enough = keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") >= fewest).select("key")
+    enough = _beside(durable(keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") >= fewest).select("key"), "enough"))
     fit = estimates(keyed.select("key", "x").join(enough, "key", "left_semi"))
-    far = (keyed.join(fit, "key", "left").withColumn("distance", _distance() / F.col("scale"))
+    far = (keyed.join(_beside(fit), "key", "left").withColumn("distance", _distance() / F.col("scale"))
            .withColumn("kept", F.coalesce(F.col("distance") <= limit, F.lit(True))))
     failed = rows.where("base_failed").withColumns({"distance": F.lit(None).cast("double"), "kept": F.lit(False)})
     columns = [c for c in rows.columns if c not in ("lang", "source")] + ["distance", "kept"]
