@@ -86,29 +86,38 @@ def _unit(raw: pd.Series, dim: int) -> np.ndarray:
 
 
 def _compare(q: Quantiser, cosine: float, dim: int):
-    """Rows of a part of a list, entries first: links of visitors to its entries."""
+    """Visitors against entries of a part of a list: how many vectors each visitor links with there, and
+    links to the first of those that hang together, a row a vector at most."""
     reach = (np.sqrt(2 - 2 * cosine) + SLACK) ** 2
 
-    def part(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        entries, visitors = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
-        if not len(entries) or not len(visitors):
-            return np.empty(0, "int64"), np.empty(0, "int64")
-        y = _unit(entries["embedding"], dim)
-        codes = np.array([np.frombuffer(c, "uint8") for c in entries["code"]])
-        ids, left, right = entries["node"].to_numpy(), [], []
-        for some in np.array_split(np.arange(len(visitors)), len(visitors) // 1024 + 1):
-            v = visitors.iloc[some]
-            x = _unit(v["embedding"], dim)
-            i, j = np.nonzero(q.table_distances(x, int(v["list"].iloc[0]), codes) <= reach)
-            keep = np.einsum("ij,ij->i", x[i], y[j]) >= cosine
-            left.append(v["node"].to_numpy()[i[keep]])
-            right.append(ids[j[keep]])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return a[a != b], b[a != b]
+    def some(x: np.ndarray, who: np.ndarray, at: int, y: np.ndarray, entries: pd.DataFrame, codes: np.ndarray) -> pd.DataFrame:
+        ids = entries["node"].to_numpy()
+        i, j = np.nonzero(q.table_distances(x, at, codes) <= reach)
+        keep = np.concatenate([np.einsum("ij,ij->i", x[a], y[b]) >= cosine for a, b in zip(
+            np.array_split(i, len(i) // 65536 + 1), np.array_split(j, len(i) // 65536 + 1))])
+        i, j = i[keep], j[keep]
+        i, j = i[who[i] != ids[j]], j[who[i] != ids[j]]
+        n = np.bincount(i, entries["n"].to_numpy()[j], len(who)).astype("int64")
+        of, near = np.arange(len(ids)), np.full(len(who), len(ids))
+        while True:
+            np.minimum.at(near, i, of[j])
+            before = of.copy()
+            np.minimum.at(of, j, near[i])
+            if (of == before).all():
+                break
+        found, moved = np.nonzero(n)[0], np.nonzero(of != np.arange(len(ids)))[0]
+        return pd.DataFrame({"a": np.concatenate([who[found], ids[moved]]), "b": np.concatenate([ids[near[found]], ids[of[moved]]]),
+                             "n": np.concatenate([n[found], np.zeros(len(moved), "int64")])})
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = part(rows)
-        return pd.DataFrame({"a": a, "b": b})
+        entries, visitors = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
+        out = [pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")]
+        if len(entries) and len(visitors):
+            y, x = _unit(entries["embedding"], dim), _unit(visitors["embedding"], dim)
+            codes = np.array([np.frombuffer(c, "uint8") for c in entries["code"]])
+            for part in np.array_split(np.arange(len(visitors)), len(visitors) // 512 + 1):
+                out.append(some(x[part], visitors["node"].to_numpy()[part], int(visitors["list"].iloc[0]), y, entries, codes))
+        return pd.concat(out)
     return run
 
 
@@ -146,14 +155,14 @@ def linked(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vect
                     x = _unit(g["embedding"], dim)
                     at, codes = q.code(x)
                     who, where = q.visits(x)
-                    yield pd.DataFrame({"list": at, "kind": 0, "node": g["node"], "embedding": g["embedding"],
+                    yield pd.DataFrame({"list": at, "kind": 0, "node": g["node"], "n": g["n"], "embedding": g["embedding"],
                                         "code": [c.tobytes() for c in codes]})
-                    yield pd.DataFrame({"list": where, "kind": 1, "node": g["node"].to_numpy()[who],
+                    yield pd.DataFrame({"list": where, "kind": 1, "node": g["node"].to_numpy()[who], "n": 0,
                                         "embedding": g["embedding"].to_numpy()[who], "code": None})
 
         kind = nodes.schema["embedding"].dataType.simpleString()
-        dealt = durable(main.select("node", "embedding").repartition("node").mapInPandas(
-            deal, f"list int, kind int, node long, embedding {kind}, code binary"), "lists")
+        dealt = durable(main.select("node", "n", "embedding").repartition("node").mapInPandas(
+            deal, f"list int, kind int, node long, n long, embedding {kind}, code binary"), "lists")
         sizes = dealt.groupBy("list").agg(F.sum((F.col("kind") == 0).cast("long")).alias("entries"), F.sum("kind").alias("visitors"))
         parts = lambda c: F.ceil(F.col(c) / PART)
         sized = dealt.join(sizes.where("entries > 0 and visitors > 0").withColumnRenamed("list", "_list"), F.col("list") == F.col("_list"))
@@ -163,13 +172,12 @@ def linked(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vect
         spread = (sized.withColumn("own", spot).withColumn("other", F.explode(other))
                   .withColumn("e", F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("other")))
                   .withColumn("v", F.when(F.col("kind") == 0, F.col("other")).otherwise(F.col("own"))))
-        pairs = durable(spread.select("list", "kind", "node", "embedding", "code", "e", "v").groupBy("list", "e", "v")
-                        .applyInPandas(_compare(q, cosine, dim), "a long, b long"), "links")
+        pairs = durable(spread.select("list", "kind", "node", "n", "embedding", "code", "e", "v").groupBy("list", "e", "v")
+                        .applyInPandas(_compare(q, cosine, dim), "a long, b long, n long"), "links")
     if pairs is None:
-        pairs = spark.createDataFrame([], "a long, b long")
-    both = pairs.union(pairs.select("b", "a")).distinct()
-    counts = (both.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy(F.col("a").alias("_a"))
-              .agg(F.sum("n").alias("others")))
+        pairs = spark.createDataFrame([], "a long, b long, n long")
+    # an entry is in one list, so a visitor meets it once
+    counts = pairs.groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("others"))
     joined = components(pairs)
     group = (nodes.join(joined.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
              .select("node", "least", F.coalesce("component", "node").alias("component")))
