@@ -116,7 +116,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     known, rules = _parts()
     table = spark.createDataFrame([(p, i) for i, p in known.items()], "said string, id string")
-    found = sentences(docs).join(table, "said")
+    found = sentences(docs).join(F.broadcast(table), "said")  # a fixed table of about forty rows
     chain = (found.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "line_no", "id"))).alias("seen"))
              .withColumn("chain", F.concat(F.lit("|"), F.array_join("seen.id", "|"), F.lit("|"))))
     out = []
