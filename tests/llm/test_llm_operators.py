@@ -107,6 +107,25 @@ def test_edited_passages_are_found_and_others_not(spark, none):
     assert chaining.passages(none).collect() == []
 
 
+@pytest.mark.parametrize("crowd", [0, 20])
+def test_passages_behind_other_first_places(spark, crowd):
+    """Earlier documents hold the halves of passages that two later ones share, one or a crowd of them."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    made, want, i = [], set(), 0
+    for n in (60, 70, 80, 98):
+        for _ in range(6):
+            passage = words(n)
+            held = [passage[:n // 2], passage[n // 2:], passage[n // 4:n // 4 + 45]] + [passage[a:a + 45] for a in range(0, n - 45, 15)] * crowd
+            made += [(i + k, " ".join(words(80) + h + words(80))) for k, h in enumerate(held)]
+            i += len(held) + 2
+            made += [(i - k, " ".join(words(50) + passage + words(50))) for k in (2, 1)]
+            want.add((i - 1, i - 2))
+    got = {(r["doc_id"], r["match_id"]) for r in chaining.passages(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert len(want & got) >= 0.95 * len(want)
+    assert got <= want
+
+
 # 2
 
 
