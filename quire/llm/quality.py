@@ -106,25 +106,32 @@ def judged(docs: DataFrame, limit: float = LIMIT, fewest: int = FEWEST) -> DataF
 
     Null and empty texts have no words and fail. Null languages and sources are groups like others.
     Rows of groups with under `fewest` passing texts are judged with their language's other small
-    groups, then with all; what is still too few is kept. Repeated rows are judged alike. Only
+    groups; are these too few, by the estimate of the whole language, then by that of all rows that pass;
+    only where the whole table has too few all are kept. Repeated rows are judged alike. Only
     doc_id, lang, source and text are read."""
     rows = with_statistics(docs.select("doc_id", "lang", "source", "text"), "doc_id", "lang", "source")
     rows = durable(rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                                    | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))), "statistics")
     fine = rows.where(~F.col("base_failed"))
     n = fine.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = n.where(F.col("n") < fewest).groupBy("lang").agg(F.sum("n").alias("n_lang"))
+    langs = n.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.sum(F.when(F.col("n") < fewest, F.col("n"))).alias("n_small"))
     label = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
-    names = (n.join(small.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-             .select(F.col("lang").alias("_l"), F.col("source").alias("_s"),
-                     F.when(F.col("n") >= fewest, label("lang", "source"))
-                     .when(F.col("n_lang") >= fewest, label("lang")).otherwise("{}").alias("key")))
-    names = _beside(durable(names, "names"))
+    whole = label(F.col("lang").alias("whole"))
+    names = (n.join(langs.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")))
+             .withColumn("key", F.when(F.col("n") >= fewest, label("lang", "source")).when(F.col("n_small") >= fewest, label("lang"))
+                         .when(F.col("n_lang") >= fewest, whole).otherwise("{}"))
+             .select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "key",
+                     F.when((F.col("n_small") < fewest) & (F.col("n_lang") >= fewest), whole).alias("whole")))
+    names = durable(names, "names")
+    rest = F.when(F.lit(bool(names.where("key = '{}'").take(1))), "{}")
+    # the estimates that a row of the group counts in: its own, its language's and that of all, where some group needs them
+    names = _beside(names.select("_l", "_s", "key", F.array_distinct(F.array_compact(F.array("key", "whole", rest))).alias("counts_in")))
     keyed = fine.join(names, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    keyed = durable(keyed.select("doc_id", *[c for c in rows.columns if c not in ("doc_id", "lang", "source")], "key",
+    keyed = durable(keyed.select("doc_id", *[c for c in rows.columns if c not in ("doc_id", "lang", "source")], "key", "counts_in",
                                  F.array(*[f() for f, _ in VECTOR.values()]).alias("x")), "vectors")
-    enough = _beside(durable(keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") >= fewest).select("key"), "enough"))
-    fit = estimates(keyed.select("key", "x").join(enough, "key", "left_semi"))
+    counted = keyed.select(F.explode("counts_in").alias("key"), "x")
+    enough = _beside(durable(counted.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") >= fewest).select("key"), "enough"))
+    fit = estimates(counted.join(enough, "key", "left_semi"))
     far = (keyed.join(_beside(fit), "key", "left").withColumn("distance", _distance() / F.col("scale"))
            .withColumn("kept", F.coalesce(F.col("distance") <= limit, F.lit(True))))
     failed = rows.where("base_failed").withColumns({"distance": F.lit(None).cast("double"), "kept": F.lit(False)})

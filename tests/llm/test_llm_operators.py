@@ -265,6 +265,18 @@ def test_quality_rules(spark, docs, made, none):
     assert quality.judged(none).collect() == []
 
 
+def test_leftovers_of_large_sources_are_judged(spark):
+    """Junk in a small source of a language with a large one, and in a language of its own."""
+    rng = random.Random(4)
+    clean = lambda: " ".join(rng.choice(["alpha", "gamma", "stone", "river", "house", "quiet", "green", "seven"]) + rng.choice("abcdefgh") for _ in range(60))
+    junk = lambda: " ".join("$$##%%@@!!" + rng.choice("ABCDEFGH") for _ in range(60))
+    made = [(i, clean(), "en", "large") for i in range(600)] + [(1000 + i, junk(), "en", "small") for i in range(30)]
+    made += [(2000 + i, junk(), None, "large") for i in range(5)] + [(3000 + i, clean(), "de", "other") for i in range(40)]
+    got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(made, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(not r["base_failed"] and r["distance"] is not None for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {i for i, *_ in made if 1000 <= i < 3000}
+
+
 def test_minimum_covariance_determinant_finds_the_outliers(spark):
     rng = np.random.default_rng(2)
     p = quality.P
