@@ -5,7 +5,7 @@ centre is coded by the nearest centroids of its subspaces. A query vector visits
 nearest centres, reads its distances to the coded vectors from a table of
 its distances to the subspace centroids, and the survivors are compared exactly in double precision.
 
-The quantisers are fitted on a bounded sample; all rows are coded. The number of lists follows the
+Vectors of each length have quantisers of their own, fitted on a bounded sample; all rows are coded. The number of lists follows the
 number of rows, so a list keeps its size; a list that is too long is met by its visitors in parts.
 Equal vectors are one entry with a count.
 """
@@ -85,12 +85,12 @@ def _unit(raw: pd.Series, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _compare(q: Quantiser, cosine: float, dim: int):
+def _compare(quantisers: dict[int, Quantiser], cosine: float):
     """Visitors against entries of a part of a list: how many vectors each visitor links with there, and
     links to the first of those that hang together, a row a vector at most."""
     reach = (np.sqrt(2 - 2 * cosine) + SLACK) ** 2
 
-    def some(x: np.ndarray, who: np.ndarray, at: int, y: np.ndarray, entries: pd.DataFrame, codes: np.ndarray) -> pd.DataFrame:
+    def some(q: Quantiser, x: np.ndarray, who: np.ndarray, at: int, y: np.ndarray, entries: pd.DataFrame, codes: np.ndarray) -> pd.DataFrame:
         ids = entries["node"].to_numpy()
         i, j = np.nonzero(q.table_distances(x, at, codes) <= reach)
         keep = np.concatenate([np.einsum("ij,ij->i", x[a], y[b]) >= cosine for a, b in zip(
@@ -113,10 +113,11 @@ def _compare(q: Quantiser, cosine: float, dim: int):
         entries, visitors = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
         out = [pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")]
         if len(entries) and len(visitors):
+            dim = int(rows["dim"].iloc[0])
             y, x = _unit(entries["embedding"], dim), _unit(visitors["embedding"], dim)
             codes = np.array([np.frombuffer(c, "uint8") for c in entries["code"]])
             for part in np.array_split(np.arange(len(visitors)), len(visitors) // 512 + 1):
-                out.append(some(x[part], visitors["node"].to_numpy()[part], int(visitors["list"].iloc[0]), y, entries, codes))
+                out.append(some(quantisers[dim], x[part], visitors["node"].to_numpy()[part], int(visitors["list"].iloc[0]), y, entries, codes))
         return pd.concat(out)
     return run
 
@@ -125,8 +126,8 @@ def linked(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vect
     """One row per vector: its key, n_links (other rows with a cosine of at least `cosine`), component_id
     (the smallest key reached by links) and kept (the key is that).
 
-    Null and zero vectors and vectors with null or non-finite components link with nothing; vectors of
-    another length than the most frequent one only with equal ones. Rows that repeat link with each
+    Null and zero vectors and vectors with null or non-finite components link with nothing; vectors
+    link with those of their own length. Rows that repeat link with each
     other. A null key counts as a link of others and is never a component_id; its own component_id is
     its group's, else null. An empty table gives no rows."""
     spark = vectors.sparkSession
@@ -137,43 +138,47 @@ def linked(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vect
     nodes = (rows.where("good").groupBy("embedding").agg(F.min("key").alias("least"), F.count("*").alias("n"))
              .withColumn("dim", F.size("embedding")))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    dims = nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    dims = nodes.groupBy("dim").count().orderBy("dim").collect()
     pairs = None
     if dims:
-        dim, n = dims["dim"], dims["count"]
-        main = nodes.where(F.col("dim") == dim)
-        # a sample by hash, so that it is the same for the same rows
-        sample = main.select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE).toPandas()["embedding"]
-        q = Quantiser(_unit(sample, dim), max(1, min(n // LIST, len(sample) // 4)))
+        quantisers = {}
+        for dim, n in dims:
+            # a sample by hash, so that it is the same for the same rows
+            sample = (nodes.where(F.col("dim") == dim).select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE)
+                      .toPandas()["embedding"])
+            quantisers[dim] = Quantiser(_unit(sample, dim), max(1, min(n // LIST, len(sample) // 4)))
 
         def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                for some in np.array_split(np.arange(len(f)), len(f) // 1024 + 1):
-                    g = f.iloc[some]
-                    if not len(g):
-                        continue
-                    x = _unit(g["embedding"], dim)
-                    at, codes = q.code(x)
-                    who, where = q.visits(x)
-                    yield pd.DataFrame({"list": at, "kind": 0, "node": g["node"], "n": g["n"], "embedding": g["embedding"],
-                                        "code": [c.tobytes() for c in codes]})
-                    yield pd.DataFrame({"list": where, "kind": 1, "node": g["node"].to_numpy()[who], "n": 0,
-                                        "embedding": g["embedding"].to_numpy()[who], "code": None})
+                for dim, rows in f.groupby("dim"):
+                    q = quantisers[int(dim)]
+                    for some in np.array_split(np.arange(len(rows)), len(rows) // 1024 + 1):
+                        g = rows.iloc[some]
+                        if not len(g):
+                            continue
+                        x = _unit(g["embedding"], int(dim))
+                        at, codes = q.code(x)
+                        who, where = q.visits(x)
+                        yield pd.DataFrame({"dim": dim, "list": at, "kind": 0, "node": g["node"], "n": g["n"], "embedding": g["embedding"],
+                                            "code": [c.tobytes() for c in codes]})
+                        yield pd.DataFrame({"dim": dim, "list": where, "kind": 1, "node": g["node"].to_numpy()[who], "n": 0,
+                                            "embedding": g["embedding"].to_numpy()[who], "code": None})
 
         kind = nodes.schema["embedding"].dataType.simpleString()
-        dealt = durable(main.select("node", "n", "embedding").repartition("node").mapInPandas(
-            deal, f"list int, kind int, node long, n long, embedding {kind}, code binary"), "lists")
-        sizes = dealt.groupBy("list").agg(F.sum((F.col("kind") == 0).cast("long")).alias("entries"), F.sum("kind").alias("visitors"))
+        dealt = durable(nodes.select("dim", "node", "n", "embedding").repartition("node").mapInPandas(
+            deal, f"dim int, list int, kind int, node long, n long, embedding {kind}, code binary"), "lists")
+        sizes = dealt.groupBy("dim", "list").agg(F.sum((F.col("kind") == 0).cast("long")).alias("entries"), F.sum("kind").alias("visitors"))
         parts = lambda c: F.ceil(F.col(c) / PART)
-        sized = dealt.join(sizes.where("entries > 0 and visitors > 0").withColumnRenamed("list", "_list"), F.col("list") == F.col("_list"))
+        sized = dealt.join(sizes.where("entries > 0 and visitors > 0").withColumnsRenamed({"dim": "_dim", "list": "_list"}),
+                           (F.col("dim") == F.col("_dim")) & (F.col("list") == F.col("_list")))
         # an entry is in one part of its list and meets all parts of the visitors, and the reverse
         spot = F.pmod(F.xxhash64("node"), F.when(F.col("kind") == 0, parts("entries")).otherwise(parts("visitors")))
         other = F.sequence(F.lit(0).cast("long"), F.when(F.col("kind") == 0, parts("visitors")).otherwise(parts("entries")) - 1)
         spread = (sized.withColumn("own", spot).withColumn("other", F.explode(other))
                   .withColumn("e", F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("other")))
                   .withColumn("v", F.when(F.col("kind") == 0, F.col("other")).otherwise(F.col("own"))))
-        pairs = durable(spread.select("list", "kind", "node", "n", "embedding", "code", "e", "v").groupBy("list", "e", "v")
-                        .applyInPandas(_compare(q, cosine, dim), "a long, b long, n long"), "links")
+        pairs = durable(spread.select("dim", "list", "kind", "node", "n", "embedding", "code", "e", "v").groupBy("dim", "list", "e", "v")
+                        .applyInPandas(_compare(quantisers, cosine), "a long, b long, n long"), "links")
     if pairs is None:
         pairs = spark.createDataFrame([], "a long, b long, n long")
     # an entry is in one list, so a visitor meets it once

@@ -431,6 +431,18 @@ def test_embeddings(spark):
     assert embeddings.linked(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for dim, n in ((24, 60), (16, 40), (3, 1)):
+        for _ in range(n):
+            v, i = rng.normal(size=dim), len(rows)
+            rows += [(i, v.tolist()), (i + 1, (v * 3 + rng.normal(size=dim) * 0.01).tolist())]
+            want |= {i: i, i + 1: i}
+    got = embeddings.linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert {r["vec_id"]: r["component_id"] for r in got.collect()} == want
+
+
 # 10
 
 
