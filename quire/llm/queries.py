@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chaining, classifier, embeddings, licences, packing, quality, simhash, suffixes, urls
+from quire.llm import bpe, chaining, classifier, embeddings, licences, packing, quality, recipes, simhash, suffixes, urls
 from quire.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.judged(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, None),
     "op2_bpe": (op2_bpe, None),
@@ -61,4 +65,5 @@ QUERIES = {
     "op8_simhash_dedup": (op8_simhash_dedup, None),
     "op9_embedding_dedup": (op9_embedding_dedup, None),
     "op10_packing": (op10_packing, None),
+    "op11_exact_dedup": (op11_exact_dedup, recipes.SQL),
 }
