@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chaining, classifier, embeddings, licences, packing, quality, recipes, simhash, suffixes, urls
+from quire.llm import bpe, chaining, classifier, embeddings, licences, packing, quality, recipes, repair, simhash, suffixes, urls
 from quire.llm.common import table
 
 
@@ -54,6 +54,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.judged(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repair.judged(talks, repair.damaged(talks))
+
+
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, None),
     "op2_bpe": (op2_bpe, None),
@@ -66,4 +71,5 @@ QUERIES = {
     "op9_embedding_dedup": (op9_embedding_dedup, None),
     "op10_packing": (op10_packing, None),
     "op11_exact_dedup": (op11_exact_dedup, recipes.SQL),
+    "op12_conversation_repair": (op12_conversation_repair, None),
 }
