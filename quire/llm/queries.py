@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chaining, classifier, embeddings, licences, packing, quality, recipes, repair, simhash, suffixes, urls
+from quire.llm import bpe, chaining, classifier, embeddings, licences, packing, phrases, quality, recipes, repair, simhash, suffixes, urls
 from quire.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.judged(talks, repair.damaged(talks))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, None),
     "op2_bpe": (op2_bpe, None),
@@ -72,4 +76,5 @@ QUERIES = {
     "op10_packing": (op10_packing, None),
     "op11_exact_dedup": (op11_exact_dedup, recipes.SQL),
     "op12_conversation_repair": (op12_conversation_repair, None),
+    "op13_phrase_mining": (op13_phrase_mining, phrases.SQL),
 }
