@@ -4,7 +4,7 @@ The partitions of the corpus are dealt into SHARDS shards. Each shard is mined c
 lowered in proportion to its share of the bytes; as a phrase that is frequent at all is locally frequent
 somewhere, the union of what the shards find has all of them. That union is then counted over the
 whole corpus, by the words themselves. A shard may be larger than a task's memory: tasks count pieces of
-PIECE bytes of it and the counts of its pieces are summed by a shuffle, pairs of words first, and
+some megabytes of it and the counts of its pieces are summed by a shuffle, pairs of words first, and
 longer phrases only where all their pairs are in the union. Phrases are hashed (64 bits, language included)
 while they are sought; hashes that clash and filters that are full let more through, never less.
 """
@@ -12,6 +12,7 @@ while they are sought; hashes that clash and filters that are full let more thro
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,14 @@ from quire.session import number_within
 
 SUPPORT, LONGEST, TOP, SCALE, COVER = 100, 5, 2000, 1000, 100
 SHARDS = 25
-PIECE = 8 << 20  # bytes of text that are counted at once; a longer text is one piece
-SLICE = 4 << 20  # bytes of a long text that are words at once
-SLOTS = 1 << 26
+
+
+class Sizes(NamedTuple):
+    piece: int = 8 << 20  # bytes of text that are counted at once; a longer text is one piece
+    slice: int = 4 << 20  # bytes of a long text that are words at once
+    slots: int = 1 << 26  # of the filter
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = b"."  # stands for the end of a piece of text; no word has one
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
@@ -53,7 +59,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Piece:
     """Words of some texts as numbers, -1 between stretches that no phrase crosses."""
 
-    def __init__(self) -> None:
+    def __init__(self, sizes: Sizes) -> None:
+        self.sizes = sizes
         self.words: list[bytes] = []
         self.langs: list[str] = []
         self.by_lang: dict[str, _Ids] = {}
@@ -67,7 +74,7 @@ class Piece:
         text = text.translate(_TABLE)
         at = 0
         while at < len(text):
-            end = at + SLICE
+            end = at + self.sizes.slice
             if end < len(text):  # a slice ends behind a space or a mark
                 ends = [e for e in (text.find(b" ", end), text.find(b"\n", end)) if e >= 0]
                 end = min(ends) + 1 if ends else len(text)
@@ -93,11 +100,11 @@ def _longer(hashes: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
 
 
 def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = _mix(hashes) % np.uint64(SLOTS)
+    slot = _mix(hashes) % np.uint64(64 * len(bits))
     return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _by_piece(docs: DataFrame, lang: str, text: str, schema: str, fn: Callable[[Piece], dict]) -> DataFrame:
+def _by_piece(docs: DataFrame, lang: str, text: str, sizes: Sizes, schema: str, fn: Callable[[Piece], dict]) -> DataFrame:
     """One pass over whole texts; fn gives the columns for a piece."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -107,16 +114,16 @@ def _by_piece(docs: DataFrame, lang: str, text: str, schema: str, fn: Callable[[
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = Piece()
+        piece = Piece(sizes)
         pack = lambda: pa.RecordBatch.from_pydict({f.name: pa.array(v, f.type) if not isinstance(v, pa.Array) else v
                                                    for f, v in zip(arrow, fn(piece).values())}, schema=arrow)
         for batch in batches:
             for g, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = t.as_buffer() if hasattr(t, "as_buffer") else None
                 piece.add(g, bytes(raw) if raw is not None else b"")
-                if piece.size >= PIECE:
+                if piece.size >= sizes.piece:
                     yield pack()
-                    piece = Piece()
+                    piece = Piece(sizes)
         if piece.parts:
             yield pack()
 
@@ -127,7 +134,7 @@ def _by_piece(docs: DataFrame, lang: str, text: str, schema: str, fn: Callable[[
 LOCAL = "shard int, hash long, n long"
 
 
-def _local(docs: DataFrame, lang: str, text: str, shards: int, lengths: tuple[int, ...], bits: np.ndarray | None) -> DataFrame:
+def _local(docs: DataFrame, lang: str, text: str, sizes: Sizes, shards: int, lengths: tuple[int, ...], bits: np.ndarray | None) -> DataFrame:
     """(shard, hash, n): counts of the phrases of a shard's pieces; a row without hash gives a piece's bytes. With `bits`, phrases
     whose pairs of words are all in it."""
     shared = docs.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
@@ -154,7 +161,7 @@ def _local(docs: DataFrame, lang: str, text: str, shards: int, lengths: tuple[in
         n = np.concatenate([*times, [piece.size]]).astype("int64")
         return {"shard": np.full(len(n), shard, "int32"), "hash": pa.concat_arrays([pa.array(u.view("int64")), pa.nulls(1, pa.int64())]), "n": n}
 
-    return _by_piece(docs, lang, text, LOCAL, count)
+    return _by_piece(docs, lang, text, sizes, LOCAL, count)
 
 
 def local_supports(support: int, bytes_of: dict[int, int]) -> dict[int, int]:
@@ -166,11 +173,11 @@ def local_supports(support: int, bytes_of: dict[int, int]) -> dict[int, int]:
     return {s: 2 + spare * n // total for s, n in bytes_of.items()}
 
 
-def _frequent(docs: DataFrame, lang: str, text: str, support: int, lengths: tuple[int, ...], bits: np.ndarray | None) -> DataFrame:
+def _frequent(docs: DataFrame, lang: str, text: str, sizes: Sizes, support: int, lengths: tuple[int, ...], bits: np.ndarray | None) -> DataFrame:
     """(hash): the union of what the shards find locally frequent."""
     shards = max(1, min(SHARDS, (support - 1) // 2))
     least = min(2, support) if support - 1 >= shards else 1
-    sums = durable(_local(docs, lang, text, shards, lengths, bits).groupBy("shard", "hash").agg(F.sum("n").alias("n"))
+    sums = durable(_local(docs, lang, text, sizes, shards, lengths, bits).groupBy("shard", "hash").agg(F.sum("n").alias("n"))
                    .where(F.col("hash").isNull() | (F.col("n") >= least)), "counts")
     share = {r["shard"]: r["n"] for r in sums.where("hash is null").collect()}  # a row a shard
     if not share:
@@ -179,27 +186,27 @@ def _frequent(docs: DataFrame, lang: str, text: str, support: int, lengths: tupl
     return sums.where("hash is not null").join(table, (F.col("shard") == F.col("of")) & (F.col("n") >= F.col("local"))).select("hash")
 
 
-def _bits(hashes: DataFrame, into: np.ndarray | None = None) -> np.ndarray:
-    """A filter of SLOTS bits, whatever the number of hashes."""
-    slots = hashes.mapInArrow(_slots, "slot long")
-    words = (slots.groupBy(F.shiftright("slot", 6).alias("word"))
+def _bits(hashes: DataFrame, slots: int, into: np.ndarray | None = None) -> np.ndarray:
+    """A filter of so many bits, whatever the number of hashes."""
+    def slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _mix(batch.column(0).to_numpy(zero_copy_only=False).view("uint64")) % np.uint64(slots)
+            yield pa.RecordBatch.from_pydict({"slot": np.unique(slot.view("int64"))})
+
+    words = (hashes.mapInArrow(slot, "slot long").groupBy(F.shiftright("slot", 6).alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toPandas())
-    out = np.zeros(SLOTS // 64, "int64")
+    out = np.zeros(slots // 64, "int64")
     out[words["word"].to_numpy("int64")] = words["bits"].to_numpy("int64")
     return out.view("uint64") if into is None else out.view("uint64") | into
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        slot = _mix(batch.column(0).to_numpy(zero_copy_only=False).view("uint64")) % np.uint64(SLOTS)
-        yield pa.RecordBatch.from_pydict({"slot": np.unique(slot.view("int64"))})
-
-
-def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, lang: str = "lang", text: str = "text",
+             sizes: Sizes = Sizes()) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all phrases of up to `longest` words that occur at least `support` times, and
     (lang, n), the words of each language. Phrases are counted by their words, exactly."""
-    pairs = _bits(_frequent(docs, lang, text, support, (1, 2), None))
-    bits = _bits(_frequent(docs, lang, text, support, tuple(range(3, longest + 1)), pairs), pairs) if longest > 2 else pairs
+    pairs = bits = _bits(_frequent(docs, lang, text, sizes, support, (1, 2), None), sizes.slots)
+    if longest > 2:
+        bits = _bits(_frequent(docs, lang, text, sizes, support, tuple(range(3, longest + 1)), pairs), sizes.slots, pairs)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def count(piece: Piece) -> dict:
@@ -235,7 +242,7 @@ def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, la
         out["phrase"] = pa.array(out["phrase"], pa.binary()).cast(pa.string())
         return out
 
-    counted = durable(_by_piece(docs, lang, text, "lang string, phrase string, size int, n long", count)
+    counted = durable(_by_piece(docs, lang, text, sizes, "lang string, phrase string, size int, n long", count)
                       .groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f"))
                       .where(F.col("phrase").isNull() | (F.col("f") >= support)), "phrases")
     return counted.where("phrase is not null"), counted.where("phrase is null").select("lang", F.col("f").alias("n"))
@@ -260,14 +267,14 @@ def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int = TOP, cover: int = COVER,
-                 lang: str = "lang", text: str = "text") -> DataFrame:
+                 lang: str = "lang", text: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases.
 
     Texts (null: empty) are lower-cased in A-Z, cut at [.,;:!?] and line ends, and split at spaces and tabs; a null language is
     `und`. A phrase goes if a longer one that holds it occurs at least `cover` percent as often.
     As every phrase between two occurs no less than the longer one, the phrases one word longer tell. Rows that repeat count again;
     other columns are not read."""
-    counts, totals = frequent(docs, support, longest, lang, text)
+    counts, totals = frequent(docs, support, longest, lang, text, sizes)
     words = F.split("phrase", " ")
     inner = F.array(F.array_join(F.slice(words, 1, F.col("size") - 1), " "), F.array_join(F.slice(words, 2, F.col("size") - 1), " "))
     held = (counts.where("size > 2").select(F.col("lang").alias("_lang"), F.explode(inner).alias("_phrase"), "f")
