@@ -1,7 +1,7 @@
 """Exact deduplication by recipes of content-defined chunks.
 
-A text without its white space is cut where its own content says so: into atoms, which end at a mark
-or after ATOM characters, and after each atom whose hash falls into one of CUT classes. Equal
+A text without its white space is cut where its own content says so: into atoms, which end at a mark,
+and after each atom whose hash falls into one of CUT classes. Equal
 texts have equal chunks wherever they stand, and texts that share stretches share chunks. Each
 distinct chunk gets an identifier, its hash and, where chunks of different content have one hash, its
 rank among them: contents are compared, hashes only find them. A text is then known by its recipe,
@@ -17,12 +17,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import discard, durable, fresh
+from quire.llm.common import durable, fresh
 
 BLANK = r"[ \t-\r]+"
 MARKS = ".,;:!?、。，！？"
-ATOM, CUT, LONGEST = 64, 16, 4096  # characters, classes, characters
-_ATOMS = f"[^{MARKS}]{{0,{ATOM - 1}}}+[{MARKS}]|[^{MARKS}]{{{ATOM}}}"
+CUT, LONGEST = 16, 4096  # classes, characters
 
 
 def normal(text: str = "text") -> Column:
@@ -33,7 +32,7 @@ def normal(text: str = "text") -> Column:
 def chunked(norm: Column) -> Column:
     """The chunks of a normalised text, in order. It has no spaces, so one can stand for a cut. Chunks
     over LONGEST characters, where no atom cuts, are cut at that length."""
-    atoms = F.split(F.regexp_replace(norm, _ATOMS, "$0 "), " ")
+    atoms = F.split(F.regexp_replace(norm, f"[{MARKS}]", "$0 "), " ")
     cut = F.transform(atoms, lambda a: F.when(F.pmod(F.xxhash64(a), F.lit(CUT)) == 0, F.concat(a, F.lit(" "))).otherwise(a))
     chunks = F.filter(F.split(F.array_join(cut, ""), " "), lambda c: c != "")
     return F.flatten(F.transform(chunks, lambda c: F.when(
