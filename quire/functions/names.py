@@ -229,6 +229,7 @@ def valid_year_label(label: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+# Fixed values.
 VISIBILITY = "^(private|public|link|unit_edition|group:[a-z0-9-]+|user:[A-Za-z0-9-]+)$"
 
 
@@ -256,6 +257,7 @@ def clamp_until(wanted: Column, token_expires: Column) -> Column:
                     F.coalesce(wanted > token_expires, F.lit(False)).alias("capped"))
 
 
+# Fixed values.
 RANKS = ["none", "viewer", "reader", "contributor", "organizer", "editor", "manager"]
 OWNER_ONLY = "^(\\.github/|\\.claude/|originais/)|^acessos\\.yaml$"
 
@@ -316,6 +318,7 @@ def date_label(date: Column) -> Column:
     return F.date_format(date.try_cast("date"), "dd/MM/yyyy")
 
 
+# Fixed values.
 DEGREE = ("(?iu)^\\s*(licenciatura|mestrado(\\s+integrado)?|doutoramento|ctesp|"
           "curso\\s+t[eé]cnico\\s+superior\\s+profissional|p[oó]s-?\\s?gradua[cç][aã]o)\\s+(em|de)\\s+")
 

@@ -6,6 +6,7 @@ import json
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Spacing accents and the combining marks they stand for, ligatures, and the spelling
@@ -253,9 +254,21 @@ def collapse(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), "\\s+", " "))
 
 
+def nfc(c: Column | str) -> Column:
+    """Canonical composition: letters and their accents as one character where there is one."""
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return F.pandas_udf(composed, "string")(_col(c))
+
+
+# White space of all scripts.
+ANY_SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\p{Z}]+"
+
+
 def text_digest(c: Column | str) -> Column:
-    """Digest of a passage, blind to spaces and line breaks."""
-    return F.sha2(collapse(c), 256)
+    """Digest of a passage, blind to spaces and line breaks of any script and to how accents are written."""
+    return F.sha2(F.trim(F.regexp_replace(nfc(c), ANY_SPACE, " ")), 256)
 
 
 def markdown_table(rows: Column) -> Column:

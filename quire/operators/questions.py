@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from bisect import bisect_right
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions import text as X
 from quire.operators.classify import status_rank
-from quire.session import pinned
+from quire.session import durable, pinned
 
 # Limits and patterns of the verification.
 GAP_MAX, TAIL_MAX, MIN_CHARS, MAX_CHARS, MAX_BLOCKS = 160, 250, 20, 6000, 200
@@ -21,9 +16,9 @@ FIGURE = ("\\b(?:figuras?|tabelas?|graficos?|diagramas?|esquemas?|desenhos?|foto
           "imagens? (?:seguintes?|abaixo|acima|em baixo))\\b|\\bfig\\.")
 MATH = ("[=<>≤≥≠±×÷√∫∑∏∞∂∈∉⊂⊆⊃∪∩→←↔⇒⇔^_{}|~∀∃∇]|\\b[a-zA-Z]\\s*\\(\\s*[a-zA-Z0-9]\\s*\\)"
         "|\\b(lim|log|ln|sen|sin|cos|tg|tan|exp|max|min)\\b|(?<![A-Za-zÀ-ÿ])[a-z]\\d(?!\\d)")
-QUESTION_START = ("(?i)(?:^|\\s)(?:\\d{1,3}\\s*[.)]|[a-z]\\)|(?:pergunta|quest[aã]o|exerc[ií]cio)"
+QUESTION_START = ("(?iU)(?:^|\\s)(?:\\d{1,3}\\s*[.)]|[a-z]\\)|(?:pergunta|quest[aã]o|exerc[ií]cio)"
                   "\\s+\\d{1,3})(?=\\s|$)")
-GROUP_HEADER = "(?i)\\b(?:grupo|parte|sec[cç][aã]o)\\s+(?:[IVXL]{1,6}|\\d{1,2})\\b"
+GROUP_HEADER = "(?iU)\\b(?:grupo|parte|sec[cç][aã]o)\\s+(?:[IVXL]{1,6}|\\d{1,2})\\b"
 LABEL = "^(?:([IVXL]{1,6})\\.)?(\\d{1,3})$"
 
 
@@ -172,86 +167,119 @@ def numbering(blocks: DataFrame) -> DataFrame:
 
 # --- verification of a proposal -------------------------------------------------------------------
 
-_START, _HEADER = re.compile(QUESTION_START), re.compile(GROUP_HEADER)
-_LABEL = re.compile(LABEL)
-
-
-def _squeeze(text: str) -> str:
-    return " ".join(unicodedata.normalize("NFC", text).split())
-
-
-class _File:
-    """Pages of one file as one text; a passage is found by its words, whatever spaces part them."""
-
-    def __init__(self, pages: list[tuple[int, str]]) -> None:
-        self.numbers = [n for n, _ in pages]
-        texts = [unicodedata.normalize("NFC", t or "") for _, t in pages]
-        self.starts = [0]
-        for t in texts:
-            self.starts.append(self.starts[-1] + len(t) + 1)
-        self.text = "\n".join(texts)
-
-    def find(self, passage: str, start: int) -> tuple[int, int] | None:
-        pattern = r"(?<!\S)" + r"\s+".join(re.escape(w) for w in passage.split()) + r"(?!\S)"
-        hit = re.compile(pattern).search(self.text, start)
-        return hit.span() if hit else None
-
-    def pieces(self, start: int, end: int) -> tuple[str, list[int]]:
-        """The passage page by page, and the pages it touches."""
-        texts, pages = [], []
-        first, last = (bisect_right(self.starts, p) - 1 for p in (start, end - 1))
-        for i in range(first, last + 1):
-            part = self.text[max(start, self.starts[i]):min(end, self.starts[i + 1] - 1)].strip()
-            if part:
-                texts.append(part)
-                pages.append(self.numbers[i])
-        return "\n".join(texts), pages
-
-
-def _verify_file(blocks: pd.DataFrame, pages: list[tuple[int, str]], native: set[int]) -> tuple[str | None, list]:
-    """(error code, rows) of one proposal: all blocks or none."""
-    file, rows = _File(pages), []
-    cursor, before = 0, None
-    context, context_group, contexts = None, None, 0
-    for block in blocks.sort_values("pos").itertuples():
-        passage = _squeeze(block.text)
-        if not MIN_CHARS <= len(passage) <= MAX_CHARS:
-            return "tamanho", []
-        span = file.find(passage, cursor)
-        if span is None:
-            return "texto_nao_encontrado", []
-        gap = "" if before is None else re.sub(r"\s+", " ", file.text[before:span[0]])
-        if before is not None and (len(gap) > GAP_MAX or _START.search(gap)):
-            return "intervalo", []
-        if _HEADER.search(gap):
-            context = context_group = None
-        text, touched = file.pieces(*span)
-        if not set(touched) <= native:
-            return "pagina_nao_nativa", []
-        cursor = before = span[1]
-        if block.kind == "context":
-            contexts += 1
-            context, context_group = f"c{contexts}", None
-            rows.append((context, "context", block.pos, block.label, None, touched, text))
-            continue
-        label = block.label.strip()
-        parsed = _LABEL.match(label)
-        number = re.escape(parsed.group(2) if parsed else label)
-        opening = rf"(?i)(?:(?:pergunta|quest[aã]o|exerc[ií]cio)\s+{number}\b|{number}\s*(?:[.)ºª:]|-|–))"
-        if not re.match(opening, passage):
-            return "comeco", []
-        group = parsed.group(1) if parsed else None
-        if context and context_group is not None and group != context_group:
-            context = None
-        if context and context_group is None:
-            context_group = group
-        rows.append((label, "question", block.pos, label, context, touched, text))
-    tail = re.sub(r"\s+", " ", file.text[before or 0:]).rstrip()
-    if len(tail) > TAIL_MAX or _START.search(tail):
-        return "fim", []
-    if not rows or rows[-1][1] != "question":
-        return "proposta_invalida", []
-    return None, rows
+# The code points that count as white space.
+SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\p{Z}]"
+SOLID = "[^\\t-\\r\\x1c-\\x20\\x85\\p{Z}]"
+GRAM = 4  # words that a place is sought by
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"{SOLID}+"), F.lit(0))
+
+
+def file_words(pages: DataFrame) -> DataFrame:
+    """sha256, cells, native: the words of each file in page order as (raw, page), raw with the white space behind
+    the word; `native` lists the pages with text of their own. `pages(sha256, page, text, native)`."""
+    tokens = F.regexp_extract_all(X.nfc("text"), F.lit(f"{SOLID}+{SPACE}*"), F.lit(0))
+    sheets = pages.select("sha256", "page", "native", tokens.alias("tokens")).groupBy("sha256").agg(
+        F.array_sort(F.collect_list(F.struct("page", "native", "tokens"))).alias("sheets"))
+    cells = F.flatten(F.transform("sheets", lambda s: F.transform(s["tokens"], lambda t: F.struct(t.alias("raw"), s["page"].alias("page")))))
+    return sheets.select("sha256", cells.alias("cells"),
+                         F.transform(F.filter("sheets", lambda s: s["native"]), lambda s: s["page"]).alias("native"))
+
+
+def _grams(words: Column, size: Column) -> Column:
+    """Runs of so many words, from each word that begins one."""
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+
+
+def places(blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """sha256, pos, starts: where the words of a block stand in its file, from word 1. Runs of GRAM words (or
+    the whole of a shorter block) meet by equality; a place is one that all runs of the block agree on.
+    `blocks(sha256, pos, words)`, `files(sha256, cells)`."""
+    size = F.least(F.size("words"), F.lit(GRAM))
+    sought = blocks.filter(F.size("words") > 0).select("sha256", "pos", "words", size.alias("size"))
+    ours = sought.select("sha256", "pos", "size", (F.size("words") - F.col("size") + 1).alias("runs"),
+                         F.posexplode(_grams(F.col("words"), F.col("size"))).alias("off", "gram"))
+    words = F.transform("cells", lambda c: F.regexp_replace(c["raw"], f"{SPACE}+$", ""))
+    there = (pinned(files.join(sought.select("sha256", "size").distinct(), "sha256"), ["sha256", "size"], w=words)
+             .select("sha256", "size", F.posexplode(_grams(F.col("w"), F.col("size"))).alias("at", "gram")))
+    met = ours.join(there, ["sha256", "size", "gram"]).groupBy("sha256", "pos", "runs", (F.col("at") - F.col("off") + 1).alias("start")).count()
+    return met.filter("count = runs").groupBy("sha256", "pos").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+
+
+def earliest_chain(blocks: DataFrame) -> DataFrame:
+    """sha256, chain: array of (pos, start, end) in the order of pos; each block takes its first place behind
+    the block before it, null from the first block on that has none. `blocks(sha256, pos, many, starts)`; a
+    proposal has MAX_BLOCKS at most."""
+    listed = blocks.groupBy("sha256").agg(F.array_sort(F.collect_list(F.struct("pos", "many", "starts"))).alias("list"))
+    cell = lambda b, start: F.struct(b["pos"].alias("pos"), start.alias("start"), (start + b["many"]).alias("end"))
+    free = lambda done: F.when(F.size(done) == 0, F.lit(1)).otherwise(F.element_at(done, -1)["end"])
+    step = lambda done, b: F.concat(done, F.array(cell(b, F.array_min(F.filter(b["starts"], lambda s: s >= free(done))))))
+    return listed.select("sha256", F.aggregate("list", F.array().cast("array<struct<pos:int,start:int,end:int>>"), step).alias("chain"))
+
+
+def _one_line(cells: Column) -> Column:
+    """The words on one line, a space before each."""
+    return F.array_join(F.transform(cells, lambda c: F.concat(F.lit(" "), F.regexp_replace(c["raw"], f"{SPACE}+$", ""))), "")
+
+
+def located(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Each block with its place: sha256, pos, kind, label, words, start, text and pages as the file has them, a line
+    a page, native (whether all those pages have own text), gap (what stands between it and the block
+    before, null for the first) and tail (what stands behind the last one)."""
+    files = durable(file_words(pages), "files")
+    own = durable(blocks.select("sha256", "pos", "kind", "label", _words(X.nfc("text")).alias("words")), "blocks")
+    found = own.join(places(own, files), ["sha256", "pos"], "left").select(
+        "sha256", "pos", F.size("words").alias("many"), F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
+    none = lambda c: F.coalesce(c, F.array().cast(files.schema[c].dataType)).alias(c)
+    both = (earliest_chain(found).join(files, "sha256", "left").select("sha256", "chain", none("cells"), none("native"))
+            .select("*", F.posexplode("chain").alias("i", "x"))
+            .withColumn("before", F.when(F.col("i") > 0, F.element_at("chain", F.greatest("i", F.lit(1)))["end"])))
+    start, end = F.col("x.start"), F.col("x.end")
+    ahead = F.slice("cells", F.col("before"), F.greatest(start - F.col("before"), F.lit(0)))
+    behind = F.when(F.col("i") == F.size("chain") - 1, F.slice("cells", end, F.greatest(F.size("cells") - end + 1, F.lit(0))))
+    cut = pinned(both, ["sha256", "native", "x"], part=F.slice("cells", start, end - start), ahead=ahead, behind=behind)
+    cut = pinned(cut, ["sha256", "native", "x", "part", "ahead", "behind"], pages=F.array_distinct("part.page"))
+    lines = F.transform("pages", lambda p: F.regexp_replace(F.array_join(F.transform(
+        F.filter("part", lambda c: c["page"] == p), lambda c: c["raw"]), ""), f"{SPACE}+$", ""))
+    placed = cut.select("sha256", F.col("x.pos").alias("pos"), F.col("x.start").alias("start"), F.array_join(lines, "\n").alias("text"), "pages",
+                        (F.size(F.array_except("pages", "native")) == 0).alias("native"),
+                        F.concat(_one_line(F.col("ahead")), F.lit(" ")).alias("gap"), _one_line(F.col("behind")).alias("tail"))
+    return own.join(placed, ["sha256", "pos"])
+
+
+def refusal(passage: Column, number: Column) -> Column:
+    """Why a located block is refused, null where it is not."""
+    starts_by = F.concat(F.lit("(?iU)^(?:(?:pergunta|quest[aã]o|exerc[ií]cio)\\s+"), number, F.lit("\\b|"), number, F.lit("\\s*[.)ºª:–-])"))
+    opens = F.coalesce((F.col("kind") == "context") | F.rlike(passage, starts_by), F.lit(False))
+    return (F.when(~F.length(passage).between(MIN_CHARS, MAX_CHARS), "tamanho")
+            .when(F.col("start").isNull(), "texto_nao_encontrado")
+            .when((F.length("gap") > GAP_MAX) | F.rlike("gap", F.lit(QUESTION_START)), "intervalo")
+            .when(~F.col("native"), "pagina_nao_nativa")
+            .when(~opens, "comeco"))
+
+
+def contexts_of(blocks: DataFrame) -> DataFrame:
+    """`blocks` with `nth` (number of contexts so far) and `context`, the id of the one that a question belongs to.
+
+    A context holds for the questions behind it up to the next context or group header, while these are of
+    one group: the first group named after the context; a question of another one ends it."""
+    order = Window.partitionBy("sha256").orderBy("pos")
+    cut = (F.col("kind") == "context") | F.coalesce(F.rlike("gap", F.lit(GROUP_HEADER)), F.lit(False))
+    stretch = Window.partitionBy("sha256", "_stretch").orderBy("pos")
+    past = stretch.rowsBetween(Window.unboundedPreceding, -1)
+    group = F.when(F.col("kind") == "question", F.nullif(F.regexp_extract(F.trim("label"), LABEL, 1), F.lit("")))
+    named = F.first("_group", ignorenulls=True).over(past)
+    other = (F.col("kind") == "question") & named.isNotNull() & ~named.eqNullSafe(F.col("_group"))
+    rows = (blocks.withColumn("_stretch", F.sum(F.when(cut, 1).otherwise(0)).over(order))
+            .withColumn("nth", F.sum(F.when(F.col("kind") == "context", 1).otherwise(0)).over(order))
+            .withColumn("_group", group).withColumn("_other", other))
+    led = F.first("kind").over(stretch) == "context"
+    whole = ~F.bool_or("_other").over(stretch)
+    return rows.withColumn("context", F.when((F.col("kind") == "question") & led & whole, F.concat(F.lit("c"), "nth"))).drop(
+        "_stretch", "_group", "_other")
 
 
 RESULT = ("sha256 string, code string, id string, kind string, pos int, label string, context string, "
@@ -259,11 +287,10 @@ RESULT = ("sha256 string, code string, id string, kind string, pos int, label st
 
 
 def verify(blocks: DataFrame, pages: DataFrame, native: DataFrame) -> DataFrame:
-    """Verified blocks of each proposal, or one row with the refusal code.
+    """Verified blocks of each proposal, or one row with the refusal code: all blocks or none.
 
-    Structure and numbering are judged on the whole table first; the ordered search runs file by
-    file on the proposals that are left, each at most 200 blocks and one file's text.
-    """
+    Structure and numbering are judged on the whole table first. The blocks of the proposals that are
+    left are located in their files; what is refused in the first refused block, or behind the last one, refuses the proposal."""
     shape = blocks.groupBy("sha256").agg(
         F.count("*").alias("_n"),
         F.bool_and(F.coalesce(F.col("kind").isin("context", "question") & F.col("text").isNotNull()
@@ -273,33 +300,27 @@ def verify(blocks: DataFrame, pages: DataFrame, native: DataFrame) -> DataFrame:
             .when(F.col("_q") == 0, "sem_perguntas"))
     fit = shape.select("sha256", code.alias("code"))
     small = blocks.join(fit.filter("code is null"), "sha256", "left_semi")
-    judged = fit.join(numbering(small).withColumnRenamed("code", "_num"), "sha256", "left").select(
-        "sha256", F.coalesce("code", "_num").alias("code"))
-    null = lambda t: F.lit(None).cast(t)
-    refused = judged.filter("code is not null").select(
-        "sha256", "code", null("string").alias("id"), null("string").alias("kind"), null("int").alias("pos"),
-        null("string").alias("label"), null("string").alias("context"), null("array<int>").alias("pages"),
-        null("string").alias("text"))
+    judged = durable(fit.join(numbering(small).withColumnRenamed("code", "_num"), "sha256", "left").select(
+        "sha256", F.coalesce("code", "_num").alias("code")), "judged")
     good = judged.filter("code is null").select("sha256")
     left = blocks.join(good, "sha256", "left_semi").select("sha256", F.col("pos").cast("int"), "kind", "label", "text")
-    own = native.select("sha256", "page", F.lit(True).alias("native")).distinct()
-    right = pages.join(good, "sha256", "left_semi").join(own, ["sha256", "page"], "left").select(
-        "sha256", F.col("page").cast("int"), "text", F.coalesce("native", F.lit(False)).alias("native"))
-
-    def run(key, b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if b.empty:
-            return pd.DataFrame(columns=["sha256", "code", "id", "kind", "pos", "label", "context", "pages", "text"])
-        p = p.sort_values("page")
-        code, rows = _verify_file(b, list(zip(p.page, p.text)), set(p.page[p.native]))
-        if code:
-            rows = [(None, None, None, None, None, None, None)]
-        out = pd.DataFrame(rows, columns=["id", "kind", "pos", "label", "context", "pages", "text"])
-        out.insert(0, "sha256", key[0])
-        out.insert(1, "code", code)
-        return out
-
-    checked = left.groupBy("sha256").cogroup(right.groupBy("sha256")).applyInPandas(run, RESULT)
-    return refused.unionByName(checked)
+    own = native.select("sha256", F.col("page").cast("int").alias("page"), F.lit(True).alias("native")).distinct()
+    sheets = pages.select("sha256", F.col("page").cast("int").alias("page"), "text").join(good, "sha256", "left_semi").join(
+        own, ["sha256", "page"], "left").select("sha256", "page", "text", F.coalesce("native", F.lit(False)).alias("native"))
+    label = F.trim("label")
+    number = F.coalesce(F.nullif(F.regexp_extract(label, LABEL, 2), F.lit("")), F.lit("\\z"))
+    tail_code = (F.when((F.length("tail") > TAIL_MAX) | F.rlike("tail", F.lit(QUESTION_START)), "fim")
+                 .when(F.col("kind") != "question", "proposta_invalida"))
+    rows = durable(contexts_of(located(left, sheets)).withColumn("code", F.coalesce(
+        refusal(F.array_join("words", " "), number), F.when(F.col("tail").isNotNull(), tail_code))), "located")
+    refused = judged.filter("code is not null").unionByName(
+        rows.filter("code is not null").groupBy("sha256").agg(F.min_by("code", "pos").alias("code")))
+    question = F.col("kind") == "question"
+    kept = rows.join(refused.select("sha256"), "sha256", "left_anti").select(
+        "sha256", F.lit(None).cast("string").alias("code"), F.when(question, label).otherwise(F.concat(F.lit("c"), "nth")).alias("id"), "kind", "pos",
+        F.when(question, label).otherwise(F.col("label")).alias("label"), "context", "pages", "text")
+    void = [F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in kept.columns[2:]]
+    return kept.unionByName(refused.select("sha256", "code", *void))
 
 
 def questions_of(verified: DataFrame) -> DataFrame:

@@ -73,30 +73,73 @@ sum((status = 'excluded')::INT)::BIGINT AS excluded, sum((status = 'visible' AND
 FROM s GROUP BY conv_id"""
 
 
+_START_SQL = r"(?i)(?:^|\s)(?:\d{1,3}\s*[.)]|[a-z]\)|(?:pergunta|quest[aã]o|exerc[ií]cio)\s+\d{1,3})(?:\s|$)"
+
+
+def _proposals(spark, sf):
+    """Each conversation as a file whose pages are numbered questions, and a proposal of its blocks with other spaces,
+    spoilt in one of ten ways by conv_id % 11; long answers are pages without native text."""
+    t = table(spark, sf, "conversations").withColumn("pos", (F.col("turn") + 1).cast("int"))
+    t = t.join(t.groupBy("conv_id").agg(F.count("*").cast("int").alias("n")), "conv_id").withColumn("k", (F.col("conv_id") % 11).cast("int"))
+    pos, n, k = F.col("pos"), F.col("n"), F.col("k")
+    half = F.floor(n / 2).cast("int")  # questions of group I, where the first row is the context
+    second = pos - 1 > half
+    number = F.when(k == 8, pos - 1).when(k == 10, F.when(second, pos - 1 - half).otherwise(pos - 1)).otherwise(pos)
+    led = k.isin(8, 10) & (pos == 1)
+    page = F.when(led, F.col("text")).otherwise(F.concat(number.cast("string"), F.lit(". "), F.col("text")))
+    label = (F.when((k == 5) & (pos == n), "x").when(k == 4, (pos + 1).cast("string")).when((k == 7) & (pos > 2), (pos - 1).cast("string"))
+             .when(k == 10, F.concat(F.when(second, "II.").otherwise("I."), number.cast("string"))).otherwise(number.cast("string")))
+    kind = F.when(led | ((k == 3) & (pos == n)), "context").when((k == 9) & (pos == n), F.lit(None).cast("string")).otherwise("question")
+    said = F.when((k == 1) & (pos == n), F.concat(page, F.lit("x"))).when(k == 6, F.col("text")).otherwise(F.regexp_replace(page, "\\s+", "  "))
+    sha = F.col("conv_id").cast("string").alias("sha256")
+    pages = t.select(sha, pos.alias("page"), page.alias("text"))
+    blocks = (t.filter(~((k == 2) & (pos == n) & (n > 1)) & ~((k == 7) & (pos == 2)))
+              .select(sha, "pos", kind.alias("kind"), label.alias("label"), said.alias("text")))
+    return blocks, pages, t.filter("length(text) < 900").select(sha, pos.alias("page"))
+
+
 def verify_blocks(spark, sf):
-    """Each conversation as a file whose pages are numbered questions, proposed word for word with other
-    spaces; long answers are pages without native text."""
-    turns = table(spark, sf, "conversations")
-    text = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.col("text"))
-    pages = turns.select(F.col("conv_id").alias("sha256"), (F.col("turn") + 1).cast("int").alias("page"), text.alias("text"))
-    blocks = turns.select(F.col("conv_id").alias("sha256"), (F.col("turn") + 1).cast("int").alias("pos"),
-                          F.lit("question").alias("kind"), (F.col("turn") + 1).cast("string").alias("label"),
-                          F.regexp_replace(text, "\\s+", "  ").alias("text"))
-    native = turns.filter("length(text) < 900").select(F.col("conv_id").alias("sha256"), (F.col("turn") + 1).alias("page"))
-    s = lambda df: df.withColumn("sha256", F.col("sha256").cast("string"))
-    out = Z.verify(s(blocks), s(pages), s(native))
-    return out.select("sha256", "code", "pos", F.array_join("pages", ",").alias("pages"),
+    out = Z.verify(*_proposals(spark, sf))
+    return out.select("sha256", "code", "pos", "kind", "label", "context", F.array_join("pages", ",").alias("pages"),
                       X.text_digest("text").alias("digest"))
 
 
-VERIFY_SQL = rf"""WITH b AS (SELECT conv_id, turn + 1 AS pos, (turn + 1)::VARCHAR || '. ' || text AS t, length(text) < 900 AS native
-  FROM conversations),
-c AS (SELECT *, {Q.collapse('t')} AS n FROM b),
-e AS (SELECT *, CASE WHEN length(n) NOT BETWEEN 20 AND 6000 THEN 'tamanho' WHEN NOT native THEN 'pagina_nao_nativa' END AS bad FROM c),
-f AS (SELECT conv_id, arg_min(bad, pos) FILTER (bad IS NOT NULL) AS code FROM e GROUP BY conv_id)
-SELECT e.conv_id::VARCHAR AS sha256, code, pos::INT AS pos, pos::VARCHAR AS pages, sha256(n) AS digest FROM e JOIN f USING (conv_id)
- WHERE code IS NULL
-UNION ALL SELECT conv_id::VARCHAR, code, NULL, NULL, NULL FROM f WHERE code IS NOT NULL"""
+VERIFY_SQL = rf"""WITH RECURSIVE t AS (SELECT conv_id, text, (turn + 1)::INT AS pos, count(*) OVER (PARTITION BY conv_id) AS n, conv_id % 11 AS k FROM conversations),
+h AS (SELECT *, n // 2 AS half, k IN (8, 10) AND pos = 1 AS led FROM t),
+m AS (SELECT *, CASE WHEN k = 8 THEN pos - 1 WHEN k = 10 AND pos - 1 > half THEN pos - 1 - half WHEN k = 10 THEN pos - 1 ELSE pos END AS number FROM h),
+p AS (SELECT *, CASE WHEN led THEN text ELSE number::VARCHAR || '. ' || text END AS page FROM m),
+s AS (SELECT *, {Q.collapse('page')} AS line FROM p),
+files AS (SELECT conv_id, ' ' || string_agg(line, ' ' ORDER BY pos) || ' ' AS whole FROM s GROUP BY conv_id),
+sheets AS (SELECT conv_id, pos AS page, length(text) < 900 AS native, sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY pos) AS stop, length(line) AS size FROM s),
+b AS (SELECT conv_id, pos, n, k, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY conv_id) AS many,
+  CASE WHEN led OR k = 3 AND pos = n THEN 'context' WHEN k = 9 AND pos = n THEN NULL ELSE 'question' END AS kind,
+  CASE WHEN k = 5 AND pos = n THEN 'x' WHEN k = 4 THEN (pos + 1)::VARCHAR WHEN k = 7 AND pos > 2 THEN (pos - 1)::VARCHAR
+    WHEN k = 10 THEN CASE WHEN pos - 1 > half THEN 'II.' ELSE 'I.' END || number::VARCHAR ELSE number::VARCHAR END AS label,
+  CASE WHEN k = 1 AND pos = n THEN line || 'x' WHEN k = 6 THEN {Q.collapse('text')} ELSE line END AS said
+  FROM s WHERE NOT (k = 2 AND pos = n AND n > 1) AND NOT (k = 7 AND pos = 2)),
+early AS (SELECT conv_id, CASE WHEN bool_or(kind IS NULL) THEN 'proposta_invalida' WHEN sum((kind = 'question')::INT) = 0 THEN 'sem_perguntas'
+  WHEN any_value(k) = 4 THEN 'numeracao' WHEN any_value(k) = 5 THEN 'rotulo_invalido' END AS code FROM b GROUP BY conv_id),
+walk AS (SELECT conv_id, 0::BIGINT AS i, 1::BIGINT AS cur, NULL::BIGINT AS start, NULL::VARCHAR AS gap, NULL::VARCHAR AS ctx, NULL::VARCHAR AS grp, 0 AS nth FROM early WHERE code IS NULL
+  UNION ALL
+  SELECT w.conv_id, b.i, w.cur + hit + length(said), w.cur + hit - 1, CASE WHEN w.i > 0 THEN substr(whole, w.cur, hit) END,
+    CASE WHEN kind = 'context' THEN 'c' || (nth + 1)::VARCHAR WHEN regexp_matches(substr(whole, w.cur, hit), '(?i)\b(?:grupo|parte|sec[cç][aã]o)\s+(?:[IVXL]{{1,6}}|\d{{1,2}})\b') AND w.i > 0 THEN NULL
+      WHEN grp IS NOT NULL AND grp IS DISTINCT FROM g THEN NULL ELSE ctx END,
+    CASE WHEN kind = 'context' THEN NULL ELSE coalesce(grp, g) END, nth + (kind = 'context')::INT
+  FROM walk w JOIN (SELECT *, nullif(regexp_extract(label, '^([IVXL]{{1,6}})\.', 1), '') AS g FROM b) b ON b.conv_id = w.conv_id AND b.i = w.i + 1
+  JOIN (SELECT conv_id, whole FROM files) f ON f.conv_id = w.conv_id, LATERAL (SELECT nullif(instr(substr(whole, w.cur), ' ' || said || ' '), 0) AS hit)),
+placed AS (SELECT b.*, w.start, w.cur, w.gap, w.ctx, w.nth, whole, (SELECT string_agg(page::VARCHAR, ',' ORDER BY page) FROM sheets x
+    WHERE x.conv_id = b.conv_id AND x.stop - x.size + 1 <= w.start + length(said) AND x.stop >= w.start + 1) AS pages,
+  (SELECT bool_and(native) FROM sheets x WHERE x.conv_id = b.conv_id AND x.stop - x.size + 1 <= w.start + length(said) AND x.stop >= w.start + 1) AS native
+  FROM walk w JOIN b ON b.conv_id = w.conv_id AND b.i = w.i JOIN files f ON f.conv_id = b.conv_id),
+rated AS (SELECT *, CASE WHEN length(said) NOT BETWEEN 20 AND 6000 THEN 'tamanho' WHEN start IS NULL THEN 'texto_nao_encontrado'
+    WHEN length(gap) > 160 OR regexp_matches(gap, '{_START_SQL}') THEN 'intervalo' WHEN NOT native THEN 'pagina_nao_nativa'
+    WHEN kind = 'question' AND NOT regexp_matches(said, '(?i)^' || regexp_extract(label, '(\d+)$', 1) || '\s*[.)]') THEN 'comeco'
+    WHEN i = many AND (length(rtrim(substr(whole, cur))) > 250 OR regexp_matches(rtrim(substr(whole, cur)), '{_START_SQL}')) THEN 'fim'
+    WHEN i = many AND kind <> 'question' THEN 'proposta_invalida' END AS bad FROM placed),
+codes AS (SELECT conv_id, code FROM early WHERE code IS NOT NULL UNION ALL SELECT conv_id, arg_min(bad, i) FROM rated WHERE bad IS NOT NULL GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS sha256, NULL AS code, pos, kind, label, CASE WHEN kind = 'question' THEN ctx END AS context, pages, sha256(said) AS digest
+FROM rated WHERE conv_id NOT IN (SELECT conv_id FROM codes)
+UNION ALL SELECT conv_id::VARCHAR, code, NULL, NULL, NULL, NULL, NULL, NULL FROM codes"""
 
 
 def pending_exams(spark, sf):

@@ -249,14 +249,14 @@ def test_layout_and_folders(spark):
         N.parse_layout(F.lit("X/2020_2021/1º Semestre/ED/Testes/a.pdf")).alias("l"), N.parse_layout(F.lit("X/2020_2022/ED/a.pdf")).alias("n"),
         N.folder_of(F.lit("P/Código.zip!/Código/j.py")).alias("f"), N.folder_of(F.lit("a.pdf")).alias("g"),
         N.folder_name(F.lit("a/P.zip")).alias("h"), N.safe_path(F.lit("a/../b")).alias("s"), N.safe_path(F.lit("C:\\x")).alias("c"),
-        N.safe_path(F.lit("a\\b//./c")).alias("ok"), N.soften(F.lit("FT 0 REVISÕES de CÁLCULO MATIILEI1920")).alias("soft"),
+        N.safe_path(F.lit("a\\b//./c")).alias("ok"), N.soften(F.lit("FT 3 LEITURAS de BARRO OLAXYZ2122")).alias("soft"),
         N.degree_of(F.lit("Mestrado Integrado em X")).alias("deg"), N.course_title(F.lit("Licenciatura em Y")).alias("ct"),
         N.time_ordered_id(F.lit("2025-10-01 12:00:00").cast("timestamp"), F.lit("x")).alias("id"),
         N.decode(F.unhex(F.lit("C3A9"))).alias("u8"), N.decode(F.unhex(F.lit("E9"))).alias("l1"),
         N.natural_key(F.lit("Ft 10")).alias("n10"), N.natural_key(F.lit("FT 2")).alias("n2")).first()
     assert (row.l.academic_year, row.l.semester, row.l.unit, row.l.rest) == ("2020-2021", 1, "ED", ["Testes", "a.pdf"])
     assert row.n is None and row.f == "P" and row.g is None and row.h == "P" and row.s is None and row.c is None
-    assert row.ok == "a/b/c" and row.soft == "FT 0 Revisões de Cálculo MATIILEI1920" and row.deg == "mestrado-integrado"
+    assert row.ok == "a/b/c" and row.soft == "FT 3 Leituras de Barro OLAXYZ2122" and row.deg == "mestrado-integrado"
     assert row.ct == "Y" and row.id[14] == "7" and len(row.id) == 36 and row.u8 == "é" and row.l1 == "é" and row.n2 < row.n10
 
 
@@ -319,12 +319,12 @@ def test_catalog_and_choices(spark):
 
 
 def test_proposals(spark):
-    pages = spark.createDataFrame([(1, 1, "UNIVERSIDADE DE COIMBRA\nUnidade Curricular: ESTRUTURAS DISCRETAS\nLicenciatura em Engenharia Informática\n"
-                                    "PROVA ESCRITA DE DIREITO PENAL Via académica"), (2, 1, "Unidade Curricular: Bárbara Magalhães Bravo")],
+    pages = spark.createDataFrame([(1, 1, "UNIVERSIDADE DO VALE NOVO\nUnidade Curricular: OFICINAS DE OLARIA\nLicenciatura em Restauro de Relógios\n"
+                                    "PROVA ESCRITA DE PESCA FLUVIAL Via académica"), (2, 1, "Unidade Curricular: Zulmira Trigueiro Pato")],
                                   "doc_id int, page int, text string")
-    got = {(r.doc_id, r.kind, r.name) for r in P.finish(P.headers(pages), [], ["barbara"]).collect()}
-    assert got == {(1, "institution", "Universidade de Coimbra"), (1, "unit", "Estruturas Discretas"),
-                   (1, "course", "Licenciatura em Engenharia Informática"), (1, "unit", "Direito Penal")}
+    got = {(r.doc_id, r.kind, r.name) for r in P.finish(P.headers(pages), [], ["zulmira"]).collect()}
+    assert got == {(1, "institution", "Universidade do Vale Novo"), (1, "unit", "Oficinas de Olaria"),
+                   (1, "course", "Licenciatura em Restauro de Relógios"), (1, "unit", "Pesca Fluvial")}
 
 
 def test_access_rules(spark):
@@ -382,7 +382,7 @@ def test_public_projection_has_no_private_columns(spark):
 
 
 def test_phrase_helpers(spark):
-    row = spark.range(1).select(P.title_case(F.lit("DIREITO DA UE")).alias("a"), P.strip_connectors(F.lit("Tecnologia e Gestão de")).alias("b"),
-                                P.strip_connectors(P.institution_cut(F.lit("Centro de Estudos Judiciários o tempo"))).alias("c"),
-                                P.acceptable(F.lit("Universidade dede Coimbra")).alias("d"), X.roman(F.lit(2)).alias("e")).first()
-    assert tuple(row) == ("Direito da UE", "Tecnologia e Gestão", "Centro de Estudos Judiciários", False, "II")
+    row = spark.range(1).select(P.title_case(F.lit("MANUAL DA UE")).alias("a"), P.strip_connectors(F.lit("Barro e Fogo de")).alias("b"),
+                                P.strip_connectors(P.institution_cut(F.lit("Centro de Artes Navais o tempo"))).alias("c"),
+                                P.acceptable(F.lit("Universidade dede Olarias")).alias("d"), X.roman(F.lit(2)).alias("e")).first()
+    assert tuple(row) == ("Manual da UE", "Barro e Fogo", "Centro de Artes Navais", False, "II")
