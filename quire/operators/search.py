@@ -19,11 +19,15 @@ def query_tokens(spark, query: str) -> list[str]:
     return norm.split()[:MAX_TOKENS]
 
 
+def solid(text: str) -> Column:
+    return F.trim(F.regexp_replace(F.col(text), "\\s+", " ")) != ""
+
+
 def page_index(pages: DataFrame, text: str = "text") -> DataFrame:
     """Searchable pages: blank ones left out, both text columns in their folded form, and the page
     length in tokens of both."""
     folded = F.lower(X.strip_accents(F.col(text)))
-    return (pages.filter(F.trim(F.regexp_replace(F.col(text), "\\s+", " ")) != "")
+    return (pages.filter(solid(text))
             .withColumn("folded", folded)
             .withColumn("norm", X.normalize(text))
             .withColumn("length", F.regexp_count("folded", F.lit("[\\p{L}\\p{N}]+"))
@@ -78,26 +82,37 @@ def search(index: DataFrame, query: str, viewer: str | None = None,
         *dict.fromkeys([*keys, *keep, *(c for c in ("owner", "visibility") if viewer is not None),
                         *(f for f in FACETS if (filters or {}).get(f) is not None)]),
         "length", *[_occurrences(t).alias(f"_tf{i}") for i, t in enumerate(tokens)])
-    corpus = Observation()
-    counted = counted.observe(
-        corpus, F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"),
-        *[F.sum(F.when(F.col(f"_tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}")
-          for i in range(len(tokens))])
-    wanted = F.lit(True)
+    counted, corpus = with_figures(counted, len(tokens), F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
+    wanted = allowed(viewer, filters, strict)
     for i in range(len(tokens)):
         wanted = wanted & (F.col(f"_tf{i}") > 0)
+    hits = durable(counted.filter(wanted), "hits")
+    figures = corpus.get
+    return ranked(hits, figures, figures["n"] or 0, figures["total"] or 0, len(tokens), keys, keep, limit)
+
+
+def with_figures(counted: DataFrame, words: int, *more: Column) -> tuple[DataFrame, Observation]:
+    """The pages each word is on, observed while `counted` is read."""
+    seen = Observation()
+    return counted.observe(seen, *more, *[F.sum(F.when(F.col(f"_tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(words)]), seen
+
+
+def allowed(viewer: str | None, filters: dict[str, str] | None, strict: bool = False) -> Column:
+    wanted = F.lit(True)
     if viewer is not None:
         wanted = wanted & visible_to(viewer, strict)
     for facet in FACETS:
         value = (filters or {}).get(facet)
         if value is not None:
             wanted = wanted & (F.col(facet) == value)
-    hits = durable(counted.filter(wanted), "hits")
-    figures = corpus.get
-    n = figures["n"] or 0
-    average = (figures["total"] or 0) / n if n else 1.0
+    return wanted
+
+
+def ranked(hits: DataFrame, figures: dict, n: int, total: int, words: int, keys: list[str], keep: tuple[str, ...], limit: int) -> DataFrame:
+    """The best of the hits; `n` pages of `total` words in all, df of each word in `figures`."""
+    average = total / n if n else 1.0
     score = F.lit(0.0)
-    for i in range(len(tokens)):
+    for i in range(words):
         df = figures[f"df{i}"] or 0
         idf = F.greatest(F.log(F.lit((n - df + 0.5) / (df + 0.5))), F.lit(IDF_FLOOR))
         tf = F.col(f"_tf{i}").cast("double")

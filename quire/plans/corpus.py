@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from quire.functions import text as X
 from quire.operators import dedup as D, search as S
 from quire.plans import sqltext as Q
-from quire.session import durable, pinned, table
+from quire.plans.shelves import _INDEX, _library_pages, library, stored
+from quire.session import durable, pinned, shared_dir, table
+from quire.sources import shelf
 
 SEARCH = "the ention"
 FACETED = "que en"
@@ -42,19 +44,9 @@ SELECT doc_id, length(c) AS chars, sha256(c) AS clean_sha256,
 FROM m"""
 
 
-def library_pages(spark, sf) -> DataFrame:
-    """Documents as one page each; positively rated ones are public, the others private."""
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    return (docs.join(labels, "doc_id", "left")
-            .select("doc_id", F.lit(1).alias("page"), F.col("source").alias("owner"),
-                    F.col("lang").alias("unit"), "text",
-                    F.when(F.col("quality") == 1, "public").otherwise("private")
-                    .alias("visibility")))
-
-
-_LIBRARY_PAGES = """SELECT d.doc_id, 1 AS page, source AS owner, lang AS unit, text,
-  CASE WHEN quality = 1 THEN 'public' ELSE 'private' END AS visibility
-  FROM documents d LEFT JOIN labels USING (doc_id)"""
+# what is searched: neither removed documents nor copies
+_SEARCHED = f"""SELECT id AS doc_id, 1 AS page, owner, unit, text, CASE WHEN role = 'statement' THEN 'public' ELSE 'private' END AS visibility
+  FROM (WITH {_INDEX} SELECT * FROM idx) JOIN documents ON doc_id = id WHERE status <> 'removed' AND duplicate_of IS NULL"""
 
 
 def plain_pages(spark, sf) -> DataFrame:
@@ -62,7 +54,7 @@ def plain_pages(spark, sf) -> DataFrame:
 
 
 def search_bm25(spark, sf):
-    return S.search(S.page_index(plain_pages(spark, sf)), SEARCH)
+    return shelf.search(stored(spark, sf), SEARCH)
 
 
 def _bm25(tokens: list[str], pages: str, where: str = "true", extra: str = "") -> str:
@@ -84,27 +76,21 @@ SELECT doc_id, page{extra}, round(-({score}), 6) AS score FROM c, s
 WHERE {need} AND {where} ORDER BY score, doc_id, page LIMIT 50"""
 
 
-SEARCH_BM25_SQL = _bm25(SEARCH.split(), "SELECT doc_id, 1 AS page, text FROM documents")
+SEARCH_BM25_SQL = _bm25(SEARCH.split(), _SEARCHED)
 
 
 def search_acl_facets(spark, sf):
-    index = S.page_index(library_pages(spark, sf))
-    return S.search(index, FACETED, viewer="src1", filters={"unit": "fr"},
-                    keep=("owner", "visibility"))
+    return shelf.search(stored(spark, sf), FACETED, viewer="src1", filters={"unit": "fr"}, keep=("owner", "visibility"))
 
 
-SEARCH_ACL_SQL = _bm25(FACETED.split(), _LIBRARY_PAGES,
+SEARCH_ACL_SQL = _bm25(FACETED.split(), _SEARCHED,
                        "(owner = 'src1' OR visibility <> 'private') AND unit = 'fr'",
                        ", owner, visibility")
 
 
 def search_snippet(spark, sf):
-    hits = S.search(S.page_index(plain_pages(spark, sf)), SEARCH)
-    docs = table(spark, sf, "documents")
-    tokens = S.query_tokens(spark, SEARCH)
-    # at most fifty hits: the id list prunes the scan of the texts
-    return (docs.join(hits.select("doc_id", "score"), "doc_id")
-            .select("doc_id", "score", S.snippet("text", tokens).alias("snippet")))
+    opened = stored(spark, sf)
+    return shelf.snippets(opened, shelf.search(opened, SEARCH), SEARCH).select("doc_id", "score", "snippet")
 
 
 SEARCH_SNIPPET_SQL = f"""
@@ -123,15 +109,44 @@ FROM b"""
 
 
 def search_terms(spark, sf):
-    return S.term_statistics(S.page_index(plain_pages(spark, sf)))
+    return stored(spark, sf).terms
 
 
 SEARCH_TERMS_SQL = f"""
 WITH t AS (SELECT doc_id, unnest(list_concat({Q.tokens('text')}, {Q.words(Q.norm('text'))})) AS term
-           FROM documents)
+           FROM ({_SEARCHED}))
 SELECT term, count(DISTINCT doc_id) AS pages, count(*) AS occurrences FROM t GROUP BY term"""
 
 
+def index_build(spark, sf):
+    """Builds of both scopes in one folder, each opened again, and what they hold."""
+    root = shared_dir(spark, "shelf")
+    for scope in shelf.SCOPES:
+        shelf.build(root, library(spark, sf), _library_pages(spark, sf), "today", scope)
+    out = None
+    for scope in shelf.SCOPES:
+        opened = shelf.open_latest(spark, root, scope)
+        found = opened.documents.agg(F.count("*").alias("documents")).select(
+            F.lit(scope).alias("scope"), "documents", F.lit(opened.pages_n).alias("pages"), F.lit(opened.length).alias("length"))
+        words = opened.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"), F.count_distinct("term").alias("terms"))
+        one = found.crossJoin(words)  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+INDEX_BUILD_SQL = f"""
+WITH s AS ({_SEARCHED}), o AS (WITH {_INDEX} SELECT * FROM idx),
+c AS (SELECT 'private' AS scope, * FROM s UNION ALL SELECT 'public', * FROM s WHERE visibility = 'public'
+  AND doc_id IN (SELECT id FROM o WHERE kind <> 'archive')),
+d AS (SELECT 'private' AS scope, count(*) AS documents FROM o UNION ALL
+  SELECT 'public', count(*) FROM o WHERE status <> 'removed' AND kind <> 'archive' AND role = 'statement'),
+w AS (SELECT scope, doc_id, list_concat({Q.tokens('text')}, {Q.words(Q.norm('text'))}) AS words FROM c WHERE {Q.collapse('text')} <> ''),
+p AS (SELECT scope, count(*) AS pages, sum(len(words))::BIGINT AS length FROM w GROUP BY scope),
+t AS (SELECT scope, doc_id, unnest(words) AS term FROM w)
+SELECT scope, documents, pages, length, count(DISTINCT (doc_id, term)) AS postings, count(*) AS occurrences, count(DISTINCT term) AS terms
+FROM t JOIN p USING (scope) JOIN d USING (scope) GROUP BY ALL"""
+
+
 # --- deduplication --------------------------------------------------------------------------------
 
 
@@ -251,6 +266,7 @@ QUERIES = {
     "search_bm25": (search_bm25, SEARCH_BM25_SQL),
     "search_acl_facets": (search_acl_facets, SEARCH_ACL_SQL),
     "search_snippet": (search_snippet, SEARCH_SNIPPET_SQL),
+    "index_build": (index_build, INDEX_BUILD_SQL),
     "search_terms": (search_terms, SEARCH_TERMS_SQL),
     "dedup_exact": (dedup_exact, DEDUP_EXACT_SQL),
     "dedup_same_text": (dedup_same_text, DEDUP_SAME_TEXT_SQL),
