@@ -43,9 +43,9 @@ SELECT owner, pos, CASE WHEN early IS NOT NULL THEN early
 
 
 def pack_lots(spark, sf):
-    """The orders of a customer as one upload each, lots of 600,000 units."""
+    """The orders of a customer as one upload each, lots of 600,000 units, from 12 orders on."""
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("size"))
-    return S.pack_lots(o, "o_custkey", "o_orderkey", 600_000)
+    return S.pack_lots(o, "o_custkey", "o_orderkey", 600_000, 12)
 
 
 PACK_SQL = """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, floor(o_totalprice)::BIGINT AS size,
@@ -55,7 +55,7 @@ r AS (SELECT o_custkey, o_orderkey, rn, size AS used, 1 AS lot FROM o WHERE rn =
     CASE WHEN used > 0 AND used + size > 600000 THEN size ELSE used + size END,
     CASE WHEN used > 0 AND used + size > 600000 THEN lot + 1 ELSE lot END
   FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.rn = r.rn + 1)
-SELECT o_custkey, o_orderkey, lot FROM r"""
+SELECT o_custkey, o_orderkey, CASE WHEN count(*) OVER (PARTITION BY o_custkey) >= 12 THEN lot END AS lot FROM r"""
 
 
 def parts_assembly(spark, sf):

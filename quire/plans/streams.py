@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.session import shared_dir, table
-from quire.streaming import flows as R
+from quire.streaming import flows as R, store
 
 WINDOW, MAXIMUM = 6 * 3600, 3
 
@@ -48,11 +48,13 @@ def quiet_sessions(spark, sf):
     return R.quiet_batches(_named(spark, sf), "event_type", "ts", 300, 1800)
 
 
-QUIET_SQL = """WITH e AS (SELECT event_type, ts, coalesce(ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts)
-  >= INTERVAL 300 SECOND, true) AS new FROM events),
-s AS (SELECT *, sum(new::INT) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e),
-r AS (SELECT event_type, g, min(ts) AS first, max(ts) AS last, count(*) AS changes FROM s GROUP BY event_type, g)
-SELECT event_type, first, last, changes, least(last + INTERVAL 300 SECOND, first + INTERVAL 1800 SECOND) AS process_at FROM r"""
+QUIET_SQL = """WITH RECURSIVE e AS (SELECT event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM events),
+r AS (SELECT event_type, rn, ts, ts AS start, 1 AS run FROM e WHERE rn = 1
+  UNION ALL SELECT e.event_type, e.rn, e.ts, CASE WHEN e.ts >= least(r.ts + INTERVAL 300 SECOND, start + INTERVAL 1800 SECOND) THEN e.ts ELSE start END,
+    CASE WHEN e.ts >= least(r.ts + INTERVAL 300 SECOND, start + INTERVAL 1800 SECOND) THEN run + 1 ELSE run END
+  FROM r JOIN e ON e.event_type = r.event_type AND e.rn = r.rn + 1)
+SELECT event_type, min(ts) AS first, max(ts) AS last, count(*) AS changes, least(max(ts) + INTERVAL 300 SECOND, min(ts) + INTERVAL 1800 SECOND) AS process_at
+FROM r GROUP BY event_type, run"""
 
 
 def latest_mark(spark, sf):
@@ -69,8 +71,7 @@ def reconcile_stream(spark, sf):
     for run in ("first", "second"):
         stream = R.stream_table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
         R.reconcile_stream(stream, f"{base}/store", f"{base}/{run}", ["user_id", "event_type"], "ts", "event_id")
-    return R.latest(spark.read.parquet(f"{base}/store"), ["user_id", "event_type"], "ts", "event_id").select(
-        "user_id", "event_type", "event_id", "ts", "value")
+    return store.read(spark, f"{base}/store", _named(spark, sf).schema).select("user_id", "event_type", "event_id", "ts", "value")
 
 
 def waiting_parts(spark, sf):

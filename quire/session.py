@@ -90,6 +90,25 @@ def number_within(df: DataFrame, keys: list[str], order: str, out: str = "rn") -
                                          (F.col("_at") + F.col("_shift")).cast("long").alias(out))
 
 
+def running_totals(df: DataFrame, keys: list[str], order: str, **values: Column) -> DataFrame:
+    """`df` with running totals of the values per key group, each row included, in the order of the column
+    `order`; rows equal in it come in any order. No group meets in one task: the rows are range-sorted, summed
+    within their partitions, and shifted by the totals of the partitions before."""
+    staged = durable(df.withColumns({f"_v_{n}": v for n, v in values.items()}).repartitionByRange(*keys, order)
+                     .sortWithinPartitions(*keys, order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    staged = staged.withColumn("_part", F.shiftright("_at", 33))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = staged.groupBy(*keys, "_part").agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in values]).select(
+        *keys, "_part", *[F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in values])
+    inner = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = staged.select(*df.columns, "_part", *[F.sum(f"_v_{n}").over(inner).alias(f"_v_{n}") for n in values]).alias("l")
+    right, cond = shifts.alias("r"), F.col("l._part") == F.col("r._part")
+    for k in keys:
+        cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return summed.join(right, cond).select(*[F.col(f"l.{c}") for c in df.columns],
+                                           *[(F.col(f"l._v_{n}") + F.col(f"r._s_{n}")).alias(n) for n in values])
+
+
 def row_digest(*cols: Column) -> Column:
     """SHA-256 of a row, nulls kept apart from empty strings."""
     parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in cols]

@@ -7,7 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quire.functions import names as N, text as X
-from quire.session import set_digest
+from quire.operators.chains import first_from, reached
+from quire.session import durable, running_totals, set_digest
 
 PACK_BYTES, PACK_MIN_FILES = 60 * 1024 * 1024, 20
 MAX_FILE_BYTES = 99_614_720
@@ -201,23 +202,32 @@ def triage(files: DataFrame, library: DataFrame) -> DataFrame:
     return joined.select("owner", "pos", state.alias("state"))
 
 
-def pack_lots(files: DataFrame, group: str, order: str, cap: int = PACK_BYTES) -> DataFrame:
+def pack_lots(files: DataFrame, group: str, order: str, cap: int = PACK_BYTES, least: int = PACK_MIN_FILES) -> DataFrame:
     """Lot number of each file of an upload: files are added in order until the next would exceed
-    `cap` bytes. A group is one upload, a selection made by hand; only its sizes travel."""
-    schema = f"{group} {files.schema[group].dataType.simpleString()}, " \
-             f"{order} {files.schema[order].dataType.simpleString()}, lot int"
-
-    def fill(pdf):
-        pdf = pdf.sort_values(order)
-        lots, lot, used = [], 1, 0
-        for size in pdf["size"]:
-            if used > 0 and used + size > cap:
-                lot, used = lot + 1, 0
-            used += size
-            lots.append(lot)
-        return pdf[[group, order]].assign(lot=lots)
-
-    return files.select(group, order, "size").groupBy(group).applyInPandas(fill, schema)
+    `cap` bytes. Uploads of fewer than `least` files are not packed, their lot is null.
+
+    The first file of the lot behind one that begins at a file is found on the running total of sizes;
+    the lots of an upload are the files that these pointers lead to from its first one."""
+    rows = files.select(group, order, F.col("size").cast("long").alias("size"))
+    sums = durable(running_totals(rows, [group], order, nth=F.lit(1).cast("long"), total=F.col("size")), "sums")
+    uploads = sums.groupBy(group).agg(F.max("nth").alias("_n"), F.max("total").alias("_all"))
+    packed = sums.join(uploads.filter(F.col("_n") >= least), group).drop("_n")
+    long = durable(packed.filter(F.col("_all") > cap).drop("_all"), "long")
+    before = F.col("total") - F.col("size")
+    points = long.select(group, F.col("total").alias("x"), "nth", before.alias("before"))
+    probes = long.select(group, (before + cap + 1).alias("y"), "nth", before.alias("empty"))
+    # a lot of empty files takes the next one whatever its size
+    onward = F.col("found.nth") + F.when(F.col("found.before") > F.col("empty"), 0).otherwise(1)
+    node = lambda c: F.struct(F.col(group).alias("g"), c.cast("long").alias("n"))
+    pointers = first_from(points, probes, [group], cap).select(node(F.col("nth")).alias("node"), F.when(F.col("found").isNotNull(), node(onward)).alias("next"))
+    begins = reached(pointers, long.filter("nth = 1").select(node(F.col("nth")).alias("node"))).select(
+        F.col("node.g").alias("_g"), F.col("node.n").alias("_i"), F.lit(1).alias("_cut"))
+    cut = long.join(begins, (F.col(group) == F.col("_g")) & (F.col("nth") == F.col("_i")), "left").select(
+        group, order, "nth", F.coalesce("_cut", F.lit(0)).alias("_cut"))
+    lots = running_totals(cut, [group], "nth", lot=F.col("_cut")).select(group, order, F.col("lot").cast("int").alias("lot"))
+    short = packed.filter(F.col("_all") <= cap).select(group, order, F.lit(1).alias("lot"))
+    loose = sums.join(uploads.filter(F.col("_n") < least), group).select(group, order, F.lit(None).cast("int").alias("lot"))
+    return lots.unionByName(short).unionByName(loose)
 
 
 def assemble_parts(parts: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -242,27 +252,16 @@ def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second.join(first.select("sha256"), "sha256", "left_anti"))
 
 
-def migrate(originals: DataFrame, store: DataFrame, quota: int, used: int = 0,
-            buckets: int = 64) -> DataFrame:
+def migrate(originals: DataFrame, store: DataFrame, quota: int, used: int = 0) -> DataFrame:
     """Audit of a move in order of `pos`: there, mismatch (content differs from its name), uploaded, or
     stopped once the byte quota is reached. `originals(pos, name_sha, sha256, size)`."""
     have = store.select(F.col("sha256").alias("_have"), F.lit(True).alias("_there")).distinct()
-    rows = originals.join(have, F.col("name_sha") == F.col("_have"), "left").withColumn(
-        "early", F.when(F.col("_there"), "there").when(F.col("name_sha") != F.col("sha256"), "mismatch"))
-    billed = rows.withColumn("_b", F.when(F.col("early").isNull(), F.col("size")).otherwise(0))
-    cuts = sorted(set(originals.stat.approxQuantile("pos", [i / buckets for i in range(1, buckets)], 0.01)))
-    run = F.lit(0) if not cuts else F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]),
-                                                    lambda c: c < F.col("pos").cast("double")))
-    billed = billed.withColumn("_run", run)
-    # running total: inside a run, shifted by the totals of the runs before it (a few dozen rows)
-    earlier = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (billed.groupBy("_run").agg(F.sum("_b").alias("_t"))
-             .select("_run", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_shift")))
-    inner = Window.partitionBy("_run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("_b").over(inner) + F.col("_shift") + used
-    summed = billed.join(shift, "_run").withColumn("total", total)
-    state = F.when(F.col("total") > quota, "stopped").otherwise(F.coalesce("early", F.lit("uploaded")))
-    return summed.select("pos", "name_sha", "size", "total", state.alias("state"))
+    rows = originals.join(have, F.col("name_sha") == F.col("_have"), "left").select(
+        "pos", "name_sha", "size", F.when(F.col("_there"), "there").when(F.col("name_sha") != F.col("sha256"), "mismatch").alias("early"))
+    billed = F.when(F.col("early").isNull(), F.col("size")).otherwise(0).cast("long")
+    state = F.when(F.col("total") + used > quota, "stopped").otherwise(F.coalesce("early", F.lit("uploaded")))
+    return running_totals(rows, [], "pos", total=billed).select(
+        "pos", "name_sha", "size", (F.col("total") + used).alias("total"), state.alias("state"))
 
 
 # --- quarantine, versions, derived text -----------------------------------------------------------
