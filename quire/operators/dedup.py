@@ -179,18 +179,25 @@ def close_hashes(hashes: DataFrame, distance: int = MAX_DISTANCE,
                     .alias("distance")))
 
 
+def memberships(members: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, sha256, simhash of the documents that near duplicates are sought among: with the links of
+    `near_duplicates`, which name hashes, all pairs of documents can be told."""
+    return members.filter(F.col("words") >= min_words).select("doc_id", "sha256", "simhash")
+
+
 def near_duplicates(members: DataFrame, distance: int = MAX_DISTANCE,
-                    min_words: int = MIN_WORDS) -> DataFrame:
+                    min_words: int = MIN_WORDS, dismissed: DataFrame | None = None) -> DataFrame:
     """Near duplicates in factored form. `members(doc_id, sha256, words, simhash)` are the live
-    documents. One row joins two hashes, each standing for all its documents (first_a, docs_a):
-    every document of one is near every document of the other. A hash shared by different contents
-    gives a row with itself at distance 0. A third of all documents in one group stays one row.
+    documents. One row links two hashes, each standing for all its documents (hash_a, first_a, docs_a, contents_a):
+    every document of one is near every document of the other, but for the pairs in `dismissed(doc_id, other)`; `pairs` counts
+    them. A hash shared by different contents gives a row with itself at distance 0, whose pairs are those of
+    different content. A third of all documents in one group stays one row; a link without pairs left is none.
     """
-    live = members.filter(F.col("words") >= min_words)
+    live = memberships(members, min_words)
     groups = (live.groupBy("simhash", "sha256")
               .agg(F.min("doc_id").alias("_first"), F.count("*").alias("_docs"))
               .groupBy("simhash").agg(F.min("_first").alias("first"), F.sum("_docs").alias("docs"),
-                                      F.count("*").alias("contents")))
+                                      F.count("*").alias("contents"), F.sum(F.col("_docs") * F.col("_docs")).alias("squares")))
     groups = durable(groups, "hashes")
     pairs = close_hashes(groups.select("simhash"), distance)
     side = lambda s: groups.select(*[F.col(c).alias(f"{c}_{s}") for c in
@@ -203,13 +210,21 @@ def near_duplicates(members: DataFrame, distance: int = MAX_DISTANCE,
         return F.when(swap, F.col(f"{name}_{y}")).otherwise(F.col(f"{name}_{x}")).alias(
             f"{name}_{x}")
 
-    apart = apart.select("distance", *[ordered(c, x, y) for c in ("first", "docs", "contents")
-                                       for x, y in (("a", "b"), ("b", "a"))])
+    apart = apart.select("distance", *[ordered(c, x, y) for c in ("simhash", "first", "docs", "contents")
+                                       for x, y in (("a", "b"), ("b", "a"))], (F.col("docs_a") * F.col("docs_b")).alias("pairs"))
     equal = groups.filter(F.col("contents") > 1).select(
-        F.lit(0).alias("distance"), *[F.col(c).alias(f"{c}_{s}")
-                                      for c in ("first", "docs", "contents") for s in ("a", "b")])
-    return (apart.unionByName(equal)
-            .withColumn("score", F.round(1 - F.col("distance") / 64, 3)))
+        F.lit(0).alias("distance"), *[F.col(c).alias(f"{c}_{s}") for c in ("simhash", "first", "docs", "contents") for s in ("a", "b")],
+        F.expr("(docs * docs - squares) div 2").alias("pairs"))
+    links = apart.unionByName(equal).withColumnsRenamed({"simhash_a": "hash_a", "simhash_b": "hash_b"})
+    if dismissed is not None:
+        one = live.select(F.col("doc_id").alias("_a"), F.col("sha256").alias("_sha_a"), F.col("simhash").alias("_x"))
+        two = live.select(F.col("doc_id").alias("_b"), F.col("sha256").alias("_sha_b"), F.col("simhash").alias("_y"))
+        gone = (dismissed.select(F.least("doc_id", "other").alias("_a"), F.greatest("doc_id", "other").alias("_b")).distinct()
+                .join(one, "_a").join(two, "_b").filter("_sha_a <> _sha_b")
+                .groupBy(F.least("_x", "_y").alias("_low"), F.greatest("_x", "_y").alias("_high")).agg(F.count("*").alias("_gone")))
+        links = (links.join(gone, (F.least("hash_a", "hash_b") == F.col("_low")) & (F.greatest("hash_a", "hash_b") == F.col("_high")), "left")
+                 .withColumn("pairs", F.col("pairs") - F.coalesce("_gone", F.lit(0))).drop("_low", "_high", "_gone").filter("pairs > 0"))
+    return links.withColumn("score", F.round(1 - F.col("distance") / 64, 3))
 
 
 def neighbours(members: DataFrame, doc: DataFrame, dismissed: DataFrame | None = None,

@@ -271,13 +271,20 @@ def recent(index: DataFrame, k: int = 6) -> DataFrame:
 
 
 def shelf_order(docs: DataFrame) -> DataFrame:
-    """Order inside a unit: years newest first and none last; then papers by date and number, the
-    rest by natural title order. The key columns sort the whole table."""
-    return docs.select(
-        "*", N.natural_key(F.col("title")).alias("title_key")).orderBy(
-        F.desc_nulls_last("academic_year"), F.coalesce("date", F.lit("")),
-        F.coalesce("assessment_type", F.lit("")), F.coalesce("assessment_number", F.lit(0)),
-        "title_key", "display_name", "id")
+    """Order inside a unit: years newest first and none last; in a year dated papers by date, then the rest. What is of one date and
+    type goes by number and stands where the first title of it does; all else goes by natural
+    title order. The key columns sort the whole table."""
+    keyed = docs.withColumn("title_key", N.natural_key(F.col("title")))
+    group = ["academic_year", "date", "assessment_type"]
+    heads = keyed.filter("assessment_type is not null").groupBy(*group).agg(F.min("title_key").alias("_head")).select(
+        *[F.col(c).alias(f"_{c}") for c in group], "_head")
+    same = F.lit(True)
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return (keyed.join(heads, same, "left").orderBy(
+        F.desc_nulls_last("academic_year"), F.asc_nulls_last("date"), F.coalesce("_head", "title_key"), F.asc_nulls_last("assessment_type"),
+        F.when(F.col("assessment_type").isNotNull(), F.coalesce("assessment_number", F.lit(0))), "title_key", "display_name", "id")
+        .drop("_head", *[f"_{c}" for c in group]))
 
 
 # --- relations ------------------------------------------------------------------------------------

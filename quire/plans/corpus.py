@@ -229,20 +229,42 @@ def _members(spark, sf):
 
 
 def near_duplicates(spark, sf):
-    return D.near_duplicates(_members(spark, sf))
+    """Links of near documents, without the pairs that somebody dismissed: here those of a multiple of three with
+    its neighbours one above such."""
+    members = durable(_members(spark, sf), "members")
+    asked = members.filter("doc_id % 3 = 0").select("doc_id")
+    dismissed = D.neighbours(members, asked).filter("other % 3 = 1").select("doc_id", "other")
+    return D.near_duplicates(members, dismissed=dismissed).drop("hash_a", "hash_b")
 
 
 NEAR_DUPLICATES_SQL = f"""
 WITH h AS (SELECT doc_id, n, bits FROM {Q.simhash(_DOC_WORDS)}),
 m AS (SELECT h.*, sha256(text) AS sha FROM h JOIN documents USING (doc_id) WHERE n >= 40),
 g AS (SELECT bits, min(doc_id) AS first, count(*) AS docs, count(DISTINCT sha) AS contents
-      FROM m GROUP BY bits)
-SELECT bit_count(xor(a.bits, b.bits))::INT AS distance,
+      FROM m GROUP BY bits),
+l AS (SELECT bit_count(xor(a.bits, b.bits))::INT AS distance, a.bits AS x, b.bits AS y,
        a.first AS first_a, b.first AS first_b, a.docs AS docs_a, b.docs AS docs_b,
        a.contents AS contents_a, b.contents AS contents_b,
        round(1 - bit_count(xor(a.bits, b.bits)) / 64, 3) AS score
 FROM g a JOIN g b ON (a.first < b.first AND bit_count(xor(a.bits, b.bits)) <= 6)
-   OR (a.first = b.first AND a.contents > 1)"""
+   OR (a.first = b.first AND a.contents > 1)),
+p AS (SELECT least(a.bits, b.bits) AS x, greatest(a.bits, b.bits) AS y, count(*) AS pairs FROM m a JOIN m b
+  ON a.doc_id < b.doc_id AND a.sha <> b.sha AND bit_count(xor(a.bits, b.bits)) <= 6
+  WHERE NOT (a.doc_id % 3 = 0 AND b.doc_id % 3 = 1 OR a.doc_id % 3 = 1 AND b.doc_id % 3 = 0) GROUP BY 1, 2)
+SELECT distance, first_a, first_b, docs_a, docs_b, contents_a, contents_b, score, pairs FROM l JOIN p
+ ON p.x = least(l.x, l.y) AND p.y = greatest(l.x, l.y)"""
+
+
+def near_duplicate_members(spark, sf):
+    """Which hash each document stands under, named by its first document."""
+    live = D.memberships(_members(spark, sf))
+    first = live.groupBy("simhash").agg(F.min("doc_id").alias("first"))
+    return live.join(first, "simhash").select("doc_id", "first", "sha256")
+
+
+NEAR_MEMBERS_SQL = f"""
+WITH h AS (SELECT doc_id, n, bits FROM {Q.simhash(_DOC_WORDS)})
+SELECT doc_id, min(doc_id) OVER (PARTITION BY bits) AS first, sha256(text) AS sha256 FROM h JOIN documents USING (doc_id) WHERE n >= 40"""
 
 
 def neighbours(spark, sf):
@@ -274,5 +296,6 @@ QUERIES = {
     "simhash": (simhash, SIMHASH_SQL),
     "simhash_paged": (simhash_paged, SIMHASH_PAGED_SQL),
     "near_duplicates": (near_duplicates, NEAR_DUPLICATES_SQL),
+    "near_duplicate_members": (near_duplicate_members, NEAR_MEMBERS_SQL),
     "near_duplicate_neighbours": (neighbours, NEIGHBOURS_SQL),
 }
