@@ -242,6 +242,11 @@ def folder_subjects(docs: DataFrame, material: DataFrame, generic: Iterable[str]
         "doc_id", F.lit("unit").alias("kind"), "name", "norm", F.regexp_replace("path", "/[^/]*$", "").alias("snippet"))
 
 
+def without_number(name: str, number: str) -> Column:
+    """The name before its number, if it has one."""
+    return F.when(F.col(number).isNotNull(), F.regexp_replace(name, "[\\s_.-]*(?:[0-9]+|[IVXivx]+)$", "")).otherwise(F.col(name))
+
+
 def sequels(docs: DataFrame, units: DataFrame) -> DataFrame:
     """doc_id, unit_key, name: "X II" where the catalog has X or X I, from folder names, or file names with
     roman numbers. `docs(doc_id, path)`, `units(key, name, acronym, aliases)`."""
@@ -251,14 +256,12 @@ def sequels(docs: DataFrame, units: DataFrame) -> DataFrame:
     files = docs.select("doc_id", F.element_at(parts, -1).alias("t")).filter(
         F.regexp_replace("t", "[_.-]", " ").rlike(roman_after))
     texts = pinned(folders.unionByName(files).distinct(), ["doc_id"], norm=X.normalize("t"))
-    number_tail = "[\\s_.-]*(?:[0-9]+|[IVXivx]+)$"
     named = F.filter(F.concat(F.array("name", "acronym"), F.coalesce(
         "aliases", F.array().cast("array<string>"))), lambda f: f.isNotNull())
     forms = units.select("key", "name", F.explode(named).alias("form"))
     forms = pinned(forms, ["key", "name", "form"], nn=X.normalize("name"), fn=X.normalize("form"))
     forms = pinned(forms, ["key", "name", "form"], own=X.series_number("nn"), fnum=X.series_number("fn"))
-    bare = lambda c, n: F.when(F.col(n).isNotNull(), F.regexp_replace(c, number_tail, "")).otherwise(
-        F.col(c))
+    bare = without_number
     forms = pinned(forms, ["key"], own=F.coalesce("own", F.lit(1)), base=bare("name", "own"), bare=bare("form", "fnum"))
     forms = pinned(forms, ["key", "own", "base"], phrase=X.normalize("bare")).distinct()
     sizes = [r.n for r in forms.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect()]
@@ -270,6 +273,30 @@ def sequels(docs: DataFrame, units: DataFrame) -> DataFrame:
             .select("doc_id", F.col("key").alias("unit_key"), F.concat_ws(" ", "base", X.roman(F.col("n"))).alias("name")))
 
 
+def unsupported_sequels(proposals: DataFrame, docs: DataFrame, units: DataFrame) -> DataFrame:
+    """id of the proposals "X II" of a catalog unit X that the paths they came from do not bear out. `proposals(id, name)`,
+    `docs(id, path)`, `units(key, name, acronym, aliases)`."""
+    parts = lambda df, keys: pinned(pinned(df, [*keys, "name"], _norm=X.normalize("name")), [*keys, "name", "_norm"],
+                                    _no=X.series_number("_norm"))
+    asked = parts(proposals, ["id"]).filter("_no is not null").select("id", "_norm", X.normalize(without_number("name", "_no")).alias("_base"))
+    bases = parts(units, []).select(X.normalize(without_number("name", "_no")).alias("_base")).distinct()
+    borne_out = sequels(docs.select(F.col("id").alias("doc_id"), "path"), units).select(
+        F.col("doc_id").alias("id"), X.normalize("name").alias("_norm")).distinct()
+    return asked.join(bases, "_base", "left_semi").join(borne_out, ["id", "_norm"], "left_anti").select("id")
+
+
+def free_acronyms(candidates: DataFrame, institutions: DataFrame, courses: DataFrame, units: DataFrame) -> DataFrame:
+    """The candidates whose acronym stands for nothing in the catalog, of whatever kind: no acronym, code or slug of
+    a unit, no acronym or slug of an institution, no slug of a course."""
+    taken = None
+    for table, columns in ((units, ("acronym", "code", "slug")), (institutions, ("acronym", "slug")), (courses, ("slug",))):
+        part = table.select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("_a"))
+        taken = part if taken is None else taken.union(part)
+    taken = taken.select(X.normalize(F.coalesce("_a", F.lit(""))).alias("_taken")).filter("_taken <> ''").distinct()
+    keyed = pinned(candidates, candidates.columns, _key=X.normalize("acronym"))
+    return keyed.join(taken, F.col("_key") == F.col("_taken"), "left_anti").drop("_key")
+
+
 # --- proposal records -----------------------------------------------------------------------------
 
 
@@ -300,14 +327,20 @@ def record(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def close(proposals: DataFrame, units: DataFrame, generic: Iterable[str] = (),
-          first_names: Iterable[str] = ()) -> DataFrame:
+          first_names: Iterable[str] = (), docs: DataFrame | None = None) -> DataFrame:
     """Status of open proposals: accepted when the unit exists by now, rejected when today's rules would
-    not make them."""
+    not make them, or when they go on with a unit and `docs(id, path)`, where they came from, does not show it."""
     names = units.select(F.explode(F.filter(F.concat(F.array("name", "acronym"), F.coalesce(
         "aliases", F.array().cast("array<string>"))), lambda n: n.isNotNull())).alias("n")).select(
         X.normalize("n").alias("_n"), F.lit(True).alias("_known")).filter("_n <> ''").distinct()
     rows = pinned(proposals, ["id", "kind", "name", "status"], _norm=X.normalize("name")).join(names, F.col("_norm") == F.col("_n"), "left")
     junk = ~acceptable(F.col("name"), generic, first_names, F.col("_norm")) | (kind_of(F.col("name"), F.col("kind")) != F.col("kind"))
+    if docs is None:
+        rows = rows.withColumn("_loose", F.lit(False))
+    else:
+        loose = unsupported_sequels(proposals.filter("kind = 'unit' and status = 'open'").select("id", "name"), docs, units)
+        rows = rows.join(loose.withColumn("_loose", F.lit(True)), "id", "left")
+    junk = junk | F.coalesce("_loose", F.lit(False))
     open_ = F.col("status") == "open"
     status = (F.when(open_ & (F.col("kind") == "unit") & F.col("_known"), "accepted")
               .when(open_ & junk, "rejected").otherwise(F.col("status")))

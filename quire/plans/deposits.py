@@ -59,19 +59,19 @@ SELECT o_custkey, o_orderkey, CASE WHEN count(*) OVER (PARTITION BY o_custkey) >
 
 
 def parts_assembly(spark, sf):
-    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")  # noqa: E741
-    parts = l.select(F.col("l_orderkey").alias("target"), F.col("l_linenumber").alias("part"),
-                     F.col("l_quantity").cast("long").alias("size"))
-    manifests = o.select(F.col("o_orderkey").alias("target"), (F.col("o_custkey") % 7).alias("parts"),
-                         (F.col("o_custkey") % 200).alias("size"))
+    """The turns of a conversation as the parts of a file; manifests that ask for other parts, sizes or contents."""
+    t = table(spark, sf, "conversations")
+    parts = t.select(F.col("conv_id").alias("target"), F.col("turn").alias("part"), F.octet_length("text").alias("size"), F.encode("text", "UTF-8").alias("content"))
+    whole = t.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "").alias("text"))
+    k = F.col("conv_id") % 5
+    manifests = whole.select(F.col("conv_id").alias("target"), (F.col("n") + F.when(k == 1, 1).when(k == 2, -1).otherwise(0)).alias("parts"),
+                             (F.col("size") + F.when(k == 3, 7).otherwise(0)).alias("size"), F.sha2(F.concat("text", F.when(k == 4, "x").otherwise("")), 256).alias("sha256"))
     return S.assemble_parts(parts, manifests)
 
 
-PARTS_SQL = """WITH h AS (SELECT l_orderkey, count(*) AS have, sum(l_quantity::BIGINT)::BIGINT AS bytes FROM lineitem
-  GROUP BY 1), m AS (SELECT o_orderkey AS target, o_custkey % 7 AS parts, o_custkey % 200 AS size,
-  coalesce(have, 0) AS have, coalesce(bytes, 0) AS bytes FROM orders LEFT JOIN h ON l_orderkey = o_orderkey)
-SELECT target, have, bytes, CASE WHEN parts < 1 OR have < parts THEN 'pending' WHEN have > parts THEN 'too_many'
-  WHEN bytes <> size THEN 'mismatch' ELSE 'complete' END AS state FROM m"""
+PARTS_SQL = """SELECT conv_id AS target, count(*) AS have, sum(octet_length(encode(text)))::BIGINT AS bytes, CASE conv_id % 5 WHEN 0 THEN 'complete' WHEN 1 THEN 'pending'
+ WHEN 2 THEN CASE WHEN count(*) = 1 THEN 'pending' ELSE 'too_many' END ELSE 'mismatch' END AS state FROM conversations GROUP BY conv_id"""
 
 
 def quota_cut(spark, sf):

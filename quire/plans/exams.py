@@ -302,20 +302,38 @@ SELECT DISTINCT name, coalesce(ok, false) AS ok FROM q"""
 
 
 def close_proposals(spark, sf):
+    """Proposals of parts; some go on with a unit, half of these in folders that say so."""
     part = table(spark, sf, "part")
-    props = part.select(F.col("p_partkey").alias("id"), F.lit("unit").alias("kind"), F.when(
-        F.col("p_size") < 10, F.concat(F.lit("Licenciatura em "), F.initcap("p_name"))).when(F.col("p_size") > 40, F.concat(
-            "p_name", F.lit(" 2024"))).otherwise(F.initcap("p_name")).alias("name"), F.when(
+    name = (F.when(F.col("p_size") < 10, F.concat(F.lit("Licenciatura em "), F.initcap("p_name"))).when(F.col("p_size") > 40, F.concat("p_name", F.lit(" 2024")))
+            .when(F.col("p_size") > 30, F.concat(F.initcap("p_name"), F.lit(" II"))).otherwise(F.initcap("p_name")))
+    props = part.select(F.col("p_partkey").alias("id"), F.lit("unit").alias("kind"), name.alias("name"), F.when(
         F.col("p_brand") == "Brand#1", "accepted").otherwise("open").alias("status"))
-    units = part.filter("p_type = 'SMALL'").select(F.col("p_name").alias("name")).distinct().select(
-        "name", F.lit(None).cast("string").alias("acronym"), F.array().cast("array<string>").alias("aliases"))
-    return P.close(props, units)
+    docs = part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " II").otherwise(""), F.lit("/x.pdf")).alias("path"))
+    units = part.filter("p_type = 'SMALL'").select(F.initcap("p_name").alias("name")).distinct().select(
+        X.slugify("name").alias("key"), "name", F.lit(None).cast("string").alias("acronym"), F.array().cast("array<string>").alias("aliases"))
+    return P.close(props, units, docs=docs)
 
 
-CLOSE_SQL = f"""WITH p AS (SELECT p_partkey AS id, p_size AS s, p_name, CASE WHEN p_size < 10 THEN 'Licenciatura em ' || {_INIT}
-  WHEN p_size > 40 THEN p_name || ' 2024' ELSE {_INIT} END AS name, p_brand FROM part)
-SELECT id, 'unit' AS kind, name, CASE WHEN p_brand = 'Brand#1' THEN 'accepted' WHEN s BETWEEN 10 AND 40 AND p_name IN (SELECT
- p_name FROM part WHERE p_type = 'SMALL') THEN 'accepted' WHEN s < 10 OR s > 40 THEN 'rejected' ELSE 'open' END AS status FROM p"""
+CLOSE_SQL = f"""WITH u AS (SELECT p_name FROM part WHERE p_type = 'SMALL'),
+p AS (SELECT p_partkey AS id, p_size AS s, p_name, CASE WHEN p_size < 10 THEN 'Licenciatura em ' || {_INIT}
+  WHEN p_size > 40 THEN p_name || ' 2024' WHEN p_size > 30 THEN {_INIT} || ' II' ELSE {_INIT} END AS name, p_brand FROM part)
+SELECT id, 'unit' AS kind, name, CASE WHEN p_brand = 'Brand#1' THEN 'accepted' WHEN s BETWEEN 10 AND 30 AND p_name IN (SELECT p_name FROM u) THEN 'accepted'
+ WHEN s < 10 OR s > 40 OR s > 30 AND id % 2 = 1 AND p_name IN (SELECT p_name FROM u) THEN 'rejected' ELSE 'open' END AS status FROM p"""
+
+
+def free_acronyms(spark, sf):
+    """Acronyms of parts that no nation, region or customer has."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.upper(F.substring("p_brand", -1, 1)).alias("acronym")).union(
+        table(spark, sf, "part").select("p_partkey", F.upper(F.substring("p_name", 1, 3))))
+    institutions = table(spark, sf, "region").select(F.substring("r_name", 1, 3).alias("acronym"), F.lit(None).cast("string").alias("slug"))
+    courses = table(spark, sf, "nation").select(F.lower(F.substring("n_name", 1, 3)).alias("slug"))
+    units = table(spark, sf, "nation").select(F.lit(None).cast("string").alias("acronym"), F.when(F.col("n_nationkey") < 3, F.col("n_nationkey")).alias("code"), F.lit("gre").alias("slug"))
+    return P.free_acronyms(part, institutions, courses, units)
+
+
+FREE_ACRONYMS_SQL = """WITH a AS (SELECT p_partkey AS doc_id, upper(right(p_brand, 1)) AS acronym FROM part UNION ALL SELECT p_partkey, upper(substr(p_name, 1, 3)) FROM part)
+SELECT * FROM a WHERE lower(acronym) NOT IN (SELECT lower(substr(r_name, 1, 3)) FROM region UNION ALL SELECT lower(substr(n_name, 1, 3)) FROM nation
+  UNION ALL SELECT n_nationkey::VARCHAR FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 'gre')"""
 
 
 def paper_fields(spark, sf):
@@ -359,5 +377,6 @@ QUERIES = {
     "known_filter": (known_filter, KNOWN_SQL),
     "name_quality": (name_quality, QUALITY_SQL),
     "close_proposals": (close_proposals, CLOSE_SQL),
+    "free_acronyms": (free_acronyms, FREE_ACRONYMS_SQL),
     "paper_fields": (paper_fields, PAPER_SQL),
 }

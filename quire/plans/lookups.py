@@ -119,7 +119,8 @@ ORIGIN_SQL = """WITH b AS (SELECT l_orderkey, max((l_discount, l_linestatus)) AS
 d AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'F' THEN 'solution' ELSE 'statement' END AS role,
   (o_custkey % 5)::DOUBLE AS solution_score, x[1] AS c, x[2] AS v FROM orders LEFT JOIN b ON l_orderkey = o_orderkey)
 SELECT doc_id, role, solution_score, CASE WHEN role = 'solution' AND solution_score > 0 THEN coalesce(v, 'unknown') END AS origin,
-  CASE WHEN role = 'solution' AND solution_score > 0 THEN coalesce(c, 0.3) END AS origin_confidence FROM d"""
+  CASE WHEN role = 'solution' AND solution_score > 0 THEN coalesce(c, 0.3) END AS origin_confidence,
+  CASE WHEN role = 'solution' AND solution_score > 0 AND v IS NULL THEN 'origin.unknown' END AS origin_reason FROM d"""
 
 
 QUERIES = {

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quire.functions import names as N, text as X
@@ -232,15 +234,50 @@ def pack_lots(files: DataFrame, group: str, order: str, cap: int = PACK_BYTES, l
 
 def assemble_parts(parts: DataFrame, manifests: DataFrame) -> DataFrame:
     """State of each target: pending while parts lack, error when there are too many or the sizes do
-    not add up, else complete. `parts(target, part, size, sha256)`, `manifests(target, parts, size)`."""
+    not add up, else complete. `parts(target, part, size)`, `manifests(target, parts, size)`.
+
+    With a column `content` in parts and `sha256` in manifests, parts whose sizes add up are joined in order, and what does
+    not give the digest is a mismatch too. A digest is a chain, so the parts of one target are read in one
+    task, as a stream sorted by part; their sum is bounded by what a manifest may ask for."""
     have = parts.groupBy("target").agg(F.count("*").alias("have"), F.sum("size").alias("bytes"))
     joined = manifests.join(have, "target", "left").fillna({"have": 0, "bytes": 0})
+    fits = (F.col("have") == F.col("parts")) & (F.col("parts") >= 1) & (F.col("bytes") == F.col("size"))
+    if "content" in parts.columns:
+        asked = joined.filter(fits).select("target")
+        joined = joined.join(joined_digests(parts.join(asked, "target", "left_semi")).withColumnRenamed("sha256", "_is"), "target", "left")
+        wrong = fits & ~F.col("_is").eqNullSafe(F.col("sha256"))
+    else:
+        wrong = F.lit(False)
     state = (F.when((F.col("parts") < 1) | (F.col("have") < F.col("parts")), "pending")
              .when(F.col("have") > F.col("parts"), "too_many")
-             .when(F.col("bytes") != F.col("size"), "mismatch").otherwise("complete"))
+             .when((F.col("bytes") != F.col("size")) | wrong, "mismatch").otherwise("complete"))
     return joined.select("target", "have", "bytes", state.alias("state"))
 
 
+def joined_digests(parts: DataFrame) -> DataFrame:
+    """target, sha256: the digest of the contents of each target's parts one behind the other."""
+    kind = parts.schema["target"].dataType.simpleString()
+    rows = parts.select("target", "part", "content").repartition("target").sortWithinPartitions("target", "part").select("target", "content")
+
+    def run(batches):
+        current, digest, out = None, None, []
+        for batch in batches:
+            for target, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if digest is None or target != current:
+                    if digest is not None:
+                        out.append((current, digest.hexdigest()))
+                    current, digest = target, hashlib.sha256()
+                digest.update(content.as_buffer() or b"")
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], batch.schema.field(0).type), pa.array([d for _, d in out])], ["target", "sha256"])
+                out = []
+            last = batch.schema.field(0).type
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([current], last), pa.array([digest.hexdigest()])], ["target", "sha256"])
+
+    return rows.mapInArrow(run, f"target {kind}, sha256 string")
+
+
 def put_if_absent(store: DataFrame, blobs: DataFrame) -> DataFrame:
     """Blobs to append: contents the store does not hold, one row each."""
     new = blobs.join(store.select("sha256"), "sha256", "left_anti")
