@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import names as N
-from quire.session import durable, number_within
+from quire.session import durable, number_within, running_totals
 
 MAX_MEMBERS, MAX_DOCUMENTS = 20, 3
 LEAD_ORDER = ["pdf", "docx", "legacy_office", "pptx", "xlsx", "notebook", "text", "code", "other",
@@ -189,7 +188,7 @@ def unique_names(docs: DataFrame, keys: list[str], name: str = "name", order: st
 
     Names can only meet when they agree after their trailing numbers are cut. Where such a family
     has one base name only, the suffix is a rank, computed without bringing a hot name into one
-    task. Families of several base names are numbered in order of id.
+    task. Families of several base names are settled by `_claimed`.
     """
     stem = F.regexp_replace(name, "\\.[^.]*$", "")
     ext = F.regexp_extract(name, "(\\.[^.]*)$", 1)
@@ -206,33 +205,59 @@ def unique_names(docs: DataFrame, keys: list[str], name: str = "name", order: st
     numbered = F.when(F.col("_rn") > 1, F.concat("_stem", F.lit("-"), F.col("_rn").cast("string"), "_ext")
                       ).otherwise(F.col(name))
     plain = simple.select(*docs.columns, numbered.alias("filed_name"))
-    mixed = tagged.filter("_mixed").select(*family, order, "_stem")
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        upcoming: dict[str, int] = {}
-        out = []
-        for base in pdf.sort_values(order)["_stem"]:
-            chosen = base
-            if chosen in taken:
-                n = upcoming.get(base, 2)
-                while f"{base}-{n}" in taken:
-                    n += 1
-                upcoming[base] = n + 1
-                chosen = f"{base}-{n}"
-            taken.add(chosen)
-            out.append(chosen)
-        done = pdf.sort_values(order)[[order]].copy()
-        done["_chosen"] = out
-        return done
-
-    schema = f"{order} {docs.schema[order].dataType.simpleString()}, _chosen string"
-    named = mixed.groupBy(*family).applyInPandas(assign, schema)
-    rest = (tagged.filter("_mixed").join(named, order)
+    named = _claimed(tagged.filter("_mixed").select(*family, F.col(order).alias("_id"), "_stem"), family)
+    rest = (tagged.filter("_mixed").join(named, F.col(order) == F.col("_id"))
             .select(*docs.columns, F.concat("_chosen", "_ext").alias("filed_name")))
     return plain.unionByName(rest)
 
 
+def _claimed(rows: DataFrame, family: list[str]) -> DataFrame:
+    """_id, _chosen: each row claims its stem, or where that is taken the stem with the first number from 2 on
+    that is free, in order of _id.
+
+    A name can be claimed by two stems only, its own and the one before its last number. Whether "x-2" is
+    free for the rows of "x" when they come to 2 depends on when the first row of "x-2" comes, and on nothing
+    below that. So stems are settled level by level, all of a level at once: numbers that are passed over
+    are told from the place that a claim has among the numbers not passed over before, in rounds until none changes, and
+    then each claim finds its number by its rank among the numbers left."""
+    key = lambda stem: F.to_json(F.struct(*family, stem.alias("_s")), {"ignoreNullFields": "false"})
+    tail = "^(.+)-([2-9]|[1-9][0-9]{1,17})$"
+    rows = rows.select("_id", "_stem", key(F.col("_stem")).alias("_base"), key(F.nullif(F.regexp_extract("_stem", tail, 1), F.lit(""))).alias("_parent"),
+                       F.regexp_extract("_stem", tail, 2).try_cast("long").alias("_num"))
+    claims = durable(number_within(rows, ["_base"], "_id", "_k"), "claims")
+    firsts = durable(claims.filter("_k = 1").select("_base", "_parent", "_num", F.col("_id").alias("_since")), "stems")
+    below = durable(firsts.filter("_num is not null").join(firsts.select(F.col("_base").alias("_parent")), "_parent", "left_semi"), "below")
+    level = firsts.join(below.select("_base"), "_base", "left_anti").select("_base", F.lit(True).alias("_own"))
+    out = None
+    while True:
+        # claims of the level that need a number, in order; the first of a stem whose own name is free does not
+        asked = durable(claims.join(level, "_base").withColumn("_k", F.col("_k") - F.when(F.col("_own"), 1).otherwise(0)).select("_id", "_stem", "_base", "_k"), "asked")
+        children = durable(level.select(F.col("_base").alias("_parent")).join(below, "_parent").select("_parent", "_num", "_base", "_since", F.lit(False).alias("_past")), "children")
+        turns = asked.filter("_k > 0").select(F.col("_base").alias("_parent"), F.col("_k").alias("_turn"), F.col("_id").alias("_when"))
+        while True:
+            counted = running_totals(children, ["_parent"], "_num", _n=F.when(F.col("_past"), 1).otherwise(0))
+            place = F.col("_num") - 1 - F.col("_n") + F.when(F.col("_past"), 1).otherwise(0)
+            met = counted.withColumn("_turn", place).join(turns, ["_parent", "_turn"], "left")
+            after = durable(met.select("_parent", "_num", "_base", "_since", F.coalesce(F.col("_since") < F.col("_when"), F.lit(False)).alias("_now"), "_past",
+                                       F.col("_when").isNotNull().alias("_met")), "children")
+            done = not after.filter("_now <> _past").take(1)
+            children = after.withColumn("_past", F.col("_now")).drop("_now")
+            if done:
+                break
+        past = running_totals(children.filter("_past").select("_parent", "_num"), ["_parent"], "_num", _i=F.lit(1))
+        gaps = past.select(F.col("_parent").alias("_base"), F.struct((F.col("_num") - 1 - F.col("_i")).alias("x"), F.lit(1).alias("late")).alias("_at"),
+                           F.lit(None).cast(asked.schema["_id"].dataType).alias("_id"), F.lit(None).cast("string").alias("_stem"), F.lit(0).cast("long").alias("_k"), F.lit(1).alias("_gap"))
+        ranked = asked.select("_base", F.struct(F.col("_k").cast("long").alias("x"), F.lit(0).alias("late")).alias("_at"), "_id", "_stem", F.col("_k").cast("long").alias("_k"), F.lit(0).alias("_gap"))
+        numbered = running_totals(ranked.unionByName(gaps), ["_base"], "_at", _gaps=F.col("_gap")).filter("_gap = 0")
+        chosen = numbered.select("_id", F.when(F.col("_k") == 0, F.col("_stem")).otherwise(
+            F.concat("_stem", F.lit("-"), (F.col("_k") + 1 + F.col("_gaps")).cast("string"))).alias("_chosen"))
+        out = chosen if out is None else out.unionByName(chosen)
+        # the own name of a stem below is free unless a claim above has come to its number and not passed it over
+        level = durable(children.select("_base", (F.col("_past") | ~F.col("_met")).alias("_own")), "level")
+        if not level.take(1):
+            return out
+
+
 def tree_paths(docs: DataFrame, courses: DataFrame) -> DataFrame:
     """Export paths `<course>/<unit>/<type>/<name>`, collisions numbered. `docs(id, unit, document_type,
     filed_name)`, `courses(unit, course)` with the first course slug of each unit."""

@@ -367,6 +367,15 @@ def unique_names_mixed(spark, sf):
     return B.unique_names(part, ["p_type"])
 
 
+MIXED_SQL = r"""WITH RECURSIVE p AS (SELECT p_partkey AS id, p_type, replace(p_name, ' ', '-') || CASE WHEN p_size < 12 THEN '-' || p_size ELSE '' END AS stem FROM part),
+f AS (SELECT *, row_number() OVER (PARTITION BY p_type, regexp_replace(stem, '(-[0-9]+)+$', '') ORDER BY id) AS rn, regexp_replace(stem, '(-[0-9]+)+$', '') AS root FROM p),
+w AS (SELECT id, p_type, root, rn, stem, stem AS chosen, [stem] AS taken FROM f WHERE rn = 1
+  UNION ALL SELECT f.id, f.p_type, f.root, f.rn, f.stem, pick, list_append(taken, pick) FROM w JOIN f ON f.p_type = w.p_type AND f.root = w.root AND f.rn = w.rn + 1,
+  LATERAL (SELECT CASE WHEN NOT list_contains(taken, f.stem) THEN f.stem
+    ELSE f.stem || '-' || list_filter(range(2, len(taken) + 3), lambda n: NOT list_contains(taken, f.stem || '-' || n))[1] END AS pick))
+SELECT id, p_type, stem || '.pdf' AS name, chosen || '.pdf' AS filed_name FROM w"""
+
+
 def tree_export(spark, sf):
     """All filed documents below course, unit and type; most names collide."""
     idx = index(spark, sf).filter("status = 'filed' and kind <> 'archive'")
@@ -442,7 +451,7 @@ QUERIES = {
     "bundle_qualifies": (bundle_qualifies, QUALIFIES_SQL),
     "greedy_bundles": (greedy_bundles, None),
     "unique_names": (unique_names, UNIQUE_SQL),
-    "unique_names_mixed": (unique_names_mixed, None),
+    "unique_names_mixed": (unique_names_mixed, MIXED_SQL),
     "tree_export": (tree_export, TREE_SQL),
     "bundle_inherit": (bundle_inherit, INHERIT_SQL),
     "gold_manifest": (gold_manifest, None),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from quire.operators import bundles as B  # noqa: E402
 from quire.operators.chains import first_from, reached  # noqa: E402
 from quire.session import running_totals  # noqa: E402
 from quire.sources import deposit as D  # noqa: E402
@@ -163,3 +164,22 @@ def test_streams_give_out_what_is_over(spark, tmp_path):
     stream = _feed(spark, tmp_path / "p", parts, schema).withWatermark("at", "1 second")
     out = R.drain(R.waiting_parts(stream, "at", 100), str(tmp_path / "po"), str(tmp_path / "ps")).collect()
     assert sorted((r.target, r.have, r.bytes, r.expired) for r in out) == [("t", 2, 11, False), ("u", 1, 5, True), ("v", 1, 1, True), ("w", 1, 2, False)]
+
+
+def test_names_of_mixed_families_equal_the_sequential_rule(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for group in ("g", "h", None):
+        taken = set()
+        for i in range(220):
+            base = "-".join(["x", *(str(rng.choice([1, 2, 2, 3, 4, 5, 12])) for _ in range(rng.choice([0, 0, 1, 1, 2, 3])))])
+            base = rng.choice([base, base, "y", "y-2", "y-02"])
+            i = len(rows)
+            rows.append((i, group, base + ".pdf"))
+            chosen, n = base, 2
+            while chosen in taken:
+                chosen, n = f"{base}-{n}", n + 1
+            taken.add(chosen)
+            want[i] = chosen + ".pdf"
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "id long, g string, name string")
+    assert {r.id: r.filed_name for r in B.unique_names(df, ["g"]).collect()} == want
