@@ -23,13 +23,15 @@ from quire.llm.common import durable, ship
 from quire.session import number_within
 
 SUPPORT, LONGEST, TOP, SCALE, COVER = 100, 5, 2000, 1000, 100
-SHARDS = 25
+SHARDS = 8  # so few that the local support stays over a tenth of the support
+ROWS = 1 << 16  # of a batch
 
 
 class Sizes(NamedTuple):
-    piece: int = 8 << 20  # bytes of text that are counted at once; a longer text is one piece
-    slice: int = 4 << 20  # bytes of a long text that are words at once
+    piece: int = 2 << 20  # bytes of text that are counted at once; a longer text is one piece
+    slice: int = 1 << 20  # bytes of a long text that are words at once
     slots: int = 1 << 26  # of the filter
+    bucket: int = 8 << 20  # bytes of text whose counts are summed in one task
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -79,9 +81,9 @@ class Piece:
                 ends = [e for e in (text.find(b" ", end), text.find(b"\n", end)) if e >= 0]
                 end = min(ends) + 1 if ends else len(text)
             some = text[at:end].replace(b"\n", b" . ").split()
-            self.parts.append(np.fromiter(map(ids.__getitem__, some), "int64", len(some)))
+            self.parts.append(np.fromiter(map(ids.__getitem__, some), "int32", len(some)))
             at = end
-        self.parts.append(np.array([-1]))
+        self.parts.append(np.array([-1], "int32"))
         self.size += len(text)
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ class Piece:
 
         seeds = {lang: xxh64_intdigest(lang.encode()) & 0x7FFFFFFF for lang in self.by_lang}
         of = np.fromiter((xxh64_intdigest(w, seeds[g]) for w, g in zip(self.words, self.langs)), "uint64", len(self.words))
-        ids = np.concatenate(self.parts) if self.parts else np.empty(0, "int64")
+        ids = np.concatenate(self.parts) if self.parts else np.empty(0, "int32")
         return ids, np.append(of, np.uint64(0))[ids]  # -1 takes the last
 
 
@@ -115,35 +117,38 @@ def _by_piece(docs: DataFrame, lang: str, text: str, sizes: Sizes, schema: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = Piece(sizes)
-        pack = lambda: pa.RecordBatch.from_pydict({f.name: pa.array(v, f.type) if not isinstance(v, pa.Array) else v
-                                                   for f, v in zip(arrow, fn(piece).values())}, schema=arrow)
+
+        def pack() -> Iterator[pa.RecordBatch]:
+            rows = pa.RecordBatch.from_pydict({f.name: v if isinstance(v, pa.Array) else pa.array(v, f.type)
+                                               for f, v in zip(arrow, fn(piece).values())}, schema=arrow)
+            for at in range(0, rows.num_rows, ROWS):  # both sides of the pipe hold a batch at a time
+                yield rows.slice(at, ROWS)
+
         for batch in batches:
             for g, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = t.as_buffer() if hasattr(t, "as_buffer") else None
                 piece.add(g, bytes(raw) if raw is not None else b"")
                 if piece.size >= sizes.piece:
-                    yield pack()
+                    yield from pack()
                     piece = Piece(sizes)
         if piece.parts:
-            yield pack()
+            yield from pack()
 
     cell = F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang")
     return docs.select(cell, F.col(text).alias("text")).mapInArrow(run, kind)
 
 
-LOCAL = "shard int, hash long, n long"
-
-
-def _local(docs: DataFrame, lang: str, text: str, sizes: Sizes, shards: int, lengths: tuple[int, ...], bits: np.ndarray | None) -> DataFrame:
-    """(shard, hash, n): counts of the phrases of a shard's pieces; a row without hash gives a piece's bytes. With `bits`, phrases
-    whose pairs of words are all in it."""
+def _local(docs: DataFrame, lang: str, text: str, sizes: Sizes, shards: int, per_shard: int, lengths: tuple[int, ...],
+           bits: np.ndarray | None) -> DataFrame:
+    """(bucket, hash, n): counts of the phrases of a shard's pieces, packed by bucket of the hash; the bucket -1 - shard has a
+    piece's bytes. With `bits`, phrases whose pairs of words are all in it."""
     shared = docs.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
 
     def count(piece: Piece) -> dict:
         shard = TaskContext.get().partitionId() % shards
         ids, words = piece.hashes()
         fit, hashes, pairs = ids >= 0, words, None
-        found, times = [], []
+        out: dict = {"bucket": [-1 - shard], "hash": [b""], "n": [np.array([piece.size], "<i8").tobytes()]}
         for k in range(1, max(lengths) + 1):
             if k > 1:
                 hashes, fit = _longer(hashes, words, k), fit[:-1] & (ids[k - 1:] >= 0)
@@ -153,15 +158,37 @@ def _local(docs: DataFrame, lang: str, text: str, sizes: Sizes, shards: int, len
                     fit = fit & pairs[k - 2:]
             if not fit.any():
                 break
-            if k in lengths:
-                u, n = np.unique(hashes[fit], return_counts=True)
-                found.append(u)
-                times.append(n)
-        u = np.concatenate(found) if found else np.empty(0, "uint64")
-        n = np.concatenate([*times, [piece.size]]).astype("int64")
-        return {"shard": np.full(len(n), shard, "int32"), "hash": pa.concat_arrays([pa.array(u.view("int64")), pa.nulls(1, pa.int64())]), "n": n}
+            if k not in lengths:
+                continue
+            u, n = np.unique(hashes[fit], return_counts=True)
+            bucket = (u % np.uint64(per_shard)).astype("int64")
+            order = np.argsort(bucket, kind="stable")
+            u, n, bucket = u[order], n[order].astype("<u4"), bucket[order]
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+            for i, j in zip(starts, [*starts[1:], len(u)]):
+                for column, v in zip(out, (shard * per_shard + int(bucket[i]), u[i:j].tobytes(), n[i:j].tobytes())):
+                    out[column].append(v)
+        return out
+
+    return _by_piece(docs, lang, text, sizes, "bucket long, hash binary, n binary", count)
+
+
+def _summed(packed: DataFrame, per_shard: int, least: int) -> DataFrame:
+    """(shard, hash, n): counts of a shard of at least `least`; a row without hash gives the shard's bytes."""
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+        if bucket < 0:
+            return pa.table({"shard": pa.array([-1 - bucket], pa.int32()), "hash": pa.nulls(1, pa.int64()), "n": [int(joined("n", "<i8").sum())]})
+        hashes, n = joined("hash", "<u8"), joined("n", "<u4")
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        n = np.add.reduceat(n[order].astype("int64"), starts)
+        kept = n >= least
+        return pa.table({"shard": np.full(kept.sum(), bucket // per_shard, "int32"), "hash": hashes[starts][kept].view("int64"), "n": n[kept]})
 
-    return _by_piece(docs, lang, text, sizes, LOCAL, count)
+    return packed.groupBy("bucket").applyInArrow(run, "shard int, hash long, n long")
 
 
 def local_supports(support: int, bytes_of: dict[int, int]) -> dict[int, int]:
@@ -177,13 +204,14 @@ def _frequent(docs: DataFrame, lang: str, text: str, sizes: Sizes, support: int,
     """(hash): the union of what the shards find locally frequent."""
     shards = max(1, min(SHARDS, (support - 1) // 2))
     least = min(2, support) if support - 1 >= shards else 1
-    sums = durable(_local(docs, lang, text, sizes, shards, lengths, bits).groupBy("shard", "hash").agg(F.sum("n").alias("n"))
-                   .where(F.col("hash").isNull() | (F.col("n") >= least)), "counts")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    per_shard = max(1, -(-size // (shards * sizes.bucket)))
+    sums = durable(_summed(_local(docs, lang, text, sizes, shards, per_shard, lengths, bits), per_shard, least), "counts")
     share = {r["shard"]: r["n"] for r in sums.where("hash is null").collect()}  # a row a shard
     if not share:
         return sums.select("hash").limit(0)
-    table = docs.sparkSession.createDataFrame(list(local_supports(support, share).items()), "of int, local long")
-    return sums.where("hash is not null").join(table, (F.col("shard") == F.col("of")) & (F.col("n") >= F.col("local"))).select("hash")
+    local = F.create_map(*[F.lit(x) for pair in local_supports(support, share).items() for x in pair])
+    return sums.where(F.col("hash").isNotNull() & (F.col("n") >= local[F.col("shard")])).select("hash")
 
 
 def _bits(hashes: DataFrame, slots: int, into: np.ndarray | None = None) -> np.ndarray:
@@ -229,9 +257,9 @@ def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, la
             at = np.nonzero(fit)[0]
             if not len(at):
                 break
-            key = rank[at] if k == 1 else rank[at] * many + ids[at + k - 1]
+            key = rank[at] if k == 1 else rank[at].astype("int64") * many + ids[at + k - 1]
             _, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            rank = np.zeros(len(fit), "int64")
+            rank = np.zeros(len(fit), "int32")
             rank[at] = back
             for place, times in zip(at[first].tolist(), n.tolist()):
                 some = ids[place:place + k].tolist()
@@ -245,7 +273,8 @@ def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, la
     counted = durable(_by_piece(docs, lang, text, sizes, "lang string, phrase string, size int, n long", count)
                       .groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f"))
                       .where(F.col("phrase").isNull() | (F.col("f") >= support)), "phrases")
-    return counted.where("phrase is not null"), counted.where("phrase is null").select("lang", F.col("f").alias("n"))
+    totals = durable(counted.where("phrase is null").select("lang", F.col("f").alias("n")), "totals")  # a row a language
+    return counted.where("phrase is not null"), totals
 
 
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
