@@ -146,6 +146,41 @@ PROJECTS_SQL = f"""WITH {_PATHS}, f AS (SELECT grp, dir FROM ex GROUP BY grp, di
 SELECT grp, dir FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.grp = f.grp AND starts_with(f.dir, g.dir || '/'))"""
 
 
+def _project_files(spark, sf):
+    """Documents as files of small projects, some marked at their root or in a folder, some with folders to ignore."""
+    d = table(spark, sf, "documents")
+    n, k = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    path = (F.when(k == 0, F.concat(F.lit("app/src/f"), n, F.lit(".py"))).when(k == 1, F.concat(F.lit("app/f"), n, F.lit(".py")))
+            .when(k == 2, F.concat(F.lit("lib/x"), n, F.lit(".c"))).when(k == 3, F.concat(F.lit("docs/n"), n, F.lit(".txt")))
+            .otherwise(F.concat(F.lit("app/node_modules/m/"), n, F.lit(".js"))))
+    files = d.select(F.concat_ws("-", "lang", "source").alias("grp"), path.alias("path"), F.col("n_chars").alias("size"))
+    mark = F.when(F.col("source") == "src1", "Makefile").when(F.col("source") == "src2", "lib/pom.xml").when(F.col("source") == "src3", ".git/config")
+    return files.union(d.select(F.concat_ws("-", "lang", "source"), mark, F.lit(0).cast("long")).distinct().filter(mark.isNotNull()))
+
+
+def marked_projects(spark, sf):
+    """Projects that a marker makes, at the root or in a folder, and those of mostly code."""
+    return S.code_projects(_project_files(spark, sf), "grp")
+
+
+MARKED_SQL = """WITH d AS (SELECT lang || '-' || source AS grp, source, doc_id % 5 AS k FROM documents)
+SELECT DISTINCT grp, '' AS dir FROM d WHERE source IN ('src1', 'src3')
+UNION ALL SELECT grp, 'app' FROM d WHERE source NOT IN ('src1', 'src3') AND k < 2 GROUP BY grp HAVING count(*) >= 3
+UNION ALL SELECT grp, 'lib' FROM d WHERE source NOT IN ('src1', 'src3') GROUP BY grp, source HAVING sum((k = 2)::INT) >= 3 OR source = 'src2'"""
+
+
+def project_manifest(spark, sf):
+    return S.manifest(_project_files(spark, sf), "grp")
+
+
+MANIFEST_SQL = """WITH d AS (SELECT lang || '-' || source AS grp, source, n_chars, doc_id % 5 AS k, doc_id FROM documents)
+SELECT grp, CASE k WHEN 0 THEN 'app/src/f' || doc_id || '.py' WHEN 1 THEN 'app/f' || doc_id || '.py' WHEN 2 THEN 'lib/x' || doc_id || '.c' ELSE 'docs/n' || doc_id || '.txt' END AS entry,
+  false AS ignored, 1 AS files, n_chars AS bytes FROM d WHERE k < 4
+UNION ALL SELECT DISTINCT grp, CASE source WHEN 'src1' THEN 'Makefile' ELSE 'lib/pom.xml' END, false, 1, 0 FROM d WHERE source IN ('src1', 'src2')
+UNION ALL SELECT grp, 'app/node_modules', true, count(*), sum(n_chars)::BIGINT FROM d WHERE k = 4 GROUP BY grp
+UNION ALL SELECT DISTINCT grp, '.git', true, 1, 0 FROM d WHERE source = 'src3'"""
+
+
 def software_archives(spark, sf):
     entries = _paths(spark, sf).select(F.col("grp").alias("archive"), "path")
     return S.software_archives(entries).select("archive", "entries", F.round("other", 6).alias("other"), "software")
@@ -438,6 +473,8 @@ QUERIES = {
     "code_ratio": (code_ratio, CODE_SQL),
     "outermost_dirs": (outermost_dirs, OUTER_SQL),
     "code_projects": (code_projects, PROJECTS_SQL),
+    "marked_projects": (marked_projects, MARKED_SQL),
+    "project_manifest": (project_manifest, MANIFEST_SQL),
     "software_archives": (software_archives, SOFTWARE_SQL),
     "archive_budget": (archive_budget, BUDGET_SQL),
     "safe_paths": (safe_paths, SAFE_SQL),

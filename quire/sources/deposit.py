@@ -71,6 +71,10 @@ def is_ignored(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in IGNORED_DIRS]))
 
 
+def _is_marker(name: Column) -> Column:
+    return name.isin(MARKERS) | name.rlike(f"^[^/]*{MARKER_ENDS}")
+
+
 def folder_code(files: DataFrame, group: str) -> DataFrame:
     """Per group and folder (with its subfolders): files, code files, ratio, study documents, and
     whether a project marker lies directly inside."""
@@ -82,7 +86,7 @@ def folder_code(files: DataFrame, group: str) -> DataFrame:
     name = F.substring_index("path", "/", -1)
     direct = F.regexp_replace("path", "/[^/]*$", "") == F.col("dir")
     below = F.substr("path", F.length("dir") + 2)
-    marked = (direct & (name.isin(MARKERS) | name.rlike(MARKER_ENDS))) | (
+    marked = (direct & _is_marker(name)) | (
         F.substring_index(below, "/", 1).isin(".git") & F.contains(below, F.lit("/")))
     counted = ~F.col("ignored")
     return rows.groupBy(group, "dir").agg(
@@ -93,11 +97,15 @@ def folder_code(files: DataFrame, group: str) -> DataFrame:
 
 
 def code_projects(files: DataFrame, group: str) -> DataFrame:
-    """Outermost folders that are code projects: marked ones, or mostly code without documents."""
+    """Outermost folders that are code projects: marked ones, or mostly code without documents. A group with a
+    marker right in its root is one project, whose folder is ""; code alone does not make the root one."""
+    at_root = files.filter(_is_marker(F.col("path")) | F.startswith("path", F.lit(".git/"))).select(group).distinct()
+    whole = at_root.select(group, F.lit("").alias("dir"))
+    files = files.join(at_root.select(F.col(group).alias("_root")), F.col(group).eqNullSafe(F.col("_root")), "left_anti")
     stats = folder_code(files, group).filter(~is_ignored(F.col("dir")))
     found = stats.filter(F.col("marker") | ((F.col("code_files") >= MIN_CODE_FILES)
                                             & (F.col("ratio") >= CODE_RATIO) & ~F.col("documents")))
-    return outermost(found.select(group, "dir"), group)
+    return outermost(found.select(group, "dir"), group).unionByName(whole)
 
 
 def outermost(dirs: DataFrame, group: str) -> DataFrame:
@@ -107,6 +115,15 @@ def outermost(dirs: DataFrame, group: str) -> DataFrame:
     return dirs.join(inside, [group, "dir"], "left_anti")
 
 
+def manifest(files: DataFrame, group: str) -> DataFrame:
+    """What is in a project, one row an entry: each kept file, and each ignored folder with the files and bytes in
+    it (`ignored`). All files go along, the ignored ones are only not listed."""
+    kept = files.filter(~is_ignored(F.col("path"))).select(
+        group, F.col("path").alias("entry"), F.lit(False).alias("ignored"), F.lit(1).cast("long").alias("files"), F.col("size").cast("long").alias("bytes"))
+    gone = manifest_ignored(files, group).select(group, F.col("root").alias("entry"), F.lit(True).alias("ignored"), "files", "bytes")
+    return kept.unionByName(gone)
+
+
 def manifest_ignored(files: DataFrame, group: str) -> DataFrame:
     """Ignored folders of a project with their files and bytes."""
     parts = F.split("path", "/")
@@ -119,7 +136,7 @@ def manifest_ignored(files: DataFrame, group: str) -> DataFrame:
 def deposit_items(items: DataFrame, projects: DataFrame, group: str = "batch") -> DataFrame:
     """Scanned items with code projects as one item each: parts and the members of a project are no
     items of their own. `projects(batch, dir)` are the project roots."""
-    loose = items.filter("kind <> 'part'").withColumn("_up", dirs_of(F.col("rel")))
+    loose = items.filter("kind <> 'part'").withColumn("_up", F.concat(F.array(F.lit("")), dirs_of(F.col("rel"))))
     roots = projects.select(F.col(group).alias("_g"), F.col("dir").alias("_dir"))
     above = loose.select(group, "rel", F.explode("_up").alias("_d"))
     inside = above.join(roots, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_d") == F.col("_dir")), "left_semi")
