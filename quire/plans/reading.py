@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import names as N
-from quire.operators import library as L, questions as Z
+from quire.operators import classify as C, library as L, questions as Z
 from quire.plans.exams import _BANK, still_in_file
 from quire.plans.shelves import _INDEX, index
 from quire.session import number_within, table
@@ -215,7 +215,30 @@ def extraction_records(spark, sf):
 RECORDS_SQL = "SELECT sha256(text) AS sha256, 2 AS extractor_version, n_chars::INT AS chars, lang, NULL::INT AS words FROM documents"
 
 
+def document_signals(spark, sf):
+    """What the places of a document say of it: file names, an organised folder, other folders, the archive it came
+    in, its metadata and its pages."""
+    d = table(spark, sf, "documents")
+    source = lambda path, batch: F.struct(path.alias("path"), batch.alias("batch"))
+    docs = d.select("doc_id", F.array(
+        source(F.concat(F.lit("UC/2020_2021/1º Semestre/"), "lang", F.lit("/Testes/teste "), "doc_id", F.lit(".pdf")), F.lit(None).cast("string")),
+        source(F.concat(F.lit("Pasta/"), "source", F.lit("/nota.txt")), F.when(F.col("doc_id") % 2 == 0, "20251001T120000Z-abc").otherwise("curso"))).alias("sources"))
+    page = lambda n, t: F.struct(F.lit(n).alias("page"), t.alias("text"))
+    pages = d.select("doc_id", F.explode(F.array(page(1, F.concat(F.lit("Olá "), "lang")), page(2, F.lit("corpo")))).alias("p")).select("doc_id", "p.*")
+    metadata = d.filter("doc_id % 3 = 0").select("doc_id", F.create_map(F.lit("title"), F.lit("Livro"), F.lit("subject"), F.col("lang")).alias("metadata"))
+    archives = d.filter("doc_id % 5 = 0").select("doc_id", F.lit(0).alias("depth"), F.lit("pack_a.zip").alias("name"))
+    return C.collect_signals(docs, pages, metadata, archives).select("doc_id", "source", "norm")
+
+
+SIGNALS_SQL = """SELECT doc_id, 'filename' AS source, 'teste ' || doc_id AS norm FROM documents UNION ALL SELECT doc_id, 'filename', 'nota' FROM documents
+UNION ALL SELECT doc_id, 'layout', '2020 2021 ' || lang FROM documents UNION ALL SELECT doc_id, 'path', 'testes' FROM documents
+UNION ALL SELECT doc_id, 'path', CASE WHEN doc_id % 2 = 1 THEN 'curso ' ELSE '' END || 'pasta src ' || substr(source, 4) FROM documents
+UNION ALL SELECT doc_id, 'header', 'ola ' || lang FROM documents UNION ALL SELECT doc_id, 'body', 'corpo' FROM documents
+UNION ALL SELECT doc_id, 'metadata', 'livro ' || lang FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'archive', 'pack a' FROM documents WHERE doc_id % 5 = 0"""
+
+
 QUERIES = {
+    "document_signals": (document_signals, SIGNALS_SQL),
     "open_proposals": (open_proposals, OPEN_SQL),
     "questions_shown": (questions_shown, SHOWN_SQL),
     "index_figures": (index_figures, FIGURES_SQL),
