@@ -312,7 +312,9 @@ def sharing_edits(spark, sf):
              .when(F.col("value") < 15, "group:a-b").when(F.col("value") < 20, "nowhere"))
     edits = events.select(F.concat(F.lit("u"), "user_id").alias("owner"), F.col("event_type")
                           .alias("key"), value.alias("value"), F.col("event_id").alias("seq"))
-    return A.sharing_edits(choices, edits, kinds)[0]
+    kept, rejected = A.sharing_edits(choices, edits, kinds)
+    return kept.select("owner", "key", "visibility", F.lit(False).alias("rejected")).unionByName(
+        rejected.select("owner", "key", F.col("value").alias("visibility"), F.lit(True).alias("rejected")))
 
 
 SHARING_SQL = """WITH e AS (SELECT 'u' || user_id::VARCHAR AS owner, event_type AS key, event_id,
@@ -321,8 +323,10 @@ SHARING_SQL = """WITH e AS (SELECT 'u' || user_id::VARCHAR AS owner, event_type
 l AS (SELECT owner, key, v FROM e WHERE v IS DISTINCT FROM 'bad'
   QUALIFY row_number() OVER (PARTITION BY owner, key ORDER BY event_id DESC) = 1),
 c AS (SELECT 'u' || c_custkey::VARCHAR AS owner, 'view' AS key, 'public' AS visibility FROM customer)
-SELECT owner, key, visibility FROM c WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.owner = c.owner
-  AND l.key = c.key) UNION ALL SELECT owner, key, v FROM l WHERE v IS NOT NULL"""
+SELECT owner, key, visibility, false AS rejected FROM c WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.owner = c.owner
+  AND l.key = c.key) UNION ALL SELECT owner, key, v, false FROM l WHERE v IS NOT NULL
+UNION ALL SELECT 'u' || user_id::VARCHAR, event_type, CASE WHEN value < 5 THEN 'publico' WHEN value < 10 THEN 'privado' WHEN value < 15 THEN 'group:a-b'
+  WHEN value < 20 THEN 'nowhere' END, true FROM events WHERE event_type = 'error' OR value >= 15 AND value < 20"""
 
 
 def policy_audit(spark, sf):
@@ -525,7 +529,7 @@ def unit_merge(spark, sf):
                             .alias("unit_key"), F.lit(1).alias("curricular_year"), F.lit(1).alias("semester")
                             ).distinct()
     out = K.merge_units(docs, units, links, merges)
-    names = out["units"].select(F.col("key").alias("unit"), F.size("aliases").alias("aliases"))
+    names = out["units"].select(F.col("key").alias("unit"), F.array_join(F.array_sort("aliases"), ", ").alias("aliases"))
     per = out["docs"].groupBy("unit").agg(F.count("*").alias("docs"))
     courses = out["course_units"].groupBy(F.col("unit_key").alias("unit")).agg(F.count("*").alias("courses"))
     return names.join(per, "unit", "left").join(courses, "unit", "left")
@@ -534,9 +538,10 @@ def unit_merge(spark, sf):
 MERGE_SQL = """WITH m AS (SELECT n_nationkey AS k, CASE WHEN n_regionkey < 4 THEN min(n_nationkey) OVER
   (PARTITION BY n_regionkey) ELSE n_nationkey END AS t FROM nation),
 d AS (SELECT t, count(*) AS docs, count(DISTINCT c_mktsegment) AS courses FROM customer JOIN m
-  ON c_nationkey = k GROUP BY t)
-SELECT t::VARCHAR AS unit, (2 * count(*) - 1)::INT AS aliases, any_value(docs) AS docs, any_value(courses) AS courses
-FROM m LEFT JOIN d USING (t) GROUP BY t"""
+  ON c_nationkey = k GROUP BY t),
+a AS (SELECT t, unnest(CASE WHEN k = t THEN [lower(n_name)] ELSE [n_name, lower(n_name)] END) AS alias FROM m JOIN nation ON n_nationkey = k),
+n AS (SELECT t, string_agg(alias, ', ' ORDER BY alias) AS aliases FROM a GROUP BY t)
+SELECT t::VARCHAR AS unit, aliases, docs, courses FROM n LEFT JOIN d USING (t)"""
 
 
 def suggestions(spark, sf):
