@@ -75,19 +75,24 @@ THEN 'accepted' ELSE 'rejected' END AS state FROM documents JOIN labels USING (d
 
 
 def course_removal(spark, sf):
-    """Customers enrolled in the courses (suppliers) of their nation; the rich suppliers' courses go."""
-    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    per = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_set(F.col("s_suppkey").cast("string"))).alias("enrolled_courses"))
-    users = c.join(per, F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("c_custkey").alias("login"), "enrolled_courses")
+    """Customers enrolled in the courses (suppliers) that delivered to them; the rich suppliers' courses go, from the
+    list, from their units (the nations) and from the enrolments."""
+    s, o, n = table(spark, sf, "supplier"), table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    met = n.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("login"), F.col("l_suppkey").cast("string").alias("k")).distinct()
+    users = met.groupBy("login").agg(F.sort_array(F.collect_list("k")).alias("enrolled_courses"))
     courses = s.select(F.col("s_suppkey").cast("string").alias("key"))
-    links = s.select(F.col("s_suppkey").cast("string").alias("course_key"), F.lit("u").alias("unit_key"))
+    links = s.select(F.col("s_suppkey").cast("string").alias("course_key"), F.col("s_nationkey").cast("string").alias("unit_key"))
     gone = s.filter("s_acctbal > 5000").select(F.col("s_suppkey").cast("string").alias("key"))
-    out = K.remove_courses(courses, links, users, gone)["users"]
-    return out.select("login", F.array_join("enrolled_courses", ",").alias("courses"))
+    out = K.remove_courses(courses, links, users, gone)
+    return (out["users"].select(F.lit("user").alias("what"), F.col("login").cast("string").alias("key"), F.array_join("enrolled_courses", ",").alias("value"))
+            .unionByName(out["courses"].select(F.lit("course").alias("what"), "key", F.lit(None).cast("string").alias("value")))
+            .unionByName(out["course_units"].select(F.lit("unit").alias("what"), F.col("course_key").alias("key"), F.col("unit_key").alias("value"))))
 
 
-COURSES_SQL = """WITH s AS (SELECT s_nationkey, coalesce(string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey::VARCHAR) FILTER (s_acctbal <= 5000), '')
-  AS courses FROM supplier GROUP BY 1) SELECT c_custkey AS login, courses FROM customer JOIN s ON s_nationkey = c_nationkey"""
+COURSES_SQL = """WITH m AS (SELECT DISTINCT o_custkey, l_suppkey, s_acctbal <= 5000 AS stays FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)
+SELECT 'user' AS what, o_custkey::VARCHAR AS key, coalesce(string_agg(l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) FILTER (stays), '') AS value FROM m GROUP BY o_custkey
+UNION ALL SELECT 'course', s_suppkey::VARCHAR, NULL FROM supplier WHERE s_acctbal <= 5000
+UNION ALL SELECT 'unit', s_suppkey::VARCHAR, s_nationkey::VARCHAR FROM supplier WHERE s_acctbal <= 5000"""
 
 
 def catalog_bundle(spark, sf):

@@ -403,35 +403,34 @@ bool_and(event_type IN ('view', 'click')) AS skip FROM events GROUP BY 1"""
 
 
 def _catalog(spark, sf):
-    region, nation = table(spark, sf, "region"), table(spark, sf, "nation")
-    supplier, customer = table(spark, sf, "supplier"), table(spark, sf, "customer")
-    units = customer.select(F.concat_ws("/", F.lit("i"), F.col("c_custkey").cast("string")).alias("key"),
-                            F.lit("i").alias("institution"), F.col("c_name").alias("name"), "c_nationkey")
-    links = (supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-             .join(customer, F.col("c_nationkey") == F.col("s_nationkey"))
-             .select(F.concat_ws("/", F.concat(F.lit("r"), "n_regionkey"), F.col("s_suppkey")
-                                 .cast("string")).alias("course_key"),
-                     F.concat_ws("/", F.lit("i"), F.col("c_custkey").cast("string")).alias("unit_key")))
-    return units, links
+    """Customers as units, listed by the courses (suppliers) whose dear reductions they sent back."""
+    supplier, nation = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    unit = lambda c: F.concat_ws("/", F.lit("i"), F.col(c).cast("string"))
+    units = table(spark, sf, "customer").select(unit("c_custkey").alias("key"), F.lit("i").alias("institution"), F.col("c_name").alias("name"), "c_nationkey")
+    course = F.concat_ws("/", F.concat(F.lit("r"), "n_regionkey"), F.col("s_suppkey").cast("string")).alias("course_key")
+    courses = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", course)
+    sold = lines.filter("l_returnflag = 'R' and l_discount > 0.08").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", unit("o_custkey").alias("unit_key")).distinct()
+    return units, sold.join(courses, F.col("l_suppkey") == F.col("s_suppkey")).select("course_key", "unit_key")
+
+
+_LINKS = """l AS (SELECT DISTINCT 'r' || n_regionkey || '/' || s_suppkey AS course_key, 'i/' || o_custkey AS unit_key FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_returnflag = 'R' AND l_discount > 0.08)"""
 
 
 def course_of_unit(spark, sf):
     return K.course_of_unit(_catalog(spark, sf)[1])
 
 
-COURSE_SQL = """SELECT 'i/' || c_custkey::VARCHAR AS unit_key, min('r' || n_regionkey::VARCHAR || '/' ||
-s_suppkey::VARCHAR) AS course_key FROM supplier JOIN nation ON s_nationkey = n_nationkey
-JOIN customer ON c_nationkey = s_nationkey GROUP BY 1"""
+COURSE_SQL = f"WITH {_LINKS} SELECT unit_key, min(course_key) AS course_key FROM l GROUP BY unit_key"
 
 
 def loose_units(spark, sf):
     units, links = _catalog(spark, sf)
-    some = links.filter(F.col("course_key").rlike("^r[0-2]/"))
-    return K.loose_units(units, some).select("key", "name")
+    return K.loose_units(units, links).select("key", "name")
 
 
-LOOSE_SQL = """SELECT 'i/' || c_custkey::VARCHAR AS key, c_name AS name FROM customer WHERE c_nationkey NOT IN
-(SELECT s_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <= 2)"""
+LOOSE_SQL = f"WITH {_LINKS} SELECT 'i/' || c_custkey AS key, c_name AS name FROM customer WHERE 'i/' || c_custkey NOT IN (SELECT unit_key FROM l)"
 
 
 def topic_tree(spark, sf):
