@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.common import arrow_map, discard, durable, fresh, release, ship
 from quire.llm.rindex import RunIndex
+from quire.session import number_within
 
 LENGTH = 100
 K = 32  # bytes of a hashed string; a window has LENGTH - K + 1
@@ -235,14 +236,20 @@ def _settle(length: int):
     return run
 
 
-def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def sums_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, sum) of each row with an id and a text."""
+    return durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("sum"))
+                   .where("doc_id is not null and size is not null"), "sums")
+
+
+def removed(docs: DataFrame, length: int = LENGTH, sums: DataFrame | None = None) -> DataFrame:
     """(doc_id, runs): the byte ranges [start, end) of each document that are covered by strings of
     `length` bytes which also start earlier, as a sorted array without overlaps. Copies of a whole
-    text are one text to the index: the later ones are removed without it."""
+    text are one text to the index: the later ones are removed without it. A doc_id has one text."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    sums = docs.where(F.octet_length("text") >= length).select("doc_id", F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("sum"))
+    sums = (sums_of(docs) if sums is None else sums).where(F.col("size") >= length)
     groups = sums.groupBy("sum").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     copies = durable(sums.join(groups, "sum").where("doc_id > least").select("doc_id", "size").distinct(), "copies")
     found = durable(marks(docs, length), "marks")
@@ -299,15 +306,30 @@ def _kept(data: bytes, runs: list[dict]) -> tuple[bytes, int, int]:
 
 
 def _with_runs(docs: DataFrame, length: int) -> DataFrame:
-    """The documents and, as last column, the runs to remove from each."""
-    key, runs = fresh(docs, "_id"), fresh(docs, "runs")
-    found = removed(docs, length).toDF(key, runs)
-    return docs.join(found, F.col("doc_id") == F.col(key), "left").drop(key)
+    """The documents and, as last column, the runs to remove from each.
+
+    Different texts with one doc_id are documents of their own, the one with the lesser SHA-256 the earlier: then all
+    are numbered in that order, and the numbers stand for the ids."""
+    key, runs, digest = fresh(docs, "_id"), fresh(docs, "runs"), fresh(docs, "_sum")
+    sums = sums_of(docs)
+    texts = sums.distinct()
+    if not texts.groupBy("doc_id").count().where("count > 1").take(1):
+        found = removed(docs, length, sums).toDF(key, runs)
+        return docs.join(found, F.col("doc_id") == F.col(key), "left").drop(key)
+    numbers = durable(number_within(texts.select(F.struct("doc_id", "sum").alias("order")), [], "order", "number"), "numbers").select(
+        F.col("order.doc_id").alias(key), F.col("order.sum").alias(digest), F.col("number").alias(fresh(docs, "_number")))
+    number = numbers.columns[-1]
+    told = docs.withColumn(fresh(docs, "_digest"), F.unhex(F.sha2("text", 256)))
+    mine = told.columns[-1]
+    numbered = told.join(numbers, (F.col("doc_id") == F.col(key)) & (F.col(mine) == F.col(digest)), "left").drop(key, digest, mine)
+    found = removed(numbered.select(F.col(number).alias("doc_id"), "text"), length).toDF(key, runs)
+    return numbered.join(found, F.col(number) == F.col(key), "left").drop(key, number)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, other columns as they are, with the repeated bytes gone from their texts. A
-    character of which bytes went is dropped. Null texts stay null."""
+    character of which bytes went is dropped. Null texts stay null. Different texts with one doc_id are
+    documents of their own, as in `digests`."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -321,7 +343,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null and empty texts are
     no bytes. A null doc_id is earlier and later than nothing, so its text stays. Rows that repeat,
-    doc_id and text, are one document with equal results."""
+    doc_id and text, are one document with equal results; different texts with one doc_id are documents of
+    their own, the one with the lesser SHA-256 the earlier."""
     def run(batch: pa.RecordBatch) -> dict:
         out = {"doc_id": batch.column(0), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
         for text, runs in zip(batch.column(1), batch.column(2)):

@@ -290,6 +290,35 @@ def test_minimum_covariance_determinant_finds_the_outliers(spark):
     assert (got["d"][out] > quality.LIMIT).all() and (got["d"][~out] < quality.LIMIT).all()
 
 
+def plain_estimate(x, share=quality.SHARE):
+    """Concentration steps of one group with exact ranks."""
+    n, p = x.shape
+    at = lambda v, q: np.sort(v)[max(0, int(np.ceil(q * len(v))) - 1)]
+    mu = np.array([at(x[:, i], 0.5) for i in range(p)])
+    spread = np.array([max((at(x[:, i], 0.75) - at(x[:, i], 0.25)) / 1.349, quality.FLOOR[i]) for i in range(p)])
+    inverse, det = np.diag(1 / spread**2), np.inf
+    far = lambda: np.einsum("ni,ij,nj->n", x - mu, inverse, x - mu)
+    while True:
+        d = far()
+        kept = x[d <= at(d, share)]
+        m = kept.mean(0)
+        cov = kept.T @ kept / len(kept) - np.outer(m, m) + np.diag(np.square(quality.FLOOR))
+        now = np.linalg.slogdet(cov)[1]
+        if not now < det - 1e-6:
+            return mu, inverse, max(at(far(), 0.5) / quality.MEDIAN, 1.0)
+        mu, inverse, det = m, np.linalg.inv(cov), now
+
+
+def test_estimates_equal_a_plain_version(spark):
+    rng = np.random.default_rng(9)
+    groups = {k: np.vstack([rng.normal(size=(n, quality.P)) * rng.uniform(0.1, 2, quality.P), rng.normal(3, 1, (n // 6, quality.P))]) for k, n in (("a", 250), ("b", 400))}
+    rows = [(k, [float(v) for v in r]) for k, x in groups.items() for r in x]
+    got = {r["key"]: r for r in quality.estimates(spark.createDataFrame(rows, "key string, x array<double>").repartition(5)).collect()}
+    for k, x in groups.items():
+        mu, inverse, scale = plain_estimate(x)
+        assert np.allclose(got[k]["mu"], mu) and np.allclose(np.reshape(got[k]["inverse"], inverse.shape), inverse) and np.isclose(got[k]["scale"], scale)
+
+
 # 6
 
 
@@ -323,6 +352,19 @@ def test_matching_statistics():
             assert n == best
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(21)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    s, t, u = text(), text(), text()
+    rows = [(1, s), (2, s), (2, t), (2, t), (3, u[:300] + t[:200]), (4, u), (None, s), (5, None), (5, u)]
+    got = suffixes.digests(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_id", "runs", "_sum", "_number")})).collect()
+    found = {(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got}
+    n = len(s)
+    assert len(got) == len(rows) and found == {(1, n, 0), (2, n, n), (2, n, 0), (3, 500, 200), (4, n, 300), (None, n, 0), (5, 0, 0), (5, n, n)}
+    left = suffixes.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in left if r["doc_id"] == 2) == sorted(["", t, t])
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_suffix_dedup(spark, docs, made, none, hot, monkeypatch):
     if hot:  # homes over several tasks, indexes in several parts
