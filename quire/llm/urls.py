@@ -16,7 +16,7 @@ from quire.llm.common import durable
 
 # The listed rules, in the order host/path.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-MIN_SUPPORT, MIN_CONFIDENCE, LONGEST = 0.01, 0.9, 2  # of the labelled urls; tokens of an antecedent
+MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.9  # of the labelled urls
 # Tokens of a url, in SQL that Spark and other engines read alike.
 TOKENS = {
     "scheme": "regexp_extract(url, '^([A-Za-z]+)://', 1)",
@@ -61,16 +61,14 @@ def _tokens():
     return F.array_compact(F.array(*each))
 
 
-def mined(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-          longest: int = LONGEST) -> DataFrame:
+def mined(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(antecedent, verdict, confidence, n): rules from transactions `tokens` with a `given` verdict.
     Nothing labelled, no rules."""
     verdicts = ["verdict=allow", "verdict=block"]
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), F.col("given")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     return (model.associationRules.where(F.col("consequent")[0].isin(verdicts)
-                                         & ~F.arrays_overlap("antecedent", F.array(*map(F.lit, verdicts)))
-                                         & (F.size("antecedent") <= longest))
+                                         & ~F.arrays_overlap("antecedent", F.array(*map(F.lit, verdicts))))
             .select(F.array_sort("antecedent").alias("antecedent"), F.expr("substr(consequent[0], 9)").alias("verdict"),
                     "confidence", "support"))
 
@@ -114,18 +112,19 @@ hosts AS (SELECT page_id, row, url, {HOST} AS host, {PATH} AS path FROM rests),
 urls AS (SELECT *, {RULE} AS rule, {GIVEN} AS given FROM hosts),
 tokens AS ({_BARE}),
 total AS (SELECT count(*) AS n FROM urls WHERE given IS NOT NULL),
-combinations AS (
-    SELECT row, given, token AS a, NULL AS b FROM tokens
-    UNION ALL SELECT x.row, x.given, x.token, y.token FROM tokens x JOIN tokens y ON x.row = y.row AND x.token < y.token),
+sets AS (SELECT row, given, list(token ORDER BY token) AS t FROM tokens GROUP BY row, given),
+kinds AS (SELECT t, unnest(list_transform(range(1, (1 << len(t))::BIGINT), lambda m: array_to_string(list_filter(t, lambda x, i: (m >> (i - 1)) & 1 = 1), ' '))) AS a
+    FROM (SELECT DISTINCT t FROM sets)),
+combinations AS (SELECT row, given, a FROM sets JOIN kinds USING (t)),
 counted AS (
-    SELECT a, b, count(*) AS n, count(*) FILTER (given = 'allow') AS allow, count(*) FILTER (given = 'block') AS block
-    FROM combinations WHERE given IS NOT NULL GROUP BY a, b),
+    SELECT a, count(*) AS n, count(*) FILTER (given = 'allow') AS allow, count(*) FILTER (given = 'block') AS block
+    FROM combinations WHERE given IS NOT NULL GROUP BY a),
 rules AS (
-    SELECT a, b, v.verdict, v.k / counted.n AS confidence, v.k / total.n AS support
+    SELECT a, v.verdict, v.k / counted.n AS confidence, v.k / total.n AS support
     FROM counted, total, LATERAL (SELECT unnest(['allow', 'block']) AS verdict, unnest([allow, block]) AS k) v
     WHERE v.k >= ceil({MIN_SUPPORT} * total.n) AND v.k > 0 AND v.k / counted.n >= {MIN_CONFIDENCE}),
 hits AS (
     SELECT row, max_by(verdict, (confidence, support, verdict = 'allow')) AS mined
-    FROM combinations c JOIN rules r ON c.a = r.a AND c.b IS NOT DISTINCT FROM r.b WHERE c.given IS NULL GROUP BY row)
+    FROM combinations c JOIN rules r USING (a) WHERE c.given IS NULL GROUP BY row)
 SELECT page_id, host, path, rule, coalesce(given, mined, 'allow') AS verdict FROM urls LEFT JOIN hits USING (row)
 """
