@@ -20,7 +20,6 @@ from quire.llm.stats import with_statistics
 
 MIN_WORDS, MAX_REPEAT = 20, 30
 SHARE = 0.75  # of a group's rows that a concentration step keeps
-STEPS = 8  # concentration steps at most; they stop when no determinant falls
 FEWEST = 200  # rows for an estimate of one's own
 LIMIT = 85.0  # squared Mahalanobis distance; beyond 1e-14 under normality, for tails are heavier
 # Transformed statistics: expression, and the least standard deviation that a group is given.
@@ -68,9 +67,10 @@ def _beside(groups: DataFrame) -> DataFrame:
     return F.broadcast(groups) if groups.count() <= BROADCAST else groups
 
 
-def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+def estimates(rows: DataFrame, share: float = SHARE) -> DataFrame:
     """(key, mu, inverse, scale): the estimate of each key of `rows` (key, x). `scale` brings the
-    median of the squared distances to where it would be under normality."""
+    median of the squared distances to where it would be under normality. Concentration steps go on until
+    no determinant falls; one that does not keeps the estimate before, so they come to an end."""
     ship(rows.sparkSession)
     start = rows.groupBy("key").agg(*[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(P)])
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])) for i in range(P)]
@@ -81,7 +81,7 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
     near = F.percentile_approx("d", F.lit(share), F.lit(1000))
     few = fit.count() <= BROADCAST
     beside = F.broadcast if few else lambda df: df
-    for _ in range(steps):
+    while True:
         far = rows.join(beside(fit), "key").select("key", "x", "logdet", _distance().alias("d"))
         cut = far.groupBy("key").agg(near.alias("cut"))
         kept = far.join(beside(cut), "key").where(F.col("d") <= F.col("cut"))
@@ -89,11 +89,12 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
             F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(P)]).alias("sums"),
             F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(P) for j in range(P)]).alias("squares"))
         after = durable(sums.mapInPandas(_fit, FITTED), "estimate")
-        falls = after.join(fit.select("key", F.col("logdet").alias("before")), "key").where(
-            F.col("logdet") < F.col("before") - 1e-6)
-        going = bool(falls.take(1))
-        fit = after
-        if not going:
+        both = after.alias("a").join(fit.alias("b"), F.col("a.key") == F.col("b.key"))
+        falls = F.col("a.logdet") < F.col("b.logdet") - 1e-6
+        step = durable(both.select("a.key", *[F.when(falls, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in ("mu", "inverse", "logdet")],
+                                   falls.alias("falls")), "estimate")
+        fit = step.drop("falls")
+        if not step.where("falls").take(1):
             break
     middle = (rows.join(beside(fit), "key").groupBy("key").agg(
         F.percentile_approx(_distance(), F.lit(0.5), F.lit(1000)).alias("middle")))
