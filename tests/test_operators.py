@@ -68,6 +68,24 @@ def test_near_duplicates_factored_rows_stand_for_all_pairs(spark):
     assert len(rows(D.neighbours(df, spark.createDataFrame([(100,)], "doc_id long"), gone))) == 29
 
 
+def test_near_duplicates_apart_by_rule_equal_those_dismissed_by_list(spark):
+    rng = random.Random(8)
+    members = [(i, f"s{rng.randint(0, 9)}", 50) for i in range(60)]
+    members = [(i, s, w, int(s[1]) % 4) for i, s, w in members]
+    df = spark.createDataFrame(members, "doc_id long, sha256 string, words int, simhash long")
+    listed = spark.createDataFrame([(a, b) for a in range(0, 60, 3) for b in range(1, 60, 3)], "doc_id long, other long")
+    by_rule = D.near_duplicates(df, apart=(F.col("doc_id") % 3 == 0, F.col("doc_id") % 3 == 1))
+    assert rows(by_rule, "first_a", "first_b") == rows(D.near_duplicates(df, dismissed=listed).select(by_rule.columns), "first_a", "first_b")
+
+
+def test_band_keys_are_not_broadcast(spark, capsys):
+    df = spark.createDataFrame([(i, f"s{i % 2}", 50, i % 2) for i in range(400)] + [(i, "t", 50, -1) for i in range(400, 800)], "doc_id long, sha256 string, words int, simhash long")
+    D.close_hashes(df.select("simhash").distinct()).explain()
+    assert "SortMergeJoin" in capsys.readouterr().out
+    near = D.neighbours(df, df.filter("doc_id >= 400 or doc_id = 3").select("doc_id"))
+    assert rows(near.select("doc_id", "other", "distance"), "other") == [(3, i, 1) for i in range(0, 400, 2)]
+
+
 def test_simhash_of_pages_equals_the_assembled_text(spark):
     rng = random.Random(5)
     words = [f"w{chr(97 + i)}" for i in range(20)]
