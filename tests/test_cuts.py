@@ -183,3 +183,12 @@ def test_names_of_mixed_families_equal_the_sequential_rule(spark):
             want[i] = chosen + ".pdf"
     df = spark.createDataFrame(rng.sample(rows, len(rows)), "id long, g string, name string")
     assert {r.id: r.filed_name for r in B.unique_names(df, ["g"]).collect()} == want
+
+
+def test_parts_are_completed_over_batches_by_joins(spark, tmp_path):
+    parts = [[("t", 1, 2, 5), ("u", 1, 2, 5), ("u", 1, 2, 5), (None, 1, 1, 4)], [("t", 2, 2, 6), ("t", 1, 2, 99), ("v", 1, 3, 1)], [("t", 3, 2, 5), ("v", 2, 3, 1)],
+             [("v", 3, 3, 1), ("w", 1, 0, 1)]]
+    stream = _feed(spark, tmp_path, parts, "target string, part int, expected int, size long")
+    for _ in ("first", "again"):  # nothing new comes, nothing changes
+        out = R.complete_parts(stream, str(tmp_path / "o"), str(tmp_path / "s"))
+        assert sorted(map(str, out.collect())) == sorted(["Row(target='t', have=2, bytes=11)", "Row(target='v', have=3, bytes=3)", "Row(target=None, have=1, bytes=4)"])
