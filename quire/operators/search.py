@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from quire.functions import text as X
-from quire.session import durable
+from quire.session import durable, pinned
 
 MAX_TOKENS = 12
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -27,9 +27,8 @@ def page_index(pages: DataFrame, text: str = "text") -> DataFrame:
     """Searchable pages: blank ones left out, both text columns in their folded form, and the page
     length in tokens of both."""
     folded = F.lower(X.strip_accents(F.col(text)))
-    return (pages.filter(solid(text))
-            .withColumn("folded", folded)
-            .withColumn("norm", X.normalize(text))
+    # every figure below reads the folded forms, which cost the most
+    return (pinned(pages.filter(solid(text)), pages.columns, folded=folded, norm=X.normalize(text))
             .withColumn("length", F.regexp_count("folded", F.lit("[\\p{L}\\p{N}]+"))
                         + X.word_count("norm")))
 
