@@ -147,6 +147,26 @@ def test_recall_near_the_identity_sought(spark, n, even):
     assert len(want & got) >= 0.95 * len(want)
 
 
+def test_rows_of_near_copies_and_repeated_words_do_not_grow_with_the_square(spark):
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    base, made = words(300), []
+    for i in range(15):  # few enough that all places are linked
+        near = list(base)
+        for at in rng.sample(range(300), 6):
+            near[at] = words(1)[0]
+        made.append((i, " ".join(near)))
+    made += [(100 + i, " ".join(words(60) + ["on", "off"] * 110 + words(60))) for i in range(3)]
+    got = chaining.passages(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    near, repeated = [r for r in got if r["doc_id"] < 100], [r for r in got if r["doc_id"] >= 100]
+    assert len(near) <= 3 * 15 and len(repeated) <= 10 * 3
+    root = {i: i for i, _ in made}
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["match_id"])):
+        a, b = root[r["doc_id"]], root[r["match_id"]]
+        root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    assert set(root.values()) == {0, 100}
+
+
 # 2
 
 
