@@ -170,84 +170,67 @@ def numbering(blocks: DataFrame) -> DataFrame:
 # The code points that count as white space.
 SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\p{Z}]"
 SOLID = "[^\\t-\\r\\x1c-\\x20\\x85\\p{Z}]"
-GRAM = 4  # words that a place is sought by
 
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{SOLID}+"), F.lit(0))
 
 
-def file_words(pages: DataFrame) -> DataFrame:
-    """sha256, cells, native: the words of each file in page order as (raw, page), raw with the white space behind
-    the word; `native` lists the pages with text of their own. `pages(sha256, page, text, native)`."""
-    tokens = F.regexp_extract_all(X.nfc("text"), F.lit(f"{SOLID}+{SPACE}*"), F.lit(0))
-    sheets = pages.select("sha256", "page", "native", tokens.alias("tokens")).groupBy("sha256").agg(
-        F.array_sort(F.collect_list(F.struct("page", "native", "tokens"))).alias("sheets"))
-    cells = F.flatten(F.transform("sheets", lambda s: F.transform(s["tokens"], lambda t: F.struct(t.alias("raw"), s["page"].alias("page")))))
-    return sheets.select("sha256", cells.alias("cells"),
-                         F.transform(F.filter("sheets", lambda s: s["native"]), lambda s: s["page"]).alias("native"))
-
-
-def _grams(words: Column, size: Column) -> Column:
-    """Runs of so many words, from each word that begins one."""
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
-
-
-def places(blocks: DataFrame, files: DataFrame) -> DataFrame:
-    """sha256, pos, starts: where the words of a block stand in its file, from word 1. Runs of GRAM words (or
-    the whole of a shorter block) meet by equality; a place is one that all runs of the block agree on.
-    `blocks(sha256, pos, words)`, `files(sha256, cells)`."""
-    size = F.least(F.size("words"), F.lit(GRAM))
-    sought = blocks.filter(F.size("words") > 0).select("sha256", "pos", "words", size.alias("size"))
-    ours = sought.select("sha256", "pos", "size", (F.size("words") - F.col("size") + 1).alias("runs"),
-                         F.posexplode(_grams(F.col("words"), F.col("size"))).alias("off", "gram"))
-    words = F.transform("cells", lambda c: F.regexp_replace(c["raw"], f"{SPACE}+$", ""))
-    there = (pinned(files.join(sought.select("sha256", "size").distinct(), "sha256"), ["sha256", "size"], w=words)
-             .select("sha256", "size", F.posexplode(_grams(F.col("w"), F.col("size"))).alias("at", "gram")))
-    met = ours.join(there, ["sha256", "size", "gram"]).groupBy("sha256", "pos", "runs", (F.col("at") - F.col("off") + 1).alias("start")).count()
-    return met.filter("count = runs").groupBy("sha256", "pos").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-
-
-def earliest_chain(blocks: DataFrame) -> DataFrame:
-    """sha256, chain: array of (pos, start, end) in the order of pos; each block takes its first place behind
-    the block before it, null from the first block on that has none. `blocks(sha256, pos, many, starts)`; a
-    proposal has MAX_BLOCKS at most."""
-    listed = blocks.groupBy("sha256").agg(F.array_sort(F.collect_list(F.struct("pos", "many", "starts"))).alias("list"))
-    cell = lambda b, start: F.struct(b["pos"].alias("pos"), start.alias("start"), (start + b["many"]).alias("end"))
-    free = lambda done: F.when(F.size(done) == 0, F.lit(1)).otherwise(F.element_at(done, -1)["end"])
-    step = lambda done, b: F.concat(done, F.array(cell(b, F.array_min(F.filter(b["starts"], lambda s: s >= free(done))))))
-    return listed.select("sha256", F.aggregate("list", F.array().cast("array<struct<pos:int,start:int,end:int>>"), step).alias("chain"))
-
-
-def _one_line(cells: Column) -> Column:
-    """The words on one line, a space before each."""
-    return F.array_join(F.transform(cells, lambda c: F.concat(F.lit(" "), F.regexp_replace(c["raw"], f"{SPACE}+$", ""))), "")
-
-
-def located(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Each block with its place: sha256, pos, kind, label, words, start, text and pages as the file has them, a line
-    a page, native (whether all those pages have own text), gap (what stands between it and the block
-    before, null for the first) and tail (what stands behind the last one)."""
-    files = durable(file_words(pages), "files")
-    own = durable(blocks.select("sha256", "pos", "kind", "label", _words(X.nfc("text")).alias("words")), "blocks")
-    found = own.join(places(own, files), ["sha256", "pos"], "left").select(
-        "sha256", "pos", F.size("words").alias("many"), F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
-    none = lambda c: F.coalesce(c, F.array().cast(files.schema[c].dataType)).alias(c)
-    both = (earliest_chain(found).join(files, "sha256", "left").select("sha256", "chain", none("cells"), none("native"))
-            .select("*", F.posexplode("chain").alias("i", "x"))
-            .withColumn("before", F.when(F.col("i") > 0, F.element_at("chain", F.greatest("i", F.lit(1)))["end"])))
-    start, end = F.col("x.start"), F.col("x.end")
-    ahead = F.slice("cells", F.col("before"), F.greatest(start - F.col("before"), F.lit(0)))
-    behind = F.when(F.col("i") == F.size("chain") - 1, F.slice("cells", end, F.greatest(F.size("cells") - end + 1, F.lit(0))))
-    cut = pinned(both, ["sha256", "native", "x"], part=F.slice("cells", start, end - start), ahead=ahead, behind=behind)
-    cut = pinned(cut, ["sha256", "native", "x", "part", "ahead", "behind"], pages=F.array_distinct("part.page"))
-    lines = F.transform("pages", lambda p: F.regexp_replace(F.array_join(F.transform(
-        F.filter("part", lambda c: c["page"] == p), lambda c: c["raw"]), ""), f"{SPACE}+$", ""))
-    placed = cut.select("sha256", F.col("x.pos").alias("pos"), F.col("x.start").alias("start"), F.array_join(lines, "\n").alias("text"), "pages",
-                        (F.size(F.array_except("pages", "native")) == 0).alias("native"),
-                        F.concat(_one_line(F.col("ahead")), F.lit(" ")).alias("gap"), _one_line(F.col("behind")).alias("tail"))
-    return own.join(placed, ["sha256", "pos"])
+def _stripped(token: Column) -> Column:
+    return F.regexp_replace(token, f"{SPACE}+$", "")
+
+
+def earliest_chain(blocks: Column, whole: Column) -> Column:
+    """An array of (at, stop) in the order of `blocks(line, many)`: between which spaces of the file `whole` the words
+    of each block stand. Each block takes its first place behind the block before it, null from the first block on
+    that has none. Lines and file have one space before, between and behind their words, so that runs of words
+    are runs of characters."""
+    free = lambda done: F.when(F.size(done) == 0, F.lit(1)).otherwise(F.element_at(done, -1)["stop"])
+    found = lambda done, b: F.when(b["many"] > 0, F.nullif(F.position(b["line"], whole, free(done)), F.lit(0)))
+    step = lambda done, b: F.concat(done, F.transform(F.array(found(done, b)), lambda at: F.struct(
+        at.alias("at"), (at + F.length(b["line"]) - 1).alias("stop"))))
+    return F.aggregate(blocks, F.array().cast("array<struct<at:int,stop:int>>"), step)
+
+
+def located(blocks: DataFrame, pages: DataFrame, native: DataFrame) -> DataFrame:
+    """Each block with its place: sha256, pos, kind, label, passage (its words on one line), start, text and pages as the
+    file has them, a line a page, native (whether all those pages have own text), gap (what stands between it and the
+    block before, null for the first) and tail (what stands behind the last one). `native(sha256, page)`.
+
+    The blocks of a proposal, MAX_BLOCKS at most, meet the text of their file in one row; each text is shuffled once."""
+    sheets = pages.select("sha256", "page", X.nfc(F.coalesce("text", F.lit(""))).alias("text")).groupBy("sha256").agg(
+        F.array_sort(F.collect_list(F.struct("page", "text"))).alias("sheets"))
+    asked = blocks.select("sha256", "pos", "kind", "label", X.nfc("text").alias("text")).groupBy("sha256").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "kind", "label", "text"))).alias("asked"))
+    own = native.groupBy("sha256").agg(F.collect_set("page").alias("own"))
+    both = asked.join(sheets, "sha256", "left").join(own, "sha256", "left")
+    tokens = lambda s: F.regexp_extract_all(s["text"], F.lit(f"{SOLID}+{SPACE}*"), F.lit(0))
+    cells = F.flatten(F.transform("sheets", lambda s: F.transform(tokens(s), lambda t: F.struct(t.alias("raw"), s["page"].alias("page")))))
+    said = F.transform("asked", lambda b: F.struct(b["pos"].alias("pos"), b["kind"].alias("kind"), b["label"].alias("label"), _words(b["text"]).alias("words")))
+    read = pinned(both, ["sha256", "own"], cells=F.coalesce(cells, F.array().cast("array<struct<raw:string,page:int>>")), said=said)
+    line = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    lined = pinned(read, ["sha256", "own", "cells"], whole=line(F.transform("cells", lambda c: _stripped(c["raw"]))), said=F.transform(
+        "said", lambda b: F.struct(b["pos"].alias("pos"), b["kind"].alias("kind"), b["label"].alias("label"),
+                                   line(b["words"]).alias("line"), F.size(b["words"]).alias("many"))))
+    whole, chain = F.col("whole"), F.col("chain")
+    chained = pinned(lined, ["sha256", "own", "cells", "whole", "said"], chain=earliest_chain(F.col("said"), whole))
+    spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+
+    def placed(b: Column, i: Column) -> Column:
+        at, stop, before = chain[i]["at"], chain[i]["stop"], F.when(i > 0, F.get(chain, i - 1)["stop"])
+        return F.struct(
+            b["pos"].alias("pos"), b["kind"].alias("kind"), b["label"].alias("label"), F.trim(b["line"]).alias("passage"), b["many"].alias("many"),
+            spaces(F.substr(whole, F.lit(1), at)).alias("start"), F.substr(whole, before, at - before + 1).alias("gap"),
+            F.when(i == F.size(chain) - 1, F.substr(whole, stop, F.length(whole) - stop)).alias("tail"))
+
+    spots = pinned(chained, ["sha256", "own", "cells"], spots=F.transform("said", placed))
+    cut = spots.select("sha256", "own", F.explode(F.transform("spots", lambda x: F.struct(
+        x.alias("x"), F.slice("cells", x["start"], x["many"]).alias("part")))).alias("c")).select("sha256", "own", "c.x.*", "c.part")
+    cut = pinned(cut, ["sha256", "own", "pos", "kind", "label", "passage", "start", "gap", "tail", "part"], pages=F.array_distinct("part.page"))
+    lines = F.transform("pages", lambda p: _stripped(F.array_join(F.transform(
+        F.filter("part", lambda c: c["page"] == p), lambda c: c["raw"]), "")))
+    return cut.select("sha256", "pos", "kind", "label", "passage", "start", F.array_join(lines, "\n").alias("text"), "pages",
+                      (F.size(F.array_except("pages", F.coalesce("own", F.array().cast("array<int>")))) == 0).alias("native"), "gap", "tail")
 
 
 def refusal(passage: Column, number: Column) -> Column:
@@ -304,23 +287,23 @@ def verify(blocks: DataFrame, pages: DataFrame, native: DataFrame) -> DataFrame:
         "sha256", F.coalesce("code", "_num").alias("code")), "judged")
     good = judged.filter("code is null").select("sha256")
     left = blocks.join(good, "sha256", "left_semi").select("sha256", F.col("pos").cast("int"), "kind", "label", "text")
-    own = native.select("sha256", F.col("page").cast("int").alias("page"), F.lit(True).alias("native")).distinct()
-    sheets = pages.select("sha256", F.col("page").cast("int").alias("page"), "text").join(good, "sha256", "left_semi").join(
-        own, ["sha256", "page"], "left").select("sha256", "page", "text", F.coalesce("native", F.lit(False)).alias("native"))
+    own = native.select("sha256", F.col("page").cast("int").alias("page"))
+    sheets = pages.select("sha256", F.col("page").cast("int").alias("page"), "text").join(good, "sha256", "left_semi")
     label = F.trim("label")
     number = F.coalesce(F.nullif(F.regexp_extract(label, LABEL, 2), F.lit("")), F.lit("\\z"))
     tail_code = (F.when((F.length("tail") > TAIL_MAX) | F.rlike("tail", F.lit(QUESTION_START)), "fim")
                  .when(F.col("kind") != "question", "proposta_invalida"))
-    rows = durable(contexts_of(located(left, sheets)).withColumn("code", F.coalesce(
-        refusal(F.array_join("words", " "), number), F.when(F.col("tail").isNotNull(), tail_code))), "located")
-    refused = judged.filter("code is not null").unionByName(
-        rows.filter("code is not null").groupBy("sha256").agg(F.min_by("code", "pos").alias("code")))
-    question = F.col("kind") == "question"
-    kept = rows.join(refused.select("sha256"), "sha256", "left_anti").select(
-        "sha256", F.lit(None).cast("string").alias("code"), F.when(question, label).otherwise(F.concat(F.lit("c"), "nth")).alias("id"), "kind", "pos",
-        F.when(question, label).otherwise(F.col("label")).alias("label"), "context", "pages", "text")
-    void = [F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in kept.columns[2:]]
-    return kept.unionByName(refused.select("sha256", "code", *void))
+    rows = contexts_of(located(left, sheets, own)).withColumn("code", F.coalesce(
+        refusal(F.col("passage"), number), F.when(F.col("tail").isNotNull(), tail_code)))
+    order = Window.partitionBy("sha256").orderBy("pos")
+    refused = F.first("code", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    told = rows.withColumn("_code", refused).withColumn("_row", F.row_number().over(order)).filter("_code is null or _row = 1")
+    question, fine = F.col("kind") == "question", F.col("_code").isNull()
+    kept = {"id": F.when(question, label).otherwise(F.concat(F.lit("c"), "nth")), "kind": F.col("kind"), "pos": F.col("pos"),
+            "label": F.when(question, label).otherwise(F.col("label")), "context": F.col("context"), "pages": F.col("pages"), "text": F.col("text")}
+    found = durable(told.select("sha256", F.col("_code").alias("code"), *[F.when(fine, c).alias(name) for name, c in kept.items()]), "verified")
+    early = judged.filter("code is not null")
+    return found.unionByName(early.select("sha256", "code", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in kept]))
 
 
 def questions_of(verified: DataFrame) -> DataFrame:

@@ -214,6 +214,29 @@ def test_verify_blocks(spark, blocks, native, code):
         assert q[1][1] == "c1"
 
 
+def shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_verify_blocks_shuffles_texts_not_their_runs_of_words(spark):
+    said = "1. Diga " + " ".join(f"palavra{i % 7}" for i in range(400))
+    files = [(f"s{i}", 1, said + " fim" * i) for i in range(20)]
+    b = spark.createDataFrame([(s, 0, "question", "1", said) for s, _, _ in files], "sha256 string, pos int, kind string, label string, text string")
+    p = spark.createDataFrame(files + [("s0", 2, None)], "sha256 string, page int, text string")
+    n = spark.createDataFrame([f[:2] for f in files], "sha256 string, page int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        out = Z.verify(b, p, n).collect()
+        assert shuffled(spark) - before < 1000  # 8,000 words on either side
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # a page without text does not hide its file
+    assert sorted((r.sha256, r.code, r.pages) for r in out) == sorted((f"s{i}", None, [1]) for i in range(20))
+
+
 def test_numbering_groups(spark):
     data = {"a": ["I.1", "I.2", "II.1"], "b": ["I.1", "II.2"], "c": ["1", "3"], "d": ["I.1", "I.2", "IV.1"], "e": ["1", "2"], "f": ["1", "1"]}
     df = spark.createDataFrame([(s, i, "question", x) for s, xs in data.items() for i, x in enumerate(xs)],
