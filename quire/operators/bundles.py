@@ -70,15 +70,15 @@ def project_folders(members: DataFrame) -> DataFrame:
     out before. The result is that of going through the folders one by one.
     """
     keys = ["owner", "folder"]
-    size = members.groupBy(*keys).agg(F.count("*").alias("_size"))
-    rows = members.join(size, keys).withColumn(
-        "_rank", F.struct((-F.col("_size")).alias("minus"), F.col("folder").alias("name"))).drop("_size")
+    hope = (F.col("files") >= 2) & (F.col("structured") | (
+        (F.col("code") > 0) & ((F.col("documents") > 0) | (F.col("images") > 0))))
+    rank = F.struct((-F.col("files")).alias("minus"), F.col("folder").alias("name"))
+    # most folders drop out here, by one count of the members, before anything else is asked of them
+    hopeful = folder_profile(members).filter(hope).select(*keys, rank.alias("_rank"))
+    rows = durable(members.join(hopeful, keys), "members")
     out = None
     while True:  # each round settles a folder at least
-        profile = folder_profile(rows)
-        hope = (F.col("files") >= 2) & (F.col("structured") | (
-            (F.col("code") > 0) & ((F.col("documents") > 0) | (F.col("images") > 0))))
-        alive = rows.join(profile.filter(hope).select(*keys, "qualifies"), keys)
+        alive = rows.join(folder_profile(rows).filter(hope).select(*keys, "qualifies"), keys)
         first = alive.groupBy("owner", "id").agg(F.min("_rank").alias("_first"))
         ready = alive.join(first, ["owner", "id"]).groupBy(*keys).agg(
             F.bool_and(F.col("_rank") == F.col("_first")).alias("_ready"))

@@ -163,6 +163,17 @@ def test_project_folders_equal_the_greedy_walk(spark):
     assert got == want and want
 
 
+def test_folders_without_hope_are_counted_once(spark, monkeypatch):
+    """The rounds begin with the members of folders that can become a bundle, found by one count and one join."""
+    written, durable = [], B.durable
+    monkeypatch.setattr(B, "durable", lambda df, *purpose: written.append((df, durable(df, *purpose))) or written[-1][1])
+    rows = [(i, "o", f"lone{i}", "code", False) for i in range(50)] + [(100, "o", "two", "code", False), (101, "o", "two", "pdf", False)]
+    df = spark.createDataFrame(rows, "id long, owner string, folder string, category string, structured boolean")
+    assert {(r.id, r.folder) for r in B.project_folders(df).collect()} == {(100, "two"), (101, "two")}
+    assert written[0][0]._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert written[0][1].count() == 2
+
+
 def test_leads_and_edits(spark):
     m = spark.createDataFrame([
         ("b1", 1, "file", "png", "n", False, 0.9, None, None), ("b1", 2, "file", "pdf", "n", False, 0.5, None, None),
