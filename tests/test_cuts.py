@@ -109,6 +109,17 @@ def test_quiet_runs_are_cut_at_the_maximum_wait(spark):
     assert len([r for r in got if r["k"] == "steady"]) == 2
 
 
+def test_the_next_cut_is_found_by_frames_that_grow(spark):
+    """A frame that shrinks is gone through again for each row, quadratic in the points of a stretch."""
+    rng = random.Random(15)
+    points = [("a", rng.randint(0, 30_000)) for _ in range(2000)] + [("b", 7), ("b", 900_000)]
+    probes = [(k, rng.randint(-500, 31_000)) for k in "ab" for _ in range(500)]
+    out = first_from(spark.createDataFrame(points, "k string, x long"), spark.createDataFrame(probes, "k string, y long"), ["k"], 4000)
+    want = {(k, y): min((x for g, x in points if g == k and x >= y), default=None) for k, y in probes}
+    assert {(r.k, r.y): r.found and r.found.x for r in out.collect()} == want
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_a_busy_session_is_settled_in_blocks(spark):
     """One key never rests, over many blocks; also events at one moment and null keys."""
     rng = random.Random(6)
