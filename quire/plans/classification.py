@@ -44,7 +44,7 @@ def text_signals(spark, sf) -> DataFrame:
                  F.substring("text", 1, C.HEADER_CHARS).alias("text")),
         F.struct(F.lit(2).alias("pos"), F.lit("body").alias("source"),
                  F.substr("text", F.lit(C.HEADER_CHARS + 1)).alias("text")))).alias("p"))
-    return C.make_signals(parts.select("doc_id", "p.*"))
+    return C.make_signals(parts.select("doc_id", "p.*"), dates=False)
 
 
 _SIGNALS = f"""parts AS (
@@ -176,9 +176,10 @@ FROM documents d LEFT JOIN best USING (doc_id)"""
 
 
 def _unit_scores(spark, sf):
-    signals = durable(text_signals(spark, sf), "signals")
-    features = C.unit_features(spark.createDataFrame(UNITS, UNIT_TYPE))
-    scores = C.score_units(signals, features, {1, 2}, C.probe_heads(features))
+    # written, so that the planner knows how small they are and the n-grams need no shuffle
+    features = durable(C.unit_features(spark.createDataFrame(UNITS, UNIT_TYPE).coalesce(1)), "features")
+    scores = durable(C.score_units(text_signals(spark, sf), features, {1, 2}, C.probe_heads(features),
+                                   C.acronym_heads(features)), "scores")
     users = spark.createDataFrame(
         [("src0", ["x/course"], []), ("src2", [], [("x/third", None)]), ("src5", [], [("x/second", None)])],
         "login string, enrolled_courses array<string>, "

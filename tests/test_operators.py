@@ -294,6 +294,19 @@ def test_acronyms_must_stand_in_capitals(spark):
     f = C.unit_features(units)
     got = {(r.doc_id, r.value) for r in C.score_units(C.make_signals(parts), f, {1, 2}, C.probe_heads(f)).collect()}
     assert got == {(2, "u/so"), (3, "u/am2"), (5, "u/am2")}
+    one_pass = C.score_units(C.make_signals(parts, dates=False), f, {1, 2}, C.probe_heads(f), C.acronym_heads(f))
+    assert {(r.doc_id, r.value) for r in one_pass.collect()} == got
+    assert one_pass._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_unit_scores_write_no_texts(spark, sf, monkeypatch):
+    """Texts are read in one pass; what is written between the steps are features and scores."""
+    from quire.plans import classification as P
+
+    written, durable = [], P.durable
+    monkeypatch.setattr(P, "durable", lambda df, *purpose: written.append(df.columns) or durable(df, *purpose))
+    assert P.unit_scores(spark, sf).columns == ["doc_id", "value", "score", "enrolled", "text_only"]
+    assert not {"text", "norm", "raw"} & {c for columns in written for c in columns}
 
 
 def test_layout_and_folders(spark):
