@@ -147,6 +147,20 @@ def test_recall_near_the_identity_sought(spark, n, even):
     assert len(want & got) >= 0.95 * len(want)
 
 
+def test_batches_are_handed_over_in_pieces(spark):
+    """However many rows a batch has, a function sees no more values at a time than it is given memory for."""
+    rows = [(i, [i] * n) for i, n in enumerate([3, 0, 40, 200, 1, 1, 99, 0])] + [(8, None)]
+    df = spark.createDataFrame(rows, "i long, v array<long>").coalesce(1)
+
+    def seen(batch):
+        many = sum(len(v or []) for v in batch.column(1).to_pylist())
+        return {"i": batch.column(0), "many": [many] * batch.num_rows, "n": [batch.num_rows] * batch.num_rows}
+
+    out = common.arrow_map(df, seen, "i long, many long, n long", ("v",), 100).collect()
+    assert sorted(r.i for r in out) == list(range(9))
+    assert all(r.many <= 100 or r.n == 1 for r in out) and max(r.n for r in out) > 1
+
+
 def test_rows_of_near_copies_and_repeated_words_do_not_grow_with_the_square(spark):
     rng = random.Random(4)
     words = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
