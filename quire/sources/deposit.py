@@ -25,15 +25,38 @@ MARKER_ENDS = "\\.(sln|csproj|vcxproj)$"
 MIN_CODE_FILES, CODE_RATIO = 3, 0.6
 
 
+def _below(root: str) -> Column:
+    return F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + os.path.abspath(root) + "/", "")
+
+
 def read_files(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """path (relative to `root`), size, modified, sha256 of every file below `root`."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + os.path.abspath(root) + "/", "")
-    return files.select(rel.alias("path"), F.col("length").alias("size"),
+    return files.select(_below(root).alias("path"), F.col("length").alias("size"),
                         F.col("modificationTime").alias("modified"),
                         *([F.sha2("content", 256).alias("sha256"), "content"] if content else []))
 
 
+def file_digests(files: DataFrame, root: str) -> DataFrame:
+    """path, size, sha256 of `files(path, length, content)` below `root`, a batch or a stream. A row holds no file above 2 GiB, so
+    those of a mounted folder are read piece by piece, whatever their size, by the task that has their name. Of another
+    store only Spark reads: there the content of a file is a row."""
+    context = files.sparkSession.sparkContext
+    store = context._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(context._jsc.hadoopConfiguration()).getUri().getScheme()
+    if store != "file":
+        return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+    def run(batches):
+        for batch in batches:
+            digests = []
+            for path in batch.column(0).to_pylist():
+                with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as file:
+                    digests.append(hashlib.file_digest(file, "sha256").hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], ["path", "size", "sha256"])
+
+    return files.select("path", F.col("length").alias("size")).mapInArrow(run, "path string, size bigint, sha256 string")
+
+
 def scan(files: DataFrame, users: DataFrame, default_owner: str) -> tuple[DataFrame, DataFrame]:
     """(items, junk) of `files(path, size, sha256)` laid out as `<login>/<batch>/<rel>`; an unknown
     first folder is a batch of the default owner, loose files belong to it too. Items are files,
@@ -432,7 +455,8 @@ def write_tables(tables: dict[str, DataFrame], out: str, partitions: dict[str, l
 
 def build_manifest(spark: SparkSession, out: str) -> DataFrame:
     """Size and digest of every data file of a build."""
-    return read_files(spark, out).select("path", "size", "sha256").filter(~F.col("path").rlike("(^|/)[._][^/]*$"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).filter(~F.col("path").rlike("(^|/)[._][^/]*$"))
+    return file_digests(files, out).withColumn("path", _below(out))
 
 
 def manifest_digest(manifest: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import hashlib
+import os
 import random
 
 import pandas as pd
@@ -439,6 +441,23 @@ def test_watched_folder_is_not_resent(spark, tmp_path):
     assert R.drain(R.watch_folder(spark, str(folder)), out, state).count() == 2
 
 
+def test_watched_files_need_not_fit_a_row(spark, tmp_path):
+    folder, limit = tmp_path / "in x", "spark.sql.sources.binaryFile.maxLength"
+    folder.mkdir()
+    held = {"big é%20.pdf": os.urandom(3000), "small.gz": b"x"}
+    for name, content in held.items():
+        (folder / name).write_bytes(content)
+    spark.conf.set(limit, "1000")  # stands for the 2 GiB that a row can hold
+    try:
+        got = R.drain(R.watch_folder(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "state")).collect()
+        listed = I.build_manifest(spark, str(folder)).collect()
+    finally:
+        spark.conf.unset(limit)
+    want = {(name, len(content), hashlib.sha256(content).hexdigest()) for name, content in held.items()}
+    assert {(r.path.rsplit("/", 1)[1], r.size, r.sha256) for r in got} == want
+    assert {(r.path, r.size, r.sha256) for r in listed} == want
+
+
 def test_public_projection_has_no_private_columns(spark):
     field = "struct<value:string,confidence:double,method:string,reasons:array<string>>"
     docs = spark.createDataFrame([(1, "s", "notas", (("u", 0.9, "user", ["x"]),))], f"id int, sha256 string, notes string, classification struct<unit:{field}>")
