@@ -2,11 +2,12 @@ import hashlib
 import os
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import names as N, text as X
+from quire.functions import digests, names as N, text as X
 from quire.operators import (access as A, bundles as B, catalog as K, classify as C, dedup as D, library as L,
                              proposals as P, questions as Z, search as S)
 from quire.session import number_within
@@ -59,6 +60,58 @@ def test_close_hashes_equal_brute_force(spark, blocks):
     assert got == want and len(got) > 20
 
 
+def test_word_list_is_that_of_normalize_for_every_character(spark):
+    rng, made = random.Random(5), []
+    letters = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000] + ["\U0001F600", "\U0001D400", "\U000E0100"]
+    for ch in letters:
+        made.append(f"a{ch}B c{ch}t 1{ch}x2 {ch}accept Act{ch}")
+    pieces = ["ct", "cc", "pt", "pc", "act", "ccc", "cct", "acct", "a1b22", "xY", "´", "´ a", "`e", "`x", "¨ ı", "ﬁ", "é", "é", "Áb", "²", " ", "\n", " ", " ", "Ç", "-", "'"]
+    made += ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(made)), "i long, t string").repartition(8)
+    got = df.select("i", X.words(X.normalize("t")).alias("w")).collect()
+    assert [(r.i, [w.decode() for w in X.word_list(made[r.i])]) for r in got] == [(r.i, r.w) for r in got]
+
+
+def test_md5_heads_are_those_of_hashlib():
+    rng = random.Random(2)
+    text = bytes(rng.randrange(256) for _ in range(5000))
+    ends = [rng.randrange(1, 5001) for _ in range(300)] + [5000] * 130
+    starts = [max(e - n, 0) for e, n in zip(ends, [*range(130), *range(170), *range(130)])]
+    got = digests.md5_heads(text, np.array(starts), np.array(ends))
+    assert [bytes(r) for r in got] == [hashlib.md5(text[i:j]).digest()[:8] for i, j in zip(starts, ends)]
+
+
+@pytest.mark.parametrize("method", ["md5", "xxhash64"])
+def test_simhash_equals_brute_force_over_many_pages(spark, method):
+    from xxhash import xxh64_digest
+
+    rng, made, want = random.Random(4), [], []
+    for doc in range(60):
+        pages = [" ".join(rng.choice(["a", "bb", "ccc", "w" * 70, "é"]) + str(rng.randrange(30)) for _ in range(rng.choice([0, 1, 2, 5, 600]) or last)) for last in (0, 0, 1)]
+        made += [(doc, n + 1, p) for n, p in enumerate(pages)]
+        words = [w for n, p in enumerate(pages) for w in [b"pagina", str(n + 1).encode(), *X.word_list(p)]]
+        grams = [b" ".join(words[i:i + 3]) for i in range(len(words) - 2)]
+        head = lambda g: xxh64_digest(g, 42) if method == "xxhash64" else hashlib.md5(g).digest()[:8]
+        hashed = [int.from_bytes(head(g), "big") for g in grams]
+        value = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed))
+        want.append((doc, len(words), value - (1 << 64) if value >> 63 else value))
+    got = D.simhash(spark.createDataFrame(made, "doc_id long, page int, text string"), method=method)
+    assert rows(got, "doc_id") == want
+
+
+def test_close_hashes_asks_for_the_band_of_close_pairs_only(spark):
+    rng = random.Random(3)
+    low = [rng.getrandbits(16) << 16 for _ in range(2000)]  # a full bucket: all bits but 16 are the same
+    near = [h ^ (1 << rng.randrange(64)) for h in low[:50]]
+    values = sorted({v - (1 << 64) if v >= 1 << 63 else v for v in low + near})
+    found = D.close_hashes(spark.createDataFrame([(v,) for v in values], "simhash long"), 2, (3, 1))
+    got = {tuple(r) for r in found.collect()}
+    mask = (1 << 64) - 1
+    assert got == {(a, b, ((a ^ b) & mask).bit_count()) for i, a in enumerate(values) for b in values[i + 1:] if ((a ^ b) & mask).bit_count() <= 2}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("bit_count") < plan.index("CASE WHEN") and "filter(" not in plan
+
+
 def test_near_duplicates_factored_rows_stand_for_all_pairs(spark):
     members = [(i, f"s{i % 5}", 50, 7) for i in range(30)] + [(100, "t", 50, 6), (101, "t", 10, 6), (102, "u", 60, -1)]
     df = spark.createDataFrame(members, "doc_id long, sha256 string, words int, simhash long")
