@@ -126,6 +126,35 @@ def test_passages_behind_other_first_places(spark, crowd):
     assert got <= want
 
 
+@pytest.mark.parametrize("dealt", [None, 5])
+def test_passages_of_nothing_but_frequent_seeds(spark, monkeypatch, dealt):
+    """Each stretch that two documents have in common is in a crowd of earlier ones too, none is longer than six words."""
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    if dealt:  # many blocks of places, few links at a time
+        monkeypatch.setattr(chaining, "DEALT", dealt)
+        monkeypatch.setattr(chaining, "UNFOLDED", 7)
+    made, want = [], set()
+    for n in range(4):
+        pieces = [words(6) for _ in range(11)]
+        for k in range(20):
+            rng.shuffle(shuffled := list(pieces))
+            made.append((100 * n + k, " ".join(w for p in shuffled for w in p + words(9))))
+        made += [(100 * n + 50 + k, " ".join(words(40) + [w for p in pieces for w in p + words(1)] + words(40))) for k in range(2)]
+        want.add((100 * n + 51, 100 * n + 50))
+    got = {(r["doc_id"], r["match_id"]) for r in chaining.passages(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_repeated_words_of_any_length_have_few_rows(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    made = [(i, " ".join(words(60) + ["the"] * n + words(60))) for i, n in enumerate([300, 60, 90, 200])]
+    got = chaining.passages(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 3} and {r["match_id"] for r in got if r["doc_id"] == 1} == {0}
+    assert len(got) <= 30
+
+
 @pytest.mark.parametrize("even", [False, True])
 @pytest.mark.parametrize("n", [55, 150])
 def test_recall_near_the_identity_sought(spark, n, even):
